@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm import quality, urlfilter
+from pipelake.llm import quality, tokencount, tokenids, urlfilter
 from pipelake.llm.common import table
 
 URL_RULES = (
@@ -71,6 +71,22 @@ FROM b
 """
 
 
+#: Folder of the public vocabulary files; set it where they are elsewhere.
+TOKENIZER_DIR = "/opt/tokenizers"
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, f"{TOKENIZER_DIR}/word_bpe_49k.json").select("doc_id", "n_words", "n_tokens")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.json", encoding="utf-8") as file:
+        model = file.read()
+    segments = tokenids.encode_documents(table(spark, sf_dir, "documents"), model)
+    return tokenids.read_documents(tokenids.write_segments(segments))
+
+
 def queries() -> dict:
     found = {}
     for name, value in globals().items():
