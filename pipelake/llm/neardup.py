@@ -27,37 +27,11 @@ from pyspark.sql import functions as F
 
 from pipelake.llm.common import written
 from pipelake.llm.graph import components
+from pipelake.llm.hashing import WordHashes, mixed
 
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 RUN, SHORT_RUN, SHORT = 3, 2, 5
 
 
-class WordHashes(dict):
-    """64-bit hashes by word; emptied when it holds ``bound`` words."""
-
-    def __init__(self, bound: int = 300_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``size`` words."""
     size = min(size, len(words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm import neardup, quality, tokencount, tokenids, urlfilter
+from pipelake.llm import neardup, quality, substring, tokencount, tokenids, urlfilter
 from pipelake.llm.common import table
 
 URL_RULES = (
@@ -108,6 +108,24 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 12] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM g) WHERE m < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM r),
+k AS (SELECT doc_id, list(j) AS js FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN ws
+              ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict:
     found = {}
     for name, value in globals().items():
