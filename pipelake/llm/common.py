@@ -44,12 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; other letters stay as they are.
-
-    ``lower`` is much faster than ``translate``. The two agree on text without
-    upper-case letters beyond ASCII, which a pattern finds first.
-    """
-    return F.when(text.rlike(r"[^\x00-\x7F&&[\P{Lu}]]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+    """Lower-case A-Z only; other letters stay as they are (``lower`` would change them too)."""
+    return F.translate(text, UPPER, UPPER.lower())
 
 
 def blank_words(text: Column) -> Column:
