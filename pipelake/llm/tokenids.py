@@ -17,11 +17,13 @@ their rows. An empty table gives no segment.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipelake.llm.common import written
+from pipelake.llm.tokencount import byte_alphabet
 
 MAGIC = b"DAC1"
 BLOCK = 512
+#: Fixed value: the pattern by which byte-level BPE of this family splits text before its merges.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEGMENT_SCHEMA = "shard int, start long, n_tokens long, doc_ids array<long>, ends array<long>, payload binary"
 
 
@@ -96,61 +101,87 @@ class Segment:
 
 
 class Encoder:
-    """Token ids of texts by a byte-level BPE tokenizer, as little-endian uint32 bytes.
+    """Token ids of texts by a byte-level BPE tokenizer, as little-endian bytes of ``kind``.
 
-    The pre-tokenizer never joins text across the start of a space that follows a non-blank, so a text is cut there
-    and the ids of a piece are kept. Texts with a space beside another blank are encoded whole. Names of
-    special tokens in a text are ordinary text.
+    The pre-tokenizer never joins text across a space between two non-blanks, so a text is cut at its spaces and the
+    ids of each part are kept, in two generations of at most ``bound`` entries together. A new part of Latin, Greek or Cyrillic
+    text is split by the pre-tokenizer's own pattern and its pre-tokens go to the BPE model; any other goes
+    through the whole tokenizer. A text with a blank beside a space is encoded whole. Names of special
+    tokens in a text are ordinary text.
     """
 
-    def __init__(self, model: str, bound: int = 300_000):
+    def __init__(self, model: str, bound: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.bpe = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.bound = bound // 2
-        self.beside = re.compile(r" \s|\s ")
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        self.pre_tokens = regex.compile(PRE_TOKEN).findall
+        self.stands_for = {b: c for c, b in byte_alphabet().items()}
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _pre_token(self, token: str) -> bytes:
+        mapped = "".join(map(self.stands_for.__getitem__, token.encode()))
+        return array(self.code, [t.id for t in self.bpe.tokenize(mapped)]).tobytes()
+
+    def _part(self, key: str) -> bytes | None:
+        """Ids of a part, or None if it says that its text has to be encoded whole.
+
+        The key is the text after a space; the first part of a text, which follows no space, has a zero byte before it.
+        """
+        first = key[:1] == "\0"
+        bare = key[1:] if first else key
+        if not bare:
+            return b"" if first else None
+        if bare[0].isspace() or bare[-1].isspace():
+            return None
+        word = bare if first else " " + bare
+        if max(bare) >= "\u0530":
+            return self._whole(word)
+        tokens = self.pre_tokens(word)
+        if len(tokens) == 1:
+            return self._pre_token(word)
+        return b"".join([self._known(t) for t in tokens])
+
+    def _known(self, token: str) -> bytes:
+        """Ids of one pre-token out of several."""
+        key = token[1:] if token[0] == " " else "\0" + token
+        found = self.young.get(key) or self.old.get(key) or self._pre_token(token)
+        if len(token) <= 64:
+            self.young[key] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if self.beside.search(text):
-                out[i] = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if parts is None:
-                    out[i] = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                else:
-                    cut.append((i, parts))
-        known: dict[str, bytes] = {}
-        unknown: list[str] = []
-        for _, parts in cut:
-            for part in set(parts) - known.keys():
-                found = self.young.get(part)
-                if found is None and (found := self.old.get(part)) is not None:
-                    self.young[part] = found
-                if found is None:
-                    unknown.append(part)
-                    found = b""
-                known[part] = found
-        for part, coded in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            known[part] = self._bytes(coded.ids)
-            if len(part) <= 64:
-                self.young[part] = known[part]
+        cut = [[""] if "\0" in text else ("\0" + text).split(" ") for text in texts]
+        long: dict[str, bytes | None] = {}
+        for key in set().union(*cut).difference(self.young):
+            found = self.old[key] if key in self.old else self._part(key)
+            (self.young if len(key) <= 64 else long)[key] = found
+        known = ChainMap(long, self.young) if long else self.young
+        out = []
+        for text, parts in zip(texts, cut, strict=True):
+            ids = [known[p] for p in parts]
+            out.append(self._whole(text) if None in ids else b"".join(ids))
         if len(self.young) > self.bound:
             self.old, self.young = self.young, {}
-        for i, parts in cut:
-            out[i] = b"".join(map(known.__getitem__, parts))
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str) -> Encoder:
+    """The encoder of this Python worker; what it has learned serves the tasks to come."""
+    return Encoder(model)
+
+
 def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, segment_tokens: int = 1 << 20) -> DataFrame:
     """Segments of all documents in ascending key order, not yet written.
 
@@ -161,15 +192,15 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(shared.value), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encoder, shard = encoder_of(shared.value), TaskContext.get().partitionId()
+        end, width = np.array([end_id], dtype=encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         ids: list[int | None] = []
         ends: list[int] = []
         held: list[bytes] = []
         size = start = 0
 
         def segment() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(held), "<u4")
+            tokens = np.frombuffer(b"".join(held), encoder.kind)
             row = {"shard": [shard], "start": [start], "n_tokens": [size], "doc_ids": [ids], "ends": [ends], "payload": [pack(tokens)]}
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
@@ -180,7 +211,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
                 coded = encoder.encode([x or "" for x in part.column(1).to_pylist()])
                 for doc_id, code in zip(part.column(0).to_pylist(), coded, strict=True):
                     held += (code, end)
-                    size += len(code) // 4 + 1
+                    size += len(code) // width + 1
                     ids.append(doc_id)
                     ends.append(size)
                     if size >= segment_tokens:
