@@ -62,3 +62,8 @@ def sample_share(rows: int, bound: int) -> float:
 def hash_sample(key: Column, share: float) -> Column:
     """Condition that keeps about ``share`` of the keys, the same ones on every run."""
     return F.lit(True) if share >= 1.0 else F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a transform over an array of one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelake.llm.common import blank_words, hash_sample, sample_share
+from pipelake.llm.common import blank_words, hash_sample, let, sample_share
 
 WINDOW = 8
 
@@ -35,11 +35,11 @@ def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
     def window_hash(c: Column, i: Column) -> Column:
         return F.xxhash64(*[F.get(c, i + F.lit(k - 1)) for k in range(size)])
 
-    hashes = _let(codes, lambda c: F.transform(starts, lambda i: window_hash(c, i)))
+    hashes = let(codes, lambda c: F.transform(starts, lambda i: window_hash(c, i)))
 
     def places(h: Column) -> Column:
         keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return _let(
+        return let(
             keyed,
             lambda k: F.sort_array(
                 F.transform(
@@ -54,14 +54,9 @@ def repeated_window_words(words: Column, size: int = WINDOW) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def total(h: Column) -> Column:
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(places(h), covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(places(h), covered))
 
-    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(_let(hashes, total))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once: a transform over an array of one."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(let(hashes, total))
 
 
 def word_chars(words: Column) -> Column:
@@ -75,7 +70,7 @@ def symbols(text: Column) -> Column:
 def duplicate_lines(text: Column) -> Column:
     r"""Lines (split at \n) that have a word and equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    count = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    count = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return F.when(F.contains(text, F.lit("\n")), count).otherwise(F.lit(0)).cast("long")
 
 
