@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm import decontam, langid, neardup, pii, quality, substring, tokencount, tokenids, urlfilter
+from pipelake.llm import decontam, langid, neardup, pieces, pii, quality, substring, tokencount, tokenids, urlfilter
 from pipelake.llm.common import table
 
 URL_RULES = (
@@ -173,6 +173,17 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.PieceModel.read(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     found = {}
     for name, value in globals().items():
