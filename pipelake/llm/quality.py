@@ -103,7 +103,7 @@ def method_rules() -> list[QualityRule]:
     return [
         QualityRule("mean_word_length", (word_chars(words) > n * 25) | (word_chars(words) < n * 2)),
         QualityRule("symbol_share", symbols(text) * 10 > n),
-        QualityRule("duplicate_lines", duplicate_lines(text) * 10 > lines * 3),
+        QualityRule("duplicate_lines", duplicate_lines(text) * 2 > lines),
         QualityRule("few_letters", F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) * 10 < n * 6),
         QualityRule("ellipsis_lines", F.regexp_count(text, F.lit(r"(?m)(\.\.\.|…)[\x20\x09\x0D]*$")) * 10 > lines * 3),
         QualityRule("bullet_lines", F.regexp_count(text, F.lit(r"(?m)^[\x20\x09]*[-*•]")) * 10 > lines * 9),

@@ -62,7 +62,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words
        NOT (base_failed
          OR word_chars > 25 * n_words OR word_chars < 2 * n_words
          OR n_symbols * 10 > n_words
-         OR n_dup_lines * 10 > n_lines * 3
+         OR n_dup_lines * 2 > n_lines
          OR len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 6
          OR len(regexp_extract_all(t, '(?m)(\.\.\.|…)[\x20\x09\x0D]*$')) * 10 > n_lines * 3
          OR len(regexp_extract_all(t, '(?m)^[\x20\x09]*[-*•]')) * 10 > n_lines * 9
