@@ -1,0 +1 @@
+"""Analytics over data-pipeline metadata with Spark DataFrames."""
