@@ -2,13 +2,16 @@ r"""Near-duplicate documents by bottom-k sketches of word shingles.
 
 1. Each text becomes the set of its word shingles, hashed by one function. The k smallest hashes,
    in order, are its sketch; a digest of the whole set names its class. Equal sets are one class from here on.
-2. Inverted lists of retained values: the key of a list is a run of consecutive sketch values. Two sets
-   with Jaccard similarity s keep a value of their common sketch both with probability s; at 0.8 the chance
-   that 48 values hold no common run of three is below 1e-7, and none of sets of 6 to 48 shingles can lack one
-   (u unshared values cannot cut the others into pieces shorter than three). Classes of up to five shingles use runs of two.
-3. In each list, members meet a leader first; only members of different components meet each other later.
-   A group of n near copies so costs n pairs a round and not n squared, and no link between components is lost.
-4. The union sketch of a pair estimates its similarity; clear misses go. What is left is confirmed on the full sets.
+2. Inverted lists of retained values: the key of a list is a run of consecutive sketch values. Two sets with Jaccard similarity s
+   keep a value of their common sketch both with probability s; at 0.8 the chance that 80 values hold no common run of four is
+   2e-8. In sets that fit their sketch it cannot happen: u unshared values cannot cut the others into pieces
+   shorter than four, or three for up to 16 values, or two for up to five, and so short sets use shorter runs too.
+3. In each list, members meet a leader first, which settles groups of copies in linear work: a group of n near copies costs n
+   pairs a round. A list whose members are then of one component is done with.
+4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by single values: two linked
+   sketches have more than half of their values in common, so they share one of the rarest values of each. Rarity is counted
+   among these members, so what they all share joins nobody.
+5. The union sketch of a pair estimates its similarity; clear misses go. What is left is confirmed on the full sets.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text of fewer words than a shingle has is one shingle; a text
 without words (or null) is linked with nothing. Rows with a null id are never linked and are kept. Equal rows
@@ -29,7 +32,8 @@ from pipelake.llm.common import written
 from pipelake.llm.graph import components
 from pipelake.llm.hashing import WordHashes, mixed
 
-RUN, SHORT_RUN, SHORT = 3, 2, 5
+#: Run lengths, each with the largest set that needs it; larger sets use the last alone.
+RUNS = ((2, 5), (3, 16), (4, None))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -87,7 +91,9 @@ def _runs(length: int):
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """(key, node, n) for keys that two classes or more share."""
-    keys = F.when(F.col("n") <= SHORT, F.concat(_runs(SHORT_RUN), _runs(RUN))).otherwise(_runs(RUN))
+    keys = _runs(RUNS[-1][0])
+    for length, most in RUNS[:-1]:
+        keys = F.when(F.col("n") <= most, F.concat(keys, _runs(length))).otherwise(keys)
     postings = classes.select(F.explode(F.array_distinct(keys)).alias("key"), "node", "n")
     shared = postings.groupBy("key").count().where("count > 1").select("key")
     return postings.join(shared, "key")
@@ -97,41 +103,66 @@ def _sizes_fit(percent: int):
     return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
 
 
+def _least_common(percent: int, k: int) -> float:
+    """Share of the union sketch that a linked pair has in common, four and a half deviations below the limit."""
+    limit = percent / 100
+    return limit - 4.5 * (limit * (1 - limit) / k) ** 0.5
+
+
+def by_rare_values(open_nodes: DataFrame, sketches_of: DataFrame, *, percent: int, k: int) -> DataFrame:
+    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that share one of the rarest values of each."""
+    values = open_nodes.join(sketches_of.select("node", "sketch"), "node").select("node", "n", "c", F.explode("sketch").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = values.join(often, "value", "left").groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("r"))
+    prefix = F.size("r") - F.ceil(F.size("r") * _least_common(percent, k)).cast("int") + 1
+    rare = ranked.select("node", "n", "c", F.explode(F.filter(F.slice("r", 1, prefix), lambda x: x["df"] > 1)).alias("x")).select("node", "n", "c", F.col("x.value").alias("value"))
+    left = rare.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    right = rare.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    return left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent))
+
+
 def confirm(pairs: DataFrame, members: DataFrame, *, size: int, percent: int, k: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the similarity.
 
     ``members(node, sketch, text)`` holds each class once. A pair goes on to the full sets unless its union
     sketch puts it more than four deviations below the limit.
     """
-    limit = percent / 100
-    floor = limit - 4.5 * (limit * (1 - limit) / k) ** 0.5
+    floor = _least_common(percent, k)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (x.values.to_numpy().view(np.uint64) for x in (one, two))
+                union = np.union1d(one, two)[:k]
+                common = np.intersect1d(one, two, assume_unique=True)
+                keep.append(np.searchsorted(common, union[-1], side="right") >= floor * len(union))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, set())
         for batch in batches:
-            rows = []
-            for a, b, sa, sb, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                one, two = np.array(sa, np.int64).view(np.uint64), np.array(sb, np.int64).view(np.uint64)
-                union = np.union1d(one, two)[: max(k, 1)]
-                if len(np.intersect1d(np.intersect1d(one, two, True), union, True)) < floor * len(union):
-                    continue
+            keep = []
+            for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last[0] != a:
-                    last = (a, shingle_set(ta, size))
-                other = shingle_set(tb, size)
+                    last = (a, shingle_set(one, size))
+                other = shingle_set(two, size)
                 common = len(last[1] & other)
-                if common and 100 * common >= percent * (len(last[1]) + len(other) - common):
-                    rows.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                keep.append(common > 0 and 100 * common >= percent * (len(last[1]) + len(other) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda c: members.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("text").alias(f"t{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ta", "tb")
-    return joined.mapInArrow(check, "a long, b long")
+    def both(rows: DataFrame, column: str) -> DataFrame:
+        side = lambda c: members.select(F.col("node").alias(c), F.col(column).alias(f"_{c}"))
+        return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b")
 
+    likely = both(pairs, "sketch").mapInArrow(estimate, "a long, b long")
+    return both(likely, "text").mapInArrow(check, "a long, b long")
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int = 48, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int = 80, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
-    ``rounds`` bounds the leader rounds; whatever pairs of different components they leave are all checked.
+    ``rounds`` is the number of leader rounds; what they leave open meets by rare values.
     """
     found = written(sketches(docs, size=size, k=k, key=key, text=text), "sketches")
     classes = (
@@ -157,18 +188,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int
                 F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("n_a"), F.col("lead.n").alias("n_b")
             )
         else:
-            left = open_lists.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-            right = open_lists.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            pairs = left.join(right, "key").where("a < b AND c_a <> c_b")
+            pairs = by_rare_values(open_lists.select("node", "n", "c").distinct(), members, percent=percent, k=k)
         pairs = pairs.where(_sizes_fit(percent)).select("a", "b").distinct()
         fresh = written(confirm(pairs, members, size=size, percent=percent, k=k), "links")
         links = fresh if links is None else links.union(fresh)
         added = not fresh.isEmpty()
         if added:
             owner = written(components(links), "owners")
-        lists = written(open_lists.select("key", "node", "n"), "lists")
-        if lists.isEmpty():
-            break
+        if turn < rounds:
+            lists = written(open_lists.select("key", "node", "n"), "lists")
+            if lists.isEmpty():
+                break
     label = heads.select("digest", "node")
     if owner is not None:
         label = label.join(owner, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
