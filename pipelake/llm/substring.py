@@ -135,12 +135,12 @@ def _probes(chunk: _Chunk, block: int, buckets: int) -> Iterator[tuple[int, byte
     doc, place, value = doc[order], place[order], value[order]
     several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
     anchor = np.logical_or.reduceat(place % block == 0, starts)
-    met = several[number]
+    met = (several & anchor)[number]
     yield from _settled(doc[met], place[met], buckets)
     first = np.zeros(len(doc), bool)
     first[starts] = True
     go = ~met | first
-    flags = (met * QUIET + np.where(met, anchor[number], place % block == 0) * ANCHOR).astype(np.uint8)[go]
+    flags = (met * (QUIET | ANCHOR) | (place % block == 0) * ANCHOR).astype(np.uint8)[go]
     value = value[go]
     yield from _spread((value % np.uint64(buckets)).astype(np.int64), buckets, [(value // np.uint64(buckets)).astype(np.uint32), flags], doc[go], place[go])
 
@@ -189,13 +189,13 @@ def _meet_full(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: int) -> Iterator[_Chunk]:
-    """Documents of (doc_id, text[, places]) rows that have least_words words or more, in chunks."""
+    """Documents of (doc_id, text[, places]) rows that have an id and least_words words or more, in chunks."""
     hashes, chunk = WordHashes(), _Chunk()
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i, doc_id in enumerate(columns[0].to_pylist()):
             words = (columns[1][i].as_py() or "").encode().split()
-            if len(words) < least_words:
+            if len(words) < least_words or doc_id is None:
                 continue
             hits = columns[2][i].values.to_numpy(zero_copy_only=False).astype(np.int64) if len(columns) > 2 else None
             chunk.add(doc_id, hashes.of(words), hits)
@@ -247,7 +247,10 @@ def _without(words: list[bytes], places: np.ndarray, window: int) -> list[bytes]
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for every row; kept words are joined by one space."""
+    """(doc_id, n_words, n_removed, kept_text) for every row; kept words are joined by one space.
+
+    The texts are dealt out by id once; the probes, the full windows and the cut all read that one exchange.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,6 +267,6 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", te
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-    repeats = repeated_windows(rows.where("doc_id IS NOT NULL"), window=window)
+    repeats = repeated_windows(rows, window=window)
     joined = rows.join(repeats, "doc_id", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
