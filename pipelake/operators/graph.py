@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pipelake.functions.exprs import render_command
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -21,7 +21,7 @@ def _shared(spark: SparkSession) -> str:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

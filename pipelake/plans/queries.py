@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelake.functions import exprs as X
 from pipelake.operators import edges, freshness, graph, state, templates, timeline, validate
 from pipelake.plans.fixtures import view, with_views
+from pipelake.schemas import EDITOR_GRAPH
+from pipelake.sources import files, specs
+from pipelake.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -474,3 +478,138 @@ def validation_report(spark, sf_dir):
     workflows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("workflow_id"))
     declared = view(spark, sf_dir, "f1_edges").withColumn("declared_by", F.lit("previous"))
     return validate.validation_report(workflows, steps, "full", declared, _topological(spark, sf_dir))
+
+
+# Sources and live operators. Files and sinks lie in the shared folder.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+SPECS = "SELECT 'w' || CAST(l_suppkey AS VARCHAR) AS workflow, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS ordinal, * FROM lineitem"
+
+
+@query(f"SELECT workflow, CAST(ordinal AS INT) AS ordinal, 's' || CAST(ordinal AS VARCHAR) AS step_id, l_returnflag AS tool, 'a' || CAST(l_partkey AS VARCHAR) || ',b' AS input, CAST(l_linenumber AS INT) AS threads FROM ({SPECS})")
+def spec_scan(spark, sf_dir):
+    """Specs of all suppliers' workflows written as documents, and scanned again."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    ordinal = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order))
+    none = F.array().cast("array<string>")
+    steps = items.select(
+        F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("workflow_id"), ordinal.alias("ordinal"), F.concat(F.lit("s"), ordinal.cast("string")).alias("step_id"),
+        F.col("l_returnflag").alias("tool"), F.lit("run {input}").alias("command"), F.array(F.concat(F.lit("a"), F.col("l_partkey").cast("string"), F.lit(",b"))).alias("input"),
+        none.alias("output"), none.alias("previous"), none.alias("next"), F.col("l_linenumber").cast("int").alias("threads"), F.lit(None).cast("string").alias("color"),
+        F.lit(None).cast("map<string,array<string>>").alias("wildcard_files"),
+    )
+    specs.write_specs(steps, folder := _folder(spark, "specs"))
+    found = specs.read_specs(spark, folder)
+    return found.select(F.regexp_extract("path", "workflow=([^/]*)/", 1).alias("workflow"), "ordinal", "step_id", "tool", _joined("input").alias("input"), "threads")
+
+
+@query("SELECT conv_id AS graph_id, turn AS pos, CAST(turn AS VARCHAR) AS node_id, role AS label FROM conversations")
+def graph_scan(spark, sf_dir):
+    """Conversations as editor graphs, written as files and scanned again."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    node = F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.col("role").alias("label")).alias("data"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))), lambda x: x["n"])
+    graphs = turns.groupBy("conv_id").agg(ordered.alias("nodes")).select(
+        F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("graph"), F.to_json(F.struct("nodes", F.array().cast("array<struct<source:string,target:string>>").alias("edges"), F.create_map(F.lit("id"), F.col("conv_id").cast("string")).alias("metadata"))).alias("value")
+    )
+    graphs.select("value").write.text(folder := _folder(spark, "graphs"))
+    lines = spark.read.schema(EDITOR_GRAPH).json(folder).withColumn("valid", F.lit(True)).withColumn("path", F.col("metadata")["id"].cast("long"))
+    nodes, _ = specs.graph_tables(lines)
+    return nodes.select("graph_id", "pos", "node_id", "label")
+
+
+@query("SELECT 'n' || CAST(p_partkey AS VARCHAR) || '=' || CAST(p_size AS VARCHAR) AS package FROM part")
+def package_listing(spark, sf_dir):
+    """Parts as package listings with two header lines a file, a blank line and a lone field, read as packages."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat(F.lit("  n"), F.col("p_partkey").cast("string"), F.lit("   "), F.col("p_size").cast("string"), F.lit("  build"))
+    listing = part.groupBy((F.col("p_partkey") % 50).alias("k")).agg(F.concat(F.lit("Name  Version\n------\n\nlone\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    listing.repartition("k").write.partitionBy("k").text(folder := _folder(spark, "listings"))
+    return files.read_packages(spark, folder + "/*", skip=2).select("package")
+
+
+@query("SELECT 'k' || CAST(c_nationkey AS VARCHAR) AS tool, 'e' || CAST(max(c_custkey) AS VARCHAR) AS env FROM customer GROUP BY 1")
+def tool_map(spark, sf_dir):
+    changes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("k"), F.col("c_nationkey").cast("string")).alias("tool"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("env"), F.col("c_custkey").alias("seq"))
+    files.write_tool_map(files.set_tools(files.read_tool_map(spark, _folder(spark, "absent")), changes), folder := _folder(spark, "tool-map"))
+    return files.read_tool_map(spark, folder)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _lifecycle(rows: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "Started").when(F.col("event_type") == "purchase", "Completed").otherwise("Failed")
+    found = rows.where("event_type IN ('view', 'purchase', 'error')")
+    return found.select(F.lit("run0").alias("run_id"), F.col("user_id").alias("step_id"), kind.alias("event_type"), "ts", F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("error"))
+
+
+def _appended(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    folder = _folder(spark, name)
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", folder + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
+
+
+def _upserted(spark: SparkSession, stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    folder = _folder(spark, name)
+    sink = stream.writeStream.foreachBatch(live.upsert_into(folder, keys)).outputMode("update").option("checkpointLocation", folder + "-state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return live.read_upserts(spark, folder, keys)
+
+
+@query("SELECT run_id, step_id, max_by(CASE event_type WHEN 'Started' THEN 'Running' ELSE event_type END, (ts, seq)) AS status FROM f2_events GROUP BY ALL")
+def live_status(spark, sf_dir):
+    return _upserted(spark, live.live_status(_lifecycle(_stream(spark, sf_dir))), ["run_id", "step_id"], "status").select("run_id", "step_id", "status")
+
+
+@query(f"WITH {MS} SELECT run_id, CAST(step_id AS VARCHAR) AS step_id, max_by(ms - st, (ts, seq)) AS duration_ms FROM s WHERE event_type <> 'Started' AND st IS NOT NULL GROUP BY ALL")
+def live_durations(spark, sf_dir):
+    first = view(spark, sf_dir, "f2_events").agg(F.min("ts").cast("string")).first()[0]
+    rows = _appended(spark, live.live_durations(_lifecycle(_stream(spark, sf_dir)), origin=first or "1970-01-01"), "durations")
+    return rows.groupBy("run_id", "step_id").agg(F.max_by("duration_ms", F.struct("us", "seq")).alias("duration_ms"))
+
+
+def _samples(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("cpu"), F.floor(F.col("value") * 4194304).cast("long").alias("memory_bytes"))
+
+
+@query()
+def live_thinning(spark, sf_dir):
+    return _appended(spark, live.live_thinning(_samples(_stream(spark, sf_dir)), 6 * 3600 * 1000), "thinned").select("run_id", "seq")
+
+
+@query("SELECT run_id, date_trunc('day', ts) AS start, count(*) AS samples, round(avg(cpu), 6) AS avg_cpu, max(memory_bytes // 1048576) AS peak_mb, min(memory_bytes // 1048576) AS min_mb FROM f10_samples GROUP BY ALL")
+def live_resources(spark, sf_dir):
+    rows = _upserted(spark, live.live_resources(_samples(_stream(spark, sf_dir)), "1 day", "400 days"), ["run_id", "window"], "resources")
+    return rows.select("run_id", F.col("window.start").alias("start"), "samples", F.round("avg_cpu", 6).alias("avg_cpu"), "peak_mb", "min_mb")
+
+
+@query(f"SELECT run_id, {SEVERITY} AS severity, count(*) AS lines FROM f7_log GROUP BY ALL")
+def live_severity(spark, sf_dir):
+    said = F.when(F.col("event_type") == "error", "Step failed: exit code 1").when(F.col("event_type") == "purchase", "Step completed").when(F.col("event_type") == "view", "[PAUSED] Workflow paused").when(F.col("event_type") == "click", "[RESUMED] Workflow resumed").otherwise("Starting step")
+    log = _stream(spark, sf_dir).select(F.col("user_id").alias("run_id"), said.alias("line"))
+    return _upserted(spark, live.live_severity(log), ["run_id", "severity"], "severity")
+
+
+@query()
+def live_snapshots(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "Completed").when(F.col("event_type") == "error", "Failed").otherwise("Cleared")
+    rows = _stream(spark, sf_dir).where("event_type IN ('purchase', 'error', 'signup')")
+    events = rows.select(F.col("user_id").alias("workflow_id"), F.regexp_extract("props", "([0-9]+)", 1).alias("step_id"), F.col("event_id").alias("seq"), "ts", kind.alias("event_type"))
+    folder = _folder(spark, "snapshots")
+    live.start_snapshots(events, folder, folder + "-state").awaitTermination()
+    found = live.read_upserts(spark, folder + "/snapshots", ["workflow_id"])
+    return found.select("workflow_id", _joined("completed").alias("completed"), F.coalesce("failed_step", F.lit("-")).alias("failed_step"), "updated_at")
+
+
+ORACLES["live_thinning"] = ORACLES["thin_samples"].replace("SELECT run_id, seq FROM r WHERE kept", "SELECT CAST(run_id AS VARCHAR) AS run_id, seq FROM r WHERE kept")
+ORACLES["live_snapshots"] = ORACLES["state_fold"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,9 +27,12 @@ def _as_list(value, field: str) -> list[str]:
 
 
 def _rows(path: str, content: bytes) -> list[dict]:
-    import yaml
+    if content.lstrip()[:1] == b"{":
+        spec = json.loads(content)
+    else:
+        import yaml
 
-    spec = yaml.safe_load(content)
+        spec = yaml.safe_load(content)
     if not isinstance(spec, dict) or not isinstance(spec.get("steps"), list):
         raise ValueError("no list of steps")
     shared = spec.get("wildcardFiles") or {}
