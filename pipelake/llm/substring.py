@@ -175,7 +175,7 @@ def _full_windows(chunk: _Chunk, window: int, block: int, buckets: int) -> Itera
     later = doc > np.minimum.reduceat(doc, starts)[number]
     yield from _settled(doc[later], place[later], buckets)
     go = ~later
-    yield from _spread((high[go] % np.uint64(buckets)).astype(np.int64), buckets, [high[go], low[go]], doc[go], place[go])
+    yield from _spread((high[go] % np.uint64(buckets)).astype(np.int64), buckets, [high[go] // np.uint64(buckets), low[go]], doc[go], place[go])
 
 
 def _meet_full(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +194,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: in
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i, doc_id in enumerate(columns[0].to_pylist()):
+            if len(columns) > 2 and not columns[2][i].is_valid:
+                continue
             words = (columns[1][i].as_py() or "").encode().split()
             if len(words) < least_words or doc_id is None:
                 continue
@@ -209,7 +211,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: in
 def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1 << 19) -> DataFrame:
     """(doc_id, places): starts of the windows of docs(doc_id, text) that a smaller document has too."""
     block = (window + 1) // 2
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def packed(make, least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +237,8 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
         return found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     hits = gathered(docs, lambda c: _probes(c, block, buckets), window, _meet_probes)
-    near = docs.join(hits, "doc_id").select("doc_id", "text", "places")
+    # An inner join would filter the texts below their exchange, which the other readers could then not share.
+    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "places")
     return gathered(near, lambda c: _full_windows(c, window, block, buckets), window, _meet_full)
 
 
