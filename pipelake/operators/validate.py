@@ -50,8 +50,8 @@ def validation_report(workflows: DataFrame, steps: DataFrame, mode: str = "full"
         parts.append(alone.select("workflow_id", "step_id", F.lit("duplicate_id").alias("rule"), text(None).alias("detail"), F.lit("error").alias("severity")))
         steps = steps.join(alone.select("workflow_id"), "workflow_id", "left_anti")
     elif mode == "editor":
-        again = F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))
-        parts.append(repeated.select("workflow_id", "step_id", F.lit("duplicate_id").alias("rule"), again.cast("string").alias("detail"), F.lit("error").alias("severity")))
+        again = repeated.select("workflow_id", "step_id", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("detail"))
+        parts.append(again.select("workflow_id", "step_id", F.lit("duplicate_id").alias("rule"), F.col("detail").cast("string").alias("detail"), F.lit("error").alias("severity")))
     parts.append(field_violations(steps, mode))
     if mode != "editor":
         if edges is None:

@@ -68,7 +68,7 @@ def read_specs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
                     if mode == "FAILFAST":
                         raise
                     rows.append({"path": file, "workflow_id": file, "parse_error": f"{type(error).__name__}: {error}"[:500]})
-            frame = pd.DataFrame(rows, columns=columns)
+            frame = pd.DataFrame([[row.get(c) for c in columns] for row in rows], columns=columns, dtype=object)
             for c in ("ordinal", "threads"):
                 frame[c] = frame[c].astype("Int32")
             yield frame
