@@ -51,9 +51,13 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """(term, n): occurrences in all documents."""
+    """(term, n): occurrences in all documents. Few terms pick their tokens first; many wait until the tokens are counted."""
     tokens = docs.select(F.explode(index_words(F.col(text))).alias("term"))
-    return tokens.join(_small(terms), "term").groupBy("term").count().withColumnRenamed("count", "n")
+    if terms.count() <= BROADCAST_ROWS:
+        counted = tokens.join(F.broadcast(terms), "term").groupBy("term").count()
+    else:
+        counted = tokens.groupBy("term").count().join(terms, "term")
+    return counted.withColumnRenamed("count", "n")
 
 
 def rare_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:

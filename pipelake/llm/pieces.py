@@ -19,17 +19,16 @@ itself, which reads as a space. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelake.llm.common import let, written
+from pipelake.llm.packing import pack, unpack
 
 SPACE = "▁"
 BLOCK = 256
@@ -84,19 +83,6 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(struct.pack("<Q", len(a)) + a.tobytes() for a in arrays), 1)
-
-
-def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data, at, out = zstandard.decompress(blob), 0, []
-    for kind in kinds:
-        (n,) = struct.unpack_from("<Q", data, at)
-        out.append(np.frombuffer(data, kind, n, at + 8))
-        at += 8 + out[-1].nbytes
-    return out
-
-
 def coded(docs: DataFrame, *, key: str, text: str, chunk_words: int = 1 << 21) -> DataFrame:
     """The written chunks (chunk, words, keys, coded): documents as numbers into the chunk's word list."""
 
@@ -110,7 +96,7 @@ def coded(docs: DataFrame, *, key: str, text: str, chunk_words: int = 1 << 21) -
         size = 0
 
         def full() -> pa.RecordBatch:
-            blob = _packed(np.array(sizes, "<u4"), np.concatenate([np.zeros(0, "<u4"), *held]).astype("<u4"))
+            blob = pack(np.array(sizes, "<u4"), np.concatenate([np.zeros(0, "<u4"), *held]).astype("<u4"))
             columns = [pa.array([chunk], pa.int64()), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([keys], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "keys", "coded"])
 
@@ -194,16 +180,17 @@ def best_paths(edges: DataFrame, longest: int) -> DataFrame:
 def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: ids as little-endian uint32 bytes."""
     chunks = coded(docs, key=key, text=text)
-    words = chunks.select(F.explode("words").alias("word")).distinct()
-    coded_words = written(best_paths(lattice(words, model), model.longest), "coded-words")
-    places = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    back = places.join(coded_words, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("dictionary"))
+    # One exchange by word serves the lattice, the folds and the way back: both readers ask for the same columns and rows.
+    places = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).where("word IS NOT NULL AND chunk IS NOT NULL").repartition("word")
+    words = places.groupBy("word").agg(F.min(F.struct("chunk", "pos")).alias("first")).where("first IS NOT NULL")
+    paths = best_paths(lattice(words, model), model.longest)
+    back = places.join(paths, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("dictionary"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 keys = batch.column(0)[i].values
-                sizes, numbers = _unpacked(batch.column(1)[i].as_py(), "<u4", "<u4")
+                sizes, numbers = unpack(batch.column(1)[i].as_py())
                 entries = batch.column(2)[i].values
                 if entries is None or not len(numbers):
                     yield pa.RecordBatch.from_arrays([keys, pa.array([b""] * len(keys), pa.binary())], names=["doc_id", "ids"])
