@@ -6,11 +6,11 @@ r"""Near-duplicate documents by bottom-k sketches of word shingles.
    keep a value of their common sketch both with probability s; at 0.8 the chance that 80 values hold no common run of four is
    2e-8. In sets that fit their sketch it cannot happen: u unshared values cannot cut the others into pieces
    shorter than four, or three for up to 16 values, or two for up to five, and so short sets use shorter runs too.
-3. In each list, members meet a leader first, which settles groups of copies in linear work: a group of n near copies costs n
-   pairs a round. A list whose members are then of one component is done with.
-4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by single values: two linked
-   sketches have more than half of their values in common, so they share one of the rarest values of each. Rarity is counted
-   among these members, so what they all share joins nobody.
+3. Each list has a leader, and a member meets the leader that most of its lists have, which settles groups of copies in linear
+   work: a group of n near copies costs n pairs a round. A list whose members are then of one component is done with.
+4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by their rarest values: two
+   linked sketches have more than half of their values in common, so they share several of the rarest values of each. Rarity
+   is counted among these members, so what they all share joins nobody.
 5. The union sketch of a pair estimates its similarity; clear misses go. What is left is confirmed on the full sets.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text of fewer words than a shingle has is one shingle; a text
@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelake.llm.common import written
+from pipelake.llm.common import let, written
 from pipelake.llm.graph import components
 from pipelake.llm.hashing import WordHashes, mixed
 
 #: Run lengths, each with the largest set that needs it; larger sets use the last alone.
 RUNS = ((2, 5), (3, 16), (4, None))
+GROUPS = 6
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -110,15 +111,35 @@ def _least_common(percent: int, k: int) -> float:
 
 
 def by_rare_values(open_nodes: DataFrame, sketches_of: DataFrame, *, percent: int, k: int) -> DataFrame:
-    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that share one of the rarest values of each."""
+    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that share enough of the rarest values of each.
+
+    Sketches with t values in common share m of the first size - t + m, in any common order; here rarest first. For m = 7 and six
+    groups of values two of the seven fall into one group, so pairs of values of a group are the keys. Sets of up to 40
+    shingles use single values (m = 1), those from 28 on use pairs; linked sets differ too little in size to miss each other.
+    """
     values = open_nodes.join(sketches_of.select("node", "sketch"), "node").select("node", "n", "c", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = values.join(often, "value", "left").groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("r"))
-    prefix = F.size("r") - F.ceil(F.size("r") * _least_common(percent, k)).cast("int") + 1
-    rare = ranked.select("node", "n", "c", F.explode(F.filter(F.slice("r", 1, prefix), lambda x: x["df"] > 1)).alias("x")).select("node", "n", "c", F.col("x.value").alias("value"))
-    left = rare.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = rare.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    return left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent))
+    beyond = F.size("r") - F.ceil(F.size("r") * _least_common(percent, k)).cast("int")
+    first = lambda m: F.transform(F.filter(F.slice("r", 1, beyond + m), lambda x: x["df"] > 1), lambda x: x["value"])
+    group = lambda v: F.pmod(v, F.lit(GROUPS))
+    singles = F.transform(first(1), lambda v: F.xxhash64(F.lit(1), v))
+    pairs = let(first(GROUPS + 1), lambda p: F.flatten(F.transform(p, lambda v: F.transform(F.filter(p, lambda w: (w > v) & (group(w) == group(v))), lambda w: F.xxhash64(F.lit(2), v, w)))))
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(F.col("n") <= 40, singles).otherwise(none), F.when(F.col("n") >= 28, pairs).otherwise(none))
+    keyed = ranked.select("node", "n", "c", F.explode(keys).alias("key"))
+    left = keyed.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    right = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent))
+
+
+def by_leader(open_lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): each node of another component with the one leader that most of its lists have: one pair a node."""
+    met = open_lists.where("c <> lead.c").select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    met = met.where(F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n"))
+    counted = met.groupBy("node", "n", "lead", "lead_n").count()
+    chosen = counted.groupBy("node", "n").agg(F.max_by(F.struct("lead", "lead_n"), F.struct("count", "lead")).alias("l"))
+    return chosen.select(F.least("node", "l.lead").alias("a"), F.greatest("node", "l.lead").alias("b"), F.col("n").alias("n_a"), F.col("l.lead_n").alias("n_b"))
 
 
 def confirm(pairs: DataFrame, members: DataFrame, *, size: int, percent: int, k: int) -> DataFrame:
@@ -159,7 +180,7 @@ def confirm(pairs: DataFrame, members: DataFrame, *, size: int, percent: int, k:
     return both(likely, "text").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int = 80, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int = 80, rounds: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     ``rounds`` is the number of leader rounds; what they leave open meets by rare values.
@@ -184,9 +205,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int
         ends = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("low < high").select("key", "lead")
         open_lists = here.join(ends, "key")
         if turn < rounds:
-            pairs = open_lists.where("c <> lead.c").select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n").alias("n_a"), F.col("lead.n").alias("n_b")
-            )
+            pairs = by_leader(open_lists, percent)
         else:
             pairs = by_rare_values(open_lists.select("node", "n", "c").distinct(), members, percent=percent, k=k)
         pairs = pairs.where(_sizes_fit(percent)).select("a", "b").distinct()
