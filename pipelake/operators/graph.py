@@ -26,30 +26,52 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def topological(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def declared_links(steps: DataFrame, mode: str = "union") -> tuple[DataFrame, DataFrame]:
+    """(edges, needed) for topological, from the steps' previous and next lists.
+
+    union: an edge that either side declares; those that only previous declares stand after the listed next entries. reference: edges are
+    the next entries and every previous entry has to be met by one, so a step whose predecessor does not list it is never
+    placed.
+    """
+    following = steps.select("workflow_id", F.col("step_id").alias("src"), F.posexplode("next").alias("dst_pos", "dst"))
+    if mode == "reference":
+        return following, steps.select("workflow_id", "step_id", F.size("previous").cast("long").alias("needed"))
+    before = steps.select("workflow_id", F.explode("previous").alias("src"), F.col("step_id").alias("dst"))
+    edges = following.unionByName(before, allowMissingColumns=True).groupBy("workflow_id", "src", "dst").agg(F.min("dst_pos").alias("dst_pos"))
+    return edges, edges.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
+
+
+def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(workflow_id, step_id, ordinal, level, position) of every step; level and position are null in or behind a cycle.
 
-    steps(workflow_id, step_id, ordinal); edges(workflow_id, src, dst), whose unknown ends are ignored. All workflows go
-    together, one round per level: a round takes the steps whose predecessors are all placed. Inside a round
-    steps stand in the order in which a first-in first-out queue would release them: by the position of their last
-    predecessor, then their own ordinal. Each round is a written table and only what is left is joined.
+    steps(workflow_id, step_id, ordinal); edges(workflow_id, src, dst[, dst_pos]), whose unknown ends are ignored;
+    needed(workflow_id, step_id, needed), by default the number of a step's distinct predecessors. All workflows go together, one
+    round per level: a round takes the steps whose predecessors are all placed. Inside a round steps stand in the order in which a
+    first-in first-out queue would release them: by the position of their last predecessor, their place among its successors
+    (dst_pos, if given), and their own ordinal. Each round is a written table and only what is left is joined.
     """
     keys = ["workflow_id", "step_id"]
     known = steps.select(*keys, "ordinal")
-    links = edges.select("workflow_id", "src", "dst").distinct()
+    place = F.col("dst_pos") if "dst_pos" in edges.columns else F.lit(None)
+    links = edges.select("workflow_id", "src", "dst", place.cast("int").alias("dst_pos"))
+    links = links.groupBy("workflow_id", "src", "dst").agg(F.min("dst_pos").alias("dst_pos")) if needed is None else links
     links = links.join(known.select("workflow_id", F.col("step_id").alias("src")), ["workflow_id", "src"], "left_semi")
-    links = _written(links.join(known.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi").select("workflow_id", "src", "dst"), "links")
-    left = _written(known, "unplaced")
+    links = _written(links.join(known.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi").select("workflow_id", "src", "dst", "dst_pos"), "links")
+    if needed is None:
+        needed = links.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
+    left = _written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
     placed, base = None, None
     for level in range(max_rounds):
         if placed is None:
-            ready = left.join(links.select("workflow_id", F.col("dst").alias("step_id")), keys, "left_anti").withColumn("_after", F.lit(0).cast("long"))
+            ready = left.where("needed = 0").withColumns({"_after": F.lit(0).cast("long"), "_pos": F.lit(0)})
         else:
             at = placed.select("workflow_id", F.col("step_id").alias("src"), "position")
             into = links.join(left.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi")
-            state = into.join(at, ["workflow_id", "src"], "left").groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("n"), F.count("position").alias("done"), F.max("position").alias("_after"))
-            ready = left.join(state.where("n = done").select(*keys, "_after"), keys)
-        order = F.row_number().over(Window.partitionBy("workflow_id").orderBy("_after", "ordinal", "step_id"))
+            state = into.join(at, ["workflow_id", "src"]).groupBy("workflow_id", F.col("dst").alias("step_id")).agg(
+                F.count("*").alias("done"), F.max("position").alias("_after"), F.max_by(F.struct("dst_pos"), "position")["dst_pos"].alias("_pos")
+            )
+            ready = left.join(state, keys).where("done >= needed")
+        order = F.row_number().over(Window.partitionBy("workflow_id").orderBy("_after", F.col("_pos").asc_nulls_last(), "ordinal", "step_id"))
         here = ready.select(*keys, "ordinal", F.lit(level).alias("level"), order.alias("_n"))
         if base is not None:
             here = here.join(base, "workflow_id", "left").select(*keys, "ordinal", "level", (F.col("_n") + F.coalesce("_base", F.lit(0))).cast("long").alias("position"))

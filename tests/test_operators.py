@@ -175,6 +175,16 @@ def test_topological_order_equals_a_queue(spark):
         assert sum(1 for r in found if r.workflow_id == w) == n
 
 
+def test_declared_order_and_modes(spark):
+    steps = steps_of(spark, ("a", "t", "c", [], [], [], ["z", "b"]), ("b", "t", "c", [], [], ["a"], []), ("c", "t", "c", [], [], ["a"], []), ("z", "t", "c", [], [], ["a"], []))
+
+    def order(mode):
+        return [r.step_id for r in graph.topological(steps, *graph.declared_links(steps, mode)).where("position IS NOT NULL").orderBy("position").collect()]
+
+    assert order("union") == ["a", "z", "b", "c"]
+    assert order("reference") == ["a", "z", "b"]
+
+
 def test_topological_of_nothing(spark):
     steps = spark.createDataFrame([], "workflow_id string, step_id string, ordinal int")
     assert graph.topological(steps, spark.createDataFrame([], "workflow_id string, src string, dst string")).count() == 0
