@@ -163,7 +163,9 @@ def quality_filter(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rules = base_rules() + method_rules()
     order = estimate_rules(docs, rules, key=key, text=text, sample_docs=sample_docs)
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_source"))
-    judged = with_words(packed, "_source").withColumn("n_words", F.size("_words").cast("long"))
+    text_and_words = let(F.coalesce(F.col("_source"), F.lit("")), lambda t: F.struct(t.alias("_text"), blank_words(t).alias("_words")))
+    # A filter over a projection would be moved below it and split the text anew for every rule; it stays above a generator.
+    judged = packed.select("_doc", F.inline(F.array(text_and_words))).withColumn("n_words", F.size("_words").cast("long"))
     return judged.where(cascade(rules, order).isNull()).select("_doc.*")
 
 
