@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
     if needed is None:
         needed = links.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
     left = _written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
-    placed, base = None, None
+    placed, base, parts = None, None, []
     for level in range(max_rounds):
         if placed is None:
             ready = left.where("needed = 0").withColumns({"_after": F.lit(0).cast("long"), "_pos": F.lit(0)})
@@ -80,7 +81,10 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
         here = _written(here, "level")
         if here.isEmpty():
             break
-        placed = here if placed is None else _written(placed.union(here), "placed")
+        parts.append(here)
+        if len(parts) == 16:
+            parts = [_written(reduce(DataFrame.union, parts), "placed")]
+        placed = reduce(DataFrame.union, parts)
         base = placed.groupBy("workflow_id").agg(F.max("position").alias("_base"))
         left = _written(left.join(here.select(keys), keys, "left_anti"), "unplaced")
         if left.isEmpty():
