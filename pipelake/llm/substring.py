@@ -7,7 +7,7 @@ full, and a window is removed when its words also start in a document with a sma
 windows add up to maximal repeats.
 
 What moves is packed. A task gathers the windows of many documents, spreads them over buckets by hash, and sends one
-compressed array per bucket. Within a task equal windows meet at once: the task settles them and sends one
+compressed array per bucket, and answers go back packed by parts of the documents. Within a task equal windows meet at once: the task settles them and sends one
 of them on, so a passage that every document repeats costs a bucket one entry per task.
 
 Words are ``[^\x20\x09-\x0D]+``, unchanged. Null and blank texts have no words. Rows with a null id are neither
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelake.llm.hashing import WordHashes, window_hashes
+from pipelake.llm.hashing import WordHashes, mixed, window_hashes
 from pipelake.llm.packing import pack, unpack
 
 QUIET, ANCHOR = 1, 2
@@ -205,15 +205,22 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
             blobs = rows["blob"].to_pylist()
             if key[0].as_py() >= buckets:
                 found = [_unplaces(*unpack(b)) for b in blobs]
-                return _by_document(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            return _by_document(*meet(blobs))
+                doc, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            else:
+                doc, place = meet(blobs)
+            sent = list(_spread((mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, [], doc, place))
+            return pa.table({"part": pa.array([r[0] for r in sent], pa.int32()), "blob": pa.array([r[1] for r in sent], pa.binary())})
 
         return run
 
+    def by_document(rows: pa.Table) -> pa.Table:
+        found = [_unplaces(*unpack(b)) for b in rows["blob"].to_pylist()]
+        return _by_document(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+
     def gathered(rows: DataFrame, make, least: int, meet) -> DataFrame:
         sent = rows.mapInArrow(packed(make, least), "bucket int, blob binary")
-        found = sent.groupBy("bucket").applyInArrow(met(meet), "doc_id long, places array<int>")
-        return found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+        found = sent.groupBy("bucket").applyInArrow(met(meet), "part int, blob binary")
+        return found.groupBy("part").applyInArrow(by_document, "doc_id long, places array<int>")
 
     hits = gathered(docs, lambda c: _probes(c, block, buckets), window, _meet_probes)
     # An inner join would filter the texts below their exchange, which the other readers could then not share.
