@@ -192,6 +192,8 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
     block = (window + 1) // 2
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    parts = max(1, buckets // 4)
+
     def packed(make, least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in _chunks(batches, least, chunk_words):
@@ -208,7 +210,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
                 doc, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             else:
                 doc, place = meet(blobs)
-            sent = list(_spread((mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, [], doc, place))
+            sent = list(_spread((mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64), parts, [], doc, place))
             return pa.table({"part": pa.array([r[0] for r in sent], pa.int32()), "blob": pa.array([r[1] for r in sent], pa.binary())})
 
         return run
