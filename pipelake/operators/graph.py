@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,10 +57,10 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
     links = edges.select("workflow_id", "src", "dst", place.cast("int").alias("dst_pos"))
     links = links.groupBy("workflow_id", "src", "dst").agg(F.min("dst_pos").alias("dst_pos")) if needed is None else links
     links = links.join(known.select("workflow_id", F.col("step_id").alias("src")), ["workflow_id", "src"], "left_semi")
-    links = _written(links.join(known.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi").select("workflow_id", "src", "dst", "dst_pos"), "links")
+    links = written(links.join(known.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi").select("workflow_id", "src", "dst", "dst_pos"), "links")
     if needed is None:
         needed = links.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
-    left = _written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
+    left = written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
     placed, base, parts = None, None, []
     for level in range(max_rounds):
         if placed is None:
@@ -78,15 +78,15 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
             here = here.join(base, "workflow_id", "left").select(*keys, "ordinal", "level", (F.col("_n") + F.coalesce("_base", F.lit(0))).cast("long").alias("position"))
         else:
             here = here.select(*keys, "ordinal", "level", F.col("_n").cast("long").alias("position"))
-        here = _written(here, "level")
+        here = written(here, "level")
         if here.isEmpty():
             break
         parts.append(here)
         if len(parts) == 16:
-            parts = [_written(reduce(DataFrame.union, parts), "placed")]
+            parts = [written(reduce(DataFrame.union, parts), "placed")]
         placed = reduce(DataFrame.union, parts)
         base = placed.groupBy("workflow_id").agg(F.max("position").alias("_base"))
-        left = _written(left.join(here.select(keys), keys, "left_anti"), "unplaced")
+        left = written(left.join(here.select(keys), keys, "left_anti"), "unplaced")
         if left.isEmpty():
             break
     columns = [*keys, "ordinal", "level", "position"]

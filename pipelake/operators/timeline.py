@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelake.functions.exprs import short_label
+from pipelake.operators.graph import written
 
 KEYS = ["run_id", "step_id"]
 
@@ -71,16 +72,28 @@ def step_status(steps: DataFrame, events: DataFrame) -> DataFrame:
     return steps.join(last, KEYS, "left").select(*KEYS, status.alias("status"), F.when(F.col("e.event_type") == "Failed", F.col("e.error")).alias("error"))
 
 
-def thread_profile(events: DataFrame) -> DataFrame:
+def event_parts(events: DataFrame, part_rows: int = 100_000) -> DataFrame:
+    """events with _part: ranges of (run_id, ts, seq) of about part_rows rows. Written, since a range's edges are drawn anew by each job."""
+    parts = max(1, -(-events.count() // part_rows))
+    return written(events.repartitionByRange(parts, "run_id", "ts", "seq").withColumn("_part", F.spark_partition_id()), "parts")
+
+
+def thread_profile(events: DataFrame, part_rows: int = 100_000) -> DataFrame:
     """events(run_id, step_id, event_type, ts, seq, threads) with threads in use after each event, never below zero.
 
-    A running sum with a floor of zero is the sum less its lowest value so far, where that is negative.
+    A running sum with a floor of zero is the sum less its lowest value so far, where that is negative. Both are taken inside parts of
+    a run, and each part starts from the sum and the lowest value of the parts before it, so a long run is not one task.
     """
     delta = F.when(F.col("event_type") == "Started", F.col("threads")).when(_terminal(), -F.col("threads")).otherwise(0).cast("long")
-    so_far = Window.partitionBy("run_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    summed = events.withColumn("_sum", F.sum(delta).over(so_far))
-    used = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))
-    return summed.withColumn("threads_in_use", used).drop("_sum")
+    so_far = Window.partitionBy("_part", "run_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = event_parts(events, part_rows).withColumn("_delta", delta).withColumn("_sum", F.sum("_delta").over(so_far)).withColumn("_low", F.min("_sum").over(so_far))
+    earlier = Window.partitionBy("_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.groupBy(F.col("run_id").alias("_run"), F.col("_part").alias("_at")).agg(F.sum("_delta").alias("_total"), F.min("_sum").alias("_least"))
+    begun = totals.withColumn("_begin", F.sum("_total").over(earlier)).withColumn("_floor", F.min(F.coalesce("_begin", F.lit(0)) + F.col("_least")).over(earlier))
+    placed = inside.join(begun, (F.col("_part") == F.col("_at")) & F.col("run_id").eqNullSafe(F.col("_run")))
+    low = F.least(F.lit(0), F.col("_floor"), F.coalesce("_begin", F.lit(0)) + F.col("_low"))
+    used = F.coalesce(F.col("_begin") + F.col("_sum"), F.col("_sum"), F.col("_begin")) - low
+    return placed.select(*events.columns, used.alias("threads_in_use"))
 
 
 def peak_threads(events: DataFrame) -> DataFrame:

@@ -121,6 +121,21 @@ def test_thread_profile_equals_a_fold(spark, found):
     assert [r.threads_in_use for r in timeline.thread_profile(events).orderBy("ts").collect()] == expected
 
 
+def test_thread_profile_of_a_long_run_goes_in_parts(spark):
+    rng = random.Random(4)
+    found = [(rng.choice("abc"), rng.choice(["Started", "Completed", "Failed", "Skipped"]), i) for i in range(2000)]
+    events = events_of(spark, found).withColumn("threads", F.ascii("step_id") - 96)
+    sizes = [r["count"] for r in timeline.event_parts(events, part_rows=100).groupBy("_part").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 400
+    used, expected = 0, []
+    for s, k, _ in found:
+        used = max(0, used + {"Started": 1, "Skipped": 0}.get(k, -1) * (ord(s) - 96))
+        expected.append(used)
+    got = timeline.thread_profile(events, part_rows=100)
+    assert [r.threads_in_use for r in got.orderBy("ts").collect()] == expected
+    assert got.columns == [*events.columns, "threads_in_use"]
+
+
 @SLOW
 @given(st.lists(st.integers(0, 2_000_000), min_size=1, max_size=40, unique=True))
 def test_thinning_equals_a_fold(spark, times):
