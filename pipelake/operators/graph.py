@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelake.functions.exprs import render_command
@@ -112,15 +113,21 @@ def first_fit(candidates: DataFrame, budget: int, most: int) -> DataFrame:
     """candidates(group_id, ordinal, step_id, weight) with taken and never_fits.
 
     Per group and in order: stop after ``most`` are taken; skip one that exceeds what is left of the budget and look on.
-    A row that alone exceeds the budget never fits.
+    A row that alone exceeds the budget never fits. Each group streams through a task in order, batch by batch.
     """
-    begin = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("taken"))
-
-    def step(state: Column, c: Column) -> Column:
-        fits = (state["n"] < most) & (c["weight"] <= state["left"])
-        return F.when(fits, F.struct((state["left"] - c["weight"]).alias("left"), (state["n"] + 1).alias("n"), F.array_append(state["taken"], c["ordinal"]).alias("taken"))).otherwise(state)
-
-    entry = F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.col("weight").cast("long").alias("weight"))
-    folded = candidates.groupBy("group_id").agg(F.sort_array(F.collect_list(entry)).alias("c")).select("group_id", F.explode(F.aggregate("c", begin, step)["taken"]).alias("ordinal"), F.lit(True).alias("taken"))
-    joined = candidates.join(folded, ["group_id", "ordinal"], "left")
-    return joined.withColumns({"taken": F.coalesce("taken", F.lit(False)), "never_fits": F.col("weight") > budget})
+    columns = ["group_id", "ordinal", *[c for c in candidates.columns if c not in ("group_id", "ordinal")]]
+    keyed = candidates.select(*columns, F.col("weight").cast("long").alias("_w"))
+    schema = keyed.drop("_w").withColumn("taken", F.lit(None).cast("boolean")).schema
+
+    def fold(batches):
+        group, left, n = object(), budget, 0
+        for batch in batches:
+            taken = []
+            for this, weight in zip(batch.column("group_id").to_pylist(), batch.column("_w").to_pylist(), strict=True):
+                group, left, n = (group, left, n) if this == group else (this, budget, 0)
+                taken.append(fits := weight is not None and n < most and weight <= left)
+                left, n = (left - weight, n + 1) if fits else (left, n)
+            yield batch.select(columns).append_column("taken", pa.array(taken, pa.bool_()))
+
+    folded = keyed.repartition("group_id").sortWithinPartitions("group_id", "ordinal", "_w").mapInArrow(fold, schema)
+    return folded.withColumn("never_fits", F.col("weight") > budget)

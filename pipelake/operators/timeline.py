@@ -5,6 +5,7 @@ Order is always (ts, seq). Milliseconds are counted from the first event of the
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,41 +109,27 @@ def thin_samples(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:
     """Samples that a sampler with a minimum interval would keep.
 
     The first sample of a run only starts the clock. A later one is kept if it is at least the interval after the last one
-    that was accepted. Greedy, so each run is folded in order; runs are independent.
+    that was accepted. Greedy, so each run streams through a task in order, batch by batch; runs are independent.
     """
-    micros = min_interval_ms * 1000
-    entry = F.struct(F.unix_micros("ts").alias("t"), "seq")
-
-    def step(state: Column, s: Column) -> Column:
-        far = s["t"] - state["last"] >= micros
-        return F.when(state["last"].isNull(), F.struct(s["t"].alias("last"), state["kept"].alias("kept"))).otherwise(
-            F.when(far, F.struct(s["t"].alias("last"), F.array_append(state["kept"], s["seq"]).alias("kept"))).otherwise(state)
-        )
-
-    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    kept = samples.groupBy("run_id").agg(F.sort_array(F.collect_list(entry)).alias("s")).select("run_id", F.explode(F.aggregate("s", begin, step)["kept"]).alias("seq"))
-    return samples.join(kept, ["run_id", "seq"], "left_semi")
-
-
-def thin_long_runs(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:
-    """The same for runs too long to hold as one array: each run streams through a task in order."""
     micros, schema = min_interval_ms * 1000, samples.schema
 
     def thin(batches):
         run, last = object(), None
-        for frame in batches:
+        for batch in batches:
             keep = []
-            for this, t in zip(frame["run_id"], frame["_t"], strict=True):
-                if this != run:
-                    run, last = this, t
-                    keep.append(False)
-                else:
-                    keep.append(ok := t - last >= micros)
-                    last = t if ok else last
-            yield frame.loc[keep].drop(columns="_t")
+            for this, t in zip(batch.column("run_id").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                run, last = (run, last) if this == run else (this, None)
+                keep.append(ok := last is not None and t - last >= micros)
+                last = t if ok or last is None else last
+            yield batch.filter(pa.array(keep, pa.bool_())).select(schema.names)
 
     ordered = samples.withColumn("_t", F.unix_micros("ts")).repartition("run_id").sortWithinPartitions("run_id", "_t", "seq")
-    return ordered.mapInPandas(thin, schema)
+    return ordered.mapInArrow(thin, schema)
+
+
+def thin_long_runs(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:
+    """The same; kept for callers of the older name."""
+    return thin_samples(samples, min_interval_ms)
 
 
 def resource_summary(samples: DataFrame, runs: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,46 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("r")).select("r.*")
 
 
+def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], most: int = 500_000, piece: int = 1_000) -> Iterator[tuple]:
+    """The columns of a key's rows by (us, seq), the last two columns. Up to ``most`` rows are sorted at once; where there are more, sorted runs
+    of them go to a file that is gone afterwards, and are merged from there in pieces."""
+    held, size, runs, file = [], 0, [], None
+
+    def taken() -> pd.DataFrame:
+        return pd.concat(held)[columns].sort_values(["us", "seq"], kind="stable")
+
+    def read(places: list[int]) -> Iterator[tuple]:
+        for place in places:
+            file.seek(place)
+            yield from pickle.load(file)
+
+    try:
+        for frame in rows:
+            held.append(frame)
+            size += len(frame)
+            if size >= most:
+                file = file or tempfile.TemporaryFile()
+                found, places = taken(), []
+                file.seek(0, 2)
+                for i in range(0, len(found), piece):
+                    places.append(file.tell())
+                    pickle.dump(list(found[i : i + piece].itertuples(index=False, name=None)), file)
+                runs.append(places)
+                held, size = [], 0
+        last = taken().itertuples(index=False, name=None) if held else iter(())
+        yield from heapq.merge(*map(read, runs), last, key=lambda r: r[-2:]) if runs else last
+    finally:
+        if file:
+            file.close()
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Frames of up to ``size`` rows; an empty one where there are none."""
+    yield pd.DataFrame(list(islice(rows, size)), columns=columns)
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 class _Durations(StatefulProcessor):
     """Per (run, step): the last start; an end with a start gives a duration. A start that sees no end expires."""
 
@@ -47,18 +91,18 @@ class _Durations(StatefulProcessor):
         self.start = handle.getValueState("start", "start_us long", ttlDurationMs=self.expire_ms) if self.expire_ms else handle.getValueState("start", "start_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "seq"])
+        yield from _frames(self.ended(key, rows), ["run_id", "step_id", "duration_ms", "us", "seq"])
+
+    def ended(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         held = self.start.get() if self.start.exists() else None
         start = held[0] if held else None
-        out = []
-        for kind, us, seq in zip(frame["event_type"], frame["us"], frame["seq"], strict=True):
+        for kind, us, seq in _in_order(rows, ["event_type", "us", "seq"]):
             if kind == "Started":
                 start = int(us)
             elif kind in ("Completed", "Failed") and start is not None:
-                out.append((*key, int(us) // 1000 - start // 1000, int(us), int(seq)))
+                yield (*key, int(us) // 1000 - start // 1000, int(us), int(seq))
         if start is not None:
             self.start.update((start,))
-        yield pd.DataFrame(out, columns=["run_id", "step_id", "duration_ms", "us", "seq"])
 
     def close(self) -> None:
         pass
@@ -85,16 +129,17 @@ class _Thinning(StatefulProcessor):
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "seq"])
+        yield from _frames(self.kept(key, rows), ["run_id", "seq", "us", "cpu", "memory_mb"])
+
+    def kept(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         held = self.last.get() if self.last.exists() else None
         last = held[0] if held else None
-        keep = []
-        for us in frame["us"]:
+        for cpu, memory, us, seq in _in_order(rows, ["cpu", "memory_mb", "us", "seq"]):
             ok = last is not None and us - last >= self.micros
-            keep.append(ok)
             last = int(us) if ok or last is None else last
+            if ok:
+                yield (*key, seq, us, cpu, memory)
         self.last.update((last,))
-        yield frame.loc[keep, ["run_id", "seq", "us", "cpu", "memory_mb"]]
 
     def close(self) -> None:
         pass

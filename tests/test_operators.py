@@ -164,6 +164,42 @@ def test_first_fit_equals_a_fold(spark, weights, most):
     assert got.where("never_fits").count() == sum(w > 8 for w in weights)
 
 
+def test_folds_hold_no_group_as_one_value(spark):
+    """A group larger than a task's batch; the plan gathers no group in an array."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        samples = spark.range(1000).select(F.lit("r").alias("run_id"), F.timestamp_micros(F.col("id") * 100_000).alias("ts"), F.col("id").alias("seq"))
+        thinned = timeline.thin_samples(samples)
+        assert sorted(r.seq for r in thinned.collect()) == list(range(3, 1000, 3))
+        many = spark.range(1000).select(F.lit("g").alias("group_id"), F.col("id").cast("int").alias("ordinal"), F.lit("s").alias("step_id"), (F.col("id") % 2 * 4 + 1).alias("weight"))
+        fitted = graph.first_fit(many, 505, 1000)
+        assert fitted.columns == ["group_id", "ordinal", "step_id", "weight", "taken", "never_fits"]
+        left, expected = 505, []
+        for i in range(1000):
+            if (w := i % 2 * 4 + 1) <= left:
+                left -= w
+                expected.append(i)
+        assert sorted(r.ordinal for r in fitted.where("taken").collect()) == expected
+        assert "collect_list" not in "".join(f._jdf.queryExecution().toString() for f in (thinned, fitted))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_live_rows_of_a_key_come_in_order_from_sorted_runs():
+    import pandas as pd
+
+    from pipelake.streaming import live
+
+    rng = random.Random(6)
+    found = [(i, rng.randrange(300), i) for i in range(1000)]
+    chunks = (pd.DataFrame(found[i : i + 10], columns=["cpu", "us", "seq"]) for i in range(0, 1000, 10))
+    got = live._in_order(chunks, ["cpu", "us", "seq"], most=50, piece=7)
+    assert list(got) == sorted(found, key=lambda r: r[1:])
+    assert list(live._in_order(iter([]), ["cpu", "us", "seq"])) == []
+    assert [len(f) for f in live._frames(iter([(1,)] * 25), ["a"], size=10)] == [10, 10, 5]
+    assert [len(f) for f in live._frames(iter([]), ["a"])] == [0]
+
+
 def queue_order(n, links):
     """First-in first-out order on step numbers; edges leave in child order."""
     into = {d: sum(1 for _, x in links if x == d) for d in range(n)}
