@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -55,6 +56,12 @@ def test_odd_rows(spark):
     assert N.near_duplicates(frame.limit(0), size=2).count() == 0
 
 
+def test_sketch_filter_misses_next_to_no_pair_at_the_limit():
+    floor, k = N._least_common(80, 80), 80
+    missed = sum(math.comb(k, i) * 0.8**i * 0.2 ** (k - i) for i in range(k + 1) if i < floor * k)
+    assert missed < 1e-7
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(101)} | {500: 500, 501: 500}
