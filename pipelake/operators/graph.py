@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,14 +44,14 @@ def declared_links(steps: DataFrame, mode: str = "union") -> tuple[DataFrame, Da
     return edges, edges.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
 
 
-def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(workflow_id, step_id, ordinal, level, position) of every step; level and position are null in or behind a cycle.
 
     steps(workflow_id, step_id, ordinal); edges(workflow_id, src, dst[, dst_pos]), whose unknown ends are ignored;
     needed(workflow_id, step_id, needed), by default the number of a step's distinct predecessors. All workflows go together, one
     round per level: a round takes the steps whose predecessors are all placed. Inside a round steps stand in the order in which a
     first-in first-out queue would release them: by the position of their last predecessor, their place among its successors
-    (dst_pos, if given), and their own ordinal. Each round is a written table and only what is left is joined.
+    (dst_pos, if given), and their own ordinal. It ends when a round places nothing, or raises where that takes more than max_rounds. Each round is a written table and only what is left is joined.
     """
     keys = ["workflow_id", "step_id"]
     known = steps.select(*keys, "ordinal")
@@ -63,7 +64,7 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
         needed = links.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
     left = written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
     placed, base, parts = None, None, []
-    for level in range(max_rounds):
+    for level in count():
         if placed is None:
             ready = left.where("needed = 0").withColumns({"_after": F.lit(0).cast("long"), "_pos": F.lit(0)})
         else:
@@ -82,6 +83,8 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
         here = written(here, "level")
         if here.isEmpty():
             break
+        if max_rounds is not None and level >= max_rounds:
+            raise RuntimeError(f"steps are left to place after {max_rounds} rounds")
         parts.append(here)
         if len(parts) == 16:
             parts = [written(reduce(DataFrame.union, parts), "placed")]

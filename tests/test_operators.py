@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -236,6 +237,14 @@ def test_declared_order_and_modes(spark):
     assert order("reference") == ["a", "z", "b"]
 
 
+def test_a_chain_longer_than_the_rounds_is_no_cycle(spark):
+    steps = spark.createDataFrame([("w", f"s{i}", i) for i in range(4)], "workflow_id string, step_id string, ordinal int")
+    links = spark.createDataFrame([("w", f"s{i}", f"s{i + 1}") for i in range(3)], "workflow_id string, src string, dst string")
+    with pytest.raises(RuntimeError):
+        graph.topological(steps, links, max_rounds=3)
+    assert graph.cyclic_steps(graph.topological(steps, links, max_rounds=4)).count() == 0
+
+
 def test_topological_of_nothing(spark):
     steps = spark.createDataFrame([], "workflow_id string, step_id string, ordinal int")
     assert graph.topological(steps, spark.createDataFrame([], "workflow_id string, src string, dst string")).count() == 0
