@@ -1,37 +1,44 @@
 r"""SentencePiece encoding and decoding on a relational lattice.
 
-1. Coding: documents are rewritten as numbers into the word list of their chunk, one row per chunk. A word is a space-led run
-   (the space written as U+2581, also before the text); a line feed, which no piece contains, is a word of its own.
-2. Lattice: every distinct word of the corpus is exploded into its substrings up to the longest piece's length, and these are
+1. Coding: documents are rewritten as numbers into the atom list of their chunk. A word is a space-led run (the space written as
+   U+2581, also before the text), cut wherever no piece has the two characters side by side: no edge of the word's lattice crosses
+   such a place, so the lattice falls into those of its atoms. A line feed is an atom of its own.
+2. Lattice: every distinct atom of the corpus is exploded into its substrings up to the longest piece's length, and these are
    joined to the piece table. A character that no piece covers gives an edge of byte pieces.
-3. Viterbi: edges are grouped by word and end, and a higher-order fold keeps the best score of each end. The best path has the
-   highest sum of piece scores; ties take the longest last piece, from the end backwards.
-4. The ids of a chunk's words go back to the chunk, and its documents are spelled out.
+3. Viterbi: edges are grouped by atom, and a higher-order fold over them, in order of their ends, keeps the best score of each
+   end. The best path has the highest sum of piece scores; ties take the longest last piece, from the end backwards.
+4. The ids of a chunk's atoms go back to the chunk, and its documents are spelled out.
 
-The piece table is the model's, so its size bounds what is broadcast. Scores add up as in a unigram model; a model made for
-merge order (BPE) is read by the same rule, so its ids can differ from that model's own merges, never in the text they
+One exchange carries both the atoms (to the buckets that own them) and the coded documents (to wait for the answers); the answers
+are packed. The piece table is the model's, so its size bounds what is broadcast. Scores add up as in a unigram model; a model
+made for merge order (BPE) is read by the same rule, so its ids can differ from that model's own merges, never in the text they
 decode to. Pieces with an inner U+2581 (runs of spaces) are not used, as words end at spaces.
 
-Null and empty texts have no ids. Documents keep their rows, repeated or not. Texts decode exactly, but for U+2581
-itself, which reads as a space. Extra columns are ignored.
+Null and empty texts have no ids. Documents keep their rows, repeated or not, and null ids. Texts decode exactly, but for U+2581
+itself, which reads as a space. Extra columns are ignored. A recomputed task has to see its rows in the same order, as a scan does.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm.common import let, written
+from pipelake.llm.common import let
 from pipelake.llm.packing import pack, unpack
 
 SPACE = "▁"
-BLOCK = 256
+BLOCK = 128
+#: Ends of a long word that are exploded together.
+SEGMENT = 64
 
 
 @dataclass(frozen=True)
@@ -63,9 +70,13 @@ class PieceModel:
         """Score of a character that no piece covers: below every piece."""
         return min(s for s, ok in zip(self.scores, self.usable, strict=True) if ok) - 10.0
 
+    def neighbours(self) -> frozenset[str]:
+        """Every two characters that some piece has side by side."""
+        return frozenset(a + b for p, ok in zip(self.pieces, self.usable, strict=True) if ok for a, b in zip(p, p[1:], strict=False))
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(p, i, float(s)) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.usable, strict=True)) if ok]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        return spark.createDataFrame(rows, "piece string, id long, score double")
 
     def text_of(self) -> list[bytes]:
         """Text of every id; control pieces read as nothing."""
@@ -76,145 +87,277 @@ class PieceModel:
 
 
 def words_of(text: str) -> list[str]:
-    """The words whose lattices make up a text's lattice."""
-    out = []
-    for part in text.split(" ") if text else ():
-        out += re.findall(r"\n|[^\n]+", SPACE + part) if "\n" in part else [SPACE + part]
-    return out
-
-
-def coded(docs: DataFrame, *, key: str, text: str, chunk_words: int = 1 << 21) -> DataFrame:
-    """The written chunks (chunk, words, keys, coded): documents as numbers into the chunk's word list."""
+    """The words whose lattices make up a text's lattice, before they are cut."""
+    return [w for part in text.split(" ") for w in re.findall(r"\n|[^\n]+", SPACE + part)] if text else []
+
+
+def _ragged(offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a flat array of the picked runs, one after another, and where each run ends among them."""
+    counts = offsets[picks + 1] - offsets[picks]
+    ends = np.cumsum(counts)
+    return np.repeat(offsets[picks] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
+class _Cutter:
+    """Cuts words where no piece has the two characters side by side, many at once."""
+
+    def __init__(self, neighbours: frozenset[str]):
+        letters = sorted({c for pair in neighbours for c in pair})
+        self.kind = np.zeros(ord(letters[-1]) + 2 if letters else 1, np.int32)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in neighbours:
+            self.joined[number[a], number[b]] = True
+
+    def cut(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The atoms of all parts, each part led by U+2581, and the number of atoms before each part and after the last."""
+        text = SPACE + SPACE.join(parts)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kinds = self.kind[np.minimum(points, len(self.kind) - 1)]
+        starts = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        opens = np.ones(len(text) + 1, bool)
+        opens[1:-1] = ~self.joined[kinds[:-1], kinds[1:]]
+        opens[starts] = True
+        places = np.flatnonzero(opens)
+        at = places.tolist()
+        return [text[a:b] for a, b in zip(at, at[1:], strict=False)], np.searchsorted(places, starts)
+
+
+class _Chunk:
+    """Documents as numbers of their parts (what stands between spaces)."""
+
+    def __init__(self):
+        self.parts: dict[str, int] = defaultdict(count().__next__)
+        self.keys: list[int | None] = []
+        self.sizes: list[int] = []
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key: int | None, text: str) -> None:
+        parts = text.split(" ") if text else []
+        self.held.append(np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)))
+        self.keys.append(key)
+        self.sizes.append(len(parts))
+        self.size += len(parts)
+
+    def rows(self, cutter: _Cutter, route: int, buckets: list[int]) -> Iterator[tuple[int, bytes]]:
+        """The atoms for each bucket, by frequency, and the coded documents: codes are ranks by frequency over the chunk."""
+        names: dict[str, int] = defaultdict(count().__next__)
+        atoms, part_ends = cutter.cut(list(self.parts)) if self.parts else ([], np.zeros(1, np.int64))
+        of_part = np.fromiter(map(names.__getitem__, atoms), np.int64, len(atoms))
+        at, ends = _ragged(part_ends, np.concatenate([np.zeros(0, np.int64), *self.held]))
+        codes = of_part[at]
+        ends = np.concatenate(([0], ends))[np.cumsum([0, *self.sizes])]
+        order = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        by_rank = np.array(list(names), object)[order]
+        owner = np.fromiter((xxhash.xxh3_64_intdigest(a) % len(buckets) for a in by_rank), np.uint32, len(by_rank))
+        for b, places in _by_owner(owner):
+            yield buckets[b], f"{route} {' '.join(by_rank[places].tolist())}".encode()
+        keys = np.array([k or 0 for k in self.keys], np.int64)
+        yield route, pack(np.array([k is None for k in self.keys], np.uint8), keys, np.diff(ends).astype("<u4"), rank[codes], owner)
+
+
+def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, ranks of its atoms, ascending)."""
+    order = np.argsort(owner, kind="stable")
+    found, first = np.unique(owner[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else iter(())
+
+
+def bucket_keys(spark: SparkSession) -> list[int]:
+    """Negative numbers, one for each shuffle partition, so that buckets are dealt out evenly."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tried = spark.range(1, 24 * n + 1).select((-F.col("id")).alias("key"))
+    return sorted((r.key for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(n))).agg(F.max("key").alias("key")).collect()), reverse=True)
+
+
+def coded(docs: DataFrame, model: PieceModel, *, key: str, text: str, chunk_words: int = 1 << 20) -> DataFrame:
+    """(route, body): coded chunks by chunk number, and their atom lists by bucket key, below zero."""
+    buckets, neighbours = bucket_keys(docs.sparkSession), model.neighbours()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, numbers = TaskContext.get().partitionId() << 32, {}
-        keys: list[int | None] = []
-        sizes: list[int] = []
-        held: list[np.ndarray] = []
-        size = 0
+        route, chunk, cutter = TaskContext.get().partitionId() << 32, _Chunk(), _Cutter(neighbours)
 
         def full() -> pa.RecordBatch:
-            blob = pack(np.array(sizes, "<u4"), np.concatenate([np.zeros(0, "<u4"), *held]).astype("<u4"))
-            columns = [pa.array([chunk], pa.int64()), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([keys], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "keys", "coded"])
+            rows = list(chunk.rows(cutter, route, buckets))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["route", "body"])
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(value.as_py() or "")
-                held.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
-                keys.append(doc_id)
-                sizes.append(len(words))
-                size += len(words)
-                if size >= chunk_words:
+                chunk.add(doc_id, value.as_py() or "")
+                if chunk.size >= chunk_words:
                     yield full()
-                    chunk, numbers, size = chunk + 1, {}, 0
-                    keys, sizes, held = [], [], []
-        if keys:
+                    chunk, route = _Chunk(), route + 1
+        if chunk.keys:
             yield full()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(code, "chunk long, words array<string>, keys array<long>, coded binary"), "coded-documents")
+    return rows.mapInArrow(code, "route long, body binary")
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, end, start, ids, score): the edges of ``words(word)``."""
+    """The edges (.., word, end, start, id, score) of ``words(.., word)``; an id below zero stands for the bytes of a character, as
+    a number, less one.
+    """
     pieces = F.broadcast(model.table(words.sparkSession))
-    ends = F.sequence(F.lit(1), F.length("word"))
-    opened = words.select("word", F.explode(ends).alias("end"))
+    keys, reach = words.columns, model.longest - 1
+    n = F.length("word")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT)), lambda s: F.struct(
+        F.greatest(s * SEGMENT - reach, F.lit(0)).alias("shift"), (s * SEGMENT + 1).alias("first"),
+        F.substr("word", F.greatest(s * SEGMENT - reach, F.lit(0)) + 1, (s + 1) * SEGMENT - F.greatest(s * SEGMENT - reach, F.lit(0))).alias("part"),
+    ))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.lit(1).cast("long").alias("first"), F.col("word").alias("part")))
+    parts = words.select(*keys, F.inline(F.when(n <= SEGMENT, whole).otherwise(cut)))
+    opened = parts.select(*keys, "shift", "part", F.explode(F.sequence((F.col("first") - F.col("shift")).cast("int"), F.length("part"))).alias("end"))
     starts = F.sequence(F.greatest(F.col("end") - model.longest, F.lit(0)), F.col("end") - 1)
-    parts = opened.select("word", "end", F.explode(starts).alias("start"))
-    parts = parts.withColumn("piece", F.expr("substring(word, start + 1, end - start)"))
-    joined = parts.join(pieces, "piece", "left").where("id IS NOT NULL OR end - start = 1")
-    pairs = F.sequence(F.lit(1), F.length(F.hex("piece")), F.lit(2))
-    in_bytes = F.transform(pairs, lambda i: F.get(F.array(*map(F.lit, model.bytes_at)), F.conv(F.substr(F.hex("piece"), i, F.lit(2)), 16, 10).cast("int")))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(in_bytes)
-    return joined.select("word", "end", "start", ids.alias("ids"), F.coalesce("score", F.lit(model.fallback)).alias("score"))
+    opened = opened.select(*keys, "shift", "part", "end", F.explode(starts).alias("start"))
+    opened = opened.withColumn("piece", F.expr("substring(part, start + 1, end - start)"))
+    joined = opened.join(pieces, "piece", "left").where("id IS NOT NULL OR end - start = 1")
+    in_bytes = F.lit(-1) - F.conv(F.hex("piece"), 16, 10).cast("long")
+    placed = lambda c: (F.col(c) + F.col("shift")).cast("int").alias(c)
+    return joined.select(*keys, placed("end"), placed("start"), F.coalesce("id", in_bytes).alias("id"), F.coalesce("score", F.lit(model.fallback)).alias("score"))
 
 
 def _push(blocks: Column, recent: Column, item: Column) -> tuple[Column, Column]:
     """Append an item to a list kept as full blocks and a short rest, so that each step copies little."""
     longer = F.concat(recent, F.array(item))
-    full = F.size(longer) >= BLOCK
-    return F.when(full, F.concat(blocks, F.array(longer))).otherwise(blocks), F.when(full, F.slice(longer, 1, 0)).otherwise(longer)
-
-
-def best_paths(edges: DataFrame, longest: int) -> DataFrame:
-    """(word, ids): the ids of the best path of each word."""
-    by_end = edges.groupBy("word", "end").agg(F.collect_list(F.struct("start", "score", "ids")).alias("edges"))
-    by_word = by_end.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    step_type = "struct<start:int,ids:array<int>>"
-    begin = F.struct(
-        F.array(F.lit(0.0)).alias("near"), F.array().cast(f"array<array<{step_type}>>").alias("blocks"), F.array().cast(f"array<{step_type}>").alias("recent")
-    )
-
-    def forward(state: Column, at: Column) -> Column:
-        near = state["near"]
-
-        def scored(e: Column) -> Column:
-            before = F.get(near, F.size(near) - (at["end"] - e["start"]))
-            return F.struct((before + e["score"]).alias("total"), (-e["start"]).alias("back"), F.struct(e["start"], e["ids"]).alias("step"))
-
-        def extend(best: Column) -> Column:
-            blocks, recent = _push(state["blocks"], state["recent"], best["step"])
-            wider = F.concat(near, F.array(best["total"]))
-            return F.struct(F.slice(wider, F.greatest(F.size(wider) - longest + 1, F.lit(1)), longest).alias("near"), blocks.alias("blocks"), recent.alias("recent"))
-
-        return let(F.array_max(F.transform(at["edges"], scored)), extend)
-
-    folded = by_word.select("word", F.size("ends").alias("n"), F.aggregate("ends", begin, forward).alias("f"))
-    steps = folded.select("word", "n", F.concat(F.flatten("f.blocks"), F.col("f.recent")).alias("steps"))
-    ids_start = F.struct(F.col("n").alias("at"), F.array().cast("array<array<array<int>>>").alias("blocks"), F.array().cast("array<array<int>>").alias("recent"))
-
-    def backward(state: Column, pair: Column) -> Column:
-        blocks, recent = _push(state["blocks"], state["recent"], F.reverse(pair["step"]["ids"]))
-        taken = F.struct(pair["step"]["start"].alias("at"), blocks.alias("blocks"), recent.alias("recent"))
-        return F.when(pair["end"] == state["at"], taken).otherwise(state)
-
-    numbered = F.transform("steps", lambda s, i: F.struct((i + 1).alias("end"), s.alias("step")))
-    walked = steps.select("word", F.aggregate(F.reverse(numbered), ids_start, backward).alias("w"))
-    return walked.select("word", F.reverse(F.flatten(F.concat(F.flatten("w.blocks"), F.col("w.recent")))).alias("ids"))
+    full = F.size(recent) >= BLOCK - 1
+    return F.when(full, F.concat(blocks, F.array(longer))).otherwise(blocks), F.when(full, F.slice(recent, 1, 0)).otherwise(longer)
+
+
+def _spelled(i: Column, byte_ids: Column) -> Column:
+    """The ids of an id: those of its byte pieces, high byte first, if it is below zero."""
+    value = F.lit(-1) - i
+    units = F.filter(F.array(*[F.lit(1 << s).cast("long") for s in (24, 16, 8, 0)]), lambda u: (u == 1) | (value >= u))
+    return F.when(i >= 0, F.array(i)).otherwise(F.transform(units, lambda u: F.get(byte_ids, F.pmod(F.floor(value / u), F.lit(256)).cast("int")).cast("long")))
+
+
+def best_paths(edges: DataFrame, model: PieceModel) -> DataFrame:
+    """(.., word, ids): the ids of the best path of each word."""
+    keys = [c for c in edges.columns if c not in ("end", "start", "id", "score")]
+    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+    # The state has the best edge yet of the end at hand (the one-character edge comes last of an end and closes it), and the best
+    # edge of each end before: recent ones, from position ``offset`` on, and full blocks of those that no piece reaches.
+    edge_type = "struct<end:int,start:int,id:bigint,score:double>"
+    done_type = f"struct<total:double,e:{edge_type}>"
+    none = F.lit(None).cast(edge_type)
+
+    def state(total: Column, e: Column, offset: Column, best: Column, blocks: Column) -> Column:
+        return F.struct(total.alias("total"), e.alias("e"), offset.alias("offset"), best.alias("best"), blocks.alias("blocks"))
+
+    low = F.lit(float("-inf"))
+    origin = F.array(F.struct(F.lit(0.0).alias("total"), none.alias("e")))
+    begin = state(low, none, F.lit(0), origin, F.array().cast(f"array<array<{done_type}>>"))
+
+    def forward(s: Column, e: Column) -> Column:
+        total = F.get(s["best"], e["start"] - s["offset"])["total"] + e["score"]
+
+        def closed(t: Column) -> Column:
+            chosen = F.when(t > s["total"], F.struct(t.alias("total"), e.alias("e"))).otherwise(F.struct(s["total"].alias("total"), s["e"].alias("e")))
+            longer = F.concat(s["best"], F.array(chosen))
+            gone = F.size(s["best"]) + 1 - model.longest
+            moved = state(low, none, s["offset"] + gone, F.slice(longer, -model.longest, model.longest), F.concat(s["blocks"], F.array(F.slice(longer, 1, gone))))
+            return F.when(F.size(s["best"]) < BLOCK, state(low, none, s["offset"], longer, s["blocks"])).otherwise(moved)
+
+        better = F.when(total > s["total"], state(total, e, s["offset"], s["best"], s["blocks"])).otherwise(s)
+        return F.when(e["end"] - e["start"] == 1, let(total, closed)).otherwise(better)
+
+    def walked(s: Column) -> Column:
+        def back(steps: Column) -> Column:
+            last = F.size(steps) - 1
+            path = F.struct(last.alias("at"), F.array().cast("array<array<bigint>>").alias("blocks"), F.array().cast("array<bigint>").alias("recent"))
+
+            def take(p: Column, k: Column) -> Column:
+                blocks, recent = _push(p["blocks"], p["recent"], F.get(steps, k)["e"]["id"])
+                return F.when(k == p["at"], F.struct(F.get(steps, k)["e"]["start"].alias("at"), blocks.alias("blocks"), recent.alias("recent"))).otherwise(p)
+
+            return F.aggregate(F.sequence(last, F.lit(1)), path, take, lambda p: F.reverse(F.concat(F.flatten(p["blocks"]), p["recent"])))
+
+        return let(F.concat(F.flatten(s["blocks"]), s["best"]), back)
+
+    ids = grouped.select(*keys, F.aggregate("edges", begin, forward, walked).alias("ids"))
+    byte_ids = F.array(*map(F.lit, model.bytes_at))
+    spelled = F.flatten(F.transform("ids", lambda i: _spelled(i, byte_ids)))
+    return ids.withColumn("ids", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, bucket, pos, ids) rows to packed (route, answer): the places and ids of a bucket's atoms in a chunk."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        route, bucket, pos = (rows[c].to_numpy() for c in ("route", "bucket", "pos"))
+        lists = rows["ids"].chunk(0)
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        order = np.lexsort((pos, bucket, route))
+        at, ends = _ragged(offsets, order)
+        flat, ends = flat[at].astype("<u4"), np.concatenate(([0], ends))
+        route, bucket, pos, counts = route[order], bucket[order], pos[order], np.diff(ends).astype("<u4")
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(route) != 0) | (np.diff(bucket) != 0))))
+        out = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(route)], strict=True):
+            out.append(pack(bucket[a : a + 1], np.diff(pos[a:b], prepend=0).astype("<u4"), counts[a:b], flat[ends[a] : ends[b]]))
+        return pa.RecordBatch.from_arrays([pa.array(route[first], pa.int64()), pa.array(out, pa.binary())], names=["route", "answer"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 1 << 19:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
 
 
 def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: ids as little-endian uint32 bytes."""
-    chunks = coded(docs, key=key, text=text)
-    # One exchange by word serves the lattice, the folds and the way back: both readers ask for the same columns and rows.
-    places = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).where("word IS NOT NULL AND chunk IS NOT NULL").repartition("word")
-    words = places.groupBy("word").agg(F.min(F.struct("chunk", "pos")).alias("first")).where("first IS NOT NULL")
-    paths = best_paths(lattice(words, model), model.longest)
-    back = places.join(paths, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("dictionary"))
+    # All readers of the exchange ask for the same columns and rows, so it is made once.
+    dealt = coded(docs, model, key=key, text=text).where("route IS NOT NULL").repartition("route")
+    parts = dealt.select("route", F.when(F.col("route") < 0, F.split(F.col("body").cast("string"), " ")).alias("parts"))
+    lists = parts.select("route", F.get("parts", F.lit(0)).cast("long").alias("chunk"), "parts")
+    places = lists.select("route", "chunk", F.posexplode_outer("parts").alias("pos", "word")).where("pos > 0")
+    paths = best_paths(lattice(places.select("word", "route").distinct(), model), model)
+    answered = places.join(paths, ["word", "route"]).select(F.col("chunk").alias("route"), F.col("route").alias("bucket"), (F.col("pos") - 1).alias("pos"), "ids")
+    answers = answered.mapInArrow(_answers, "route long, answer binary").groupBy("route").agg(F.collect_list("answer").alias("answers"))
+    number = {k: b for b, k in enumerate(bucket_keys(docs.sparkSession))}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = batch.column(0)[i].values
-                sizes, numbers = unpack(batch.column(1)[i].as_py())
-                entries = batch.column(2)[i].values
-                if entries is None or not len(numbers):
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([b""] * len(keys), pa.binary())], names=["doc_id", "ids"])
+                if batch.column(0)[i].as_py() < 0:
                     continue
-                pos, ids = entries.field("pos").to_numpy(zero_copy_only=False), entries.field("ids")
-                flat, offsets = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                lengths = np.empty(len(pos), np.int64)
-                firsts = np.empty(len(pos), np.int64)
-                lengths[pos], firsts[pos] = np.diff(offsets), offsets[:-1]
+                absent, keys, sizes, codes, owner = unpack(batch.column(1)[i].as_py())
+                keys = pa.array(keys, pa.int64(), mask=absent.astype(bool))
+                ranks = dict(_by_owner(owner))
+                flat, before = [np.zeros(0, "<u4")], 0
+                counts, firsts = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+                for answer in batch.column(2)[i].as_py() or ():
+                    bucket, pos, lengths, ids = unpack(answer)
+                    at = ranks[number[int(bucket[0])]][np.cumsum(pos, dtype=np.int64)]
+                    counts[at], firsts[at] = lengths, before + np.cumsum(lengths, dtype=np.int64) - lengths
+                    flat.append(ids)
+                    before += len(ids)
+                flat = np.concatenate(flat)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 for a in range(0, len(keys), 64):
                     b = min(a + 64, len(keys))
                     first = ends[a] - sizes[a]
-                    word = numbers[first : ends[b - 1]]
-                    counts = lengths[word]
-                    total = np.concatenate(([0], np.cumsum(counts)))
-                    tokens = flat[np.repeat(firsts[word] - total[:-1], counts) + np.arange(total[-1])]
+                    word = codes[first : ends[b - 1]]
+                    n = counts[word]
+                    total = np.concatenate(([0], np.cumsum(n)))
+                    tokens = flat[np.repeat(firsts[word] - total[:-1], n) + np.arange(total[-1])]
                     cuts = total[np.concatenate(([first], ends[a:b])) - first]
                     out = [tokens[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    joined = chunks.select("chunk", "keys", "coded").join(back, "chunk", "left").select("keys", "coded", "dictionary")
-    return joined.mapInArrow(spell, "doc_id long, ids binary")
+    return dealt.join(answers, "route", "left").select("route", "body", "answers").mapInArrow(spell, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
