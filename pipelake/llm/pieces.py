@@ -39,6 +39,8 @@ SPACE = "▁"
 BLOCK = 128
 #: Ends of a long word that are exploded together.
 SEGMENT = 64
+#: A chunk's number is its input partition times 2^32 and its place there; a span is 2^10 partitions.
+SPAN_BITS = 42
 
 
 @dataclass(frozen=True)
@@ -174,7 +176,7 @@ def bucket_keys(spark: SparkSession) -> list[int]:
     return sorted((r.key for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(n))).agg(F.max("key").alias("key")).collect()), reverse=True)
 
 
-def coded(docs: DataFrame, model: PieceModel, *, key: str, text: str, chunk_words: int = 1 << 20) -> DataFrame:
+def coded(docs: DataFrame, model: PieceModel, *, key: str, text: str, chunk_words: int = 1 << 19) -> DataFrame:
     """(route, body): coded chunks by chunk number, and their atom lists by bucket key, below zero."""
     buckets, neighbours = bucket_keys(docs.sparkSession), model.neighbours()
 
@@ -201,31 +203,32 @@ def coded(docs: DataFrame, model: PieceModel, *, key: str, text: str, chunk_word
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """The edges (.., word, end, start, id, score) of ``words(.., word)``; an id below zero stands for the bytes of a character, as
-    a number, less one.
+    """The edges (number, route, end, start, id, score, ..) of ``words(number, route, .., word)``; an id below zero stands for the
+    bytes of a character, as a number, less one. Other columns ride on the edge of the first character alone.
     """
     pieces = F.broadcast(model.table(words.sparkSession))
-    keys, reach = words.columns, model.longest - 1
-    n = F.length("word")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT)), lambda s: F.struct(
-        F.greatest(s * SEGMENT - reach, F.lit(0)).alias("shift"), (s * SEGMENT + 1).alias("first"),
-        F.substr("word", F.greatest(s * SEGMENT - reach, F.lit(0)) + 1, (s + 1) * SEGMENT - F.greatest(s * SEGMENT - reach, F.lit(0))).alias("part"),
-    ))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.lit(1).cast("long").alias("first"), F.col("word").alias("part")))
+    keys, reach = [c for c in words.columns if c != "word"], model.longest - 1
+    n, shift = F.length("word"), lambda s: F.greatest(s * SEGMENT - reach, F.lit(0))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT)),
+        lambda s: F.struct(shift(s).alias("shift"), (s * SEGMENT + 1).alias("least"), F.substr("word", shift(s) + 1, (s + 1) * SEGMENT - shift(s)).alias("part")),
+    )
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.lit(1).cast("long").alias("least"), F.col("word").alias("part")))
     parts = words.select(*keys, F.inline(F.when(n <= SEGMENT, whole).otherwise(cut)))
-    opened = parts.select(*keys, "shift", "part", F.explode(F.sequence((F.col("first") - F.col("shift")).cast("int"), F.length("part"))).alias("end"))
+    opened = parts.select(*keys, "shift", "part", F.explode(F.sequence((F.col("least") - F.col("shift")).cast("int"), F.length("part"))).alias("end"))
     starts = F.sequence(F.greatest(F.col("end") - model.longest, F.lit(0)), F.col("end") - 1)
     opened = opened.select(*keys, "shift", "part", "end", F.explode(starts).alias("start"))
     opened = opened.withColumn("piece", F.expr("substring(part, start + 1, end - start)"))
     joined = opened.join(pieces, "piece", "left").where("id IS NOT NULL OR end - start = 1")
     in_bytes = F.lit(-1) - F.conv(F.hex("piece"), 16, 10).cast("long")
     placed = lambda c: (F.col(c) + F.col("shift")).cast("int").alias(c)
-    return joined.select(*keys, placed("end"), placed("start"), F.coalesce("id", in_bytes).alias("id"), F.coalesce("score", F.lit(model.fallback)).alias("score"))
+    rest = [F.when(F.col("end") + F.col("shift") == 1, F.col(c)).alias(c) for c in keys if c not in ("number", "route")]
+    return joined.select("number", "route", placed("end"), placed("start"), F.coalesce("id", in_bytes).alias("id"), F.coalesce("score", F.lit(model.fallback)).alias("score"), *rest)
 
 
 def _push(blocks: Column, recent: Column, item: Column) -> tuple[Column, Column]:
     """Append an item to a list kept as full blocks and a short rest, so that each step copies little."""
-    longer = F.concat(recent, F.array(item))
+    longer = F.array_append(recent, item)
     full = F.size(recent) >= BLOCK - 1
     return F.when(full, F.concat(blocks, F.array(longer))).otherwise(blocks), F.when(full, F.slice(recent, 1, 0)).otherwise(longer)
 
@@ -237,35 +240,34 @@ def _spelled(i: Column, byte_ids: Column) -> Column:
     return F.when(i >= 0, F.array(i)).otherwise(F.transform(units, lambda u: F.get(byte_ids, F.pmod(F.floor(value / u), F.lit(256)).cast("int")).cast("long")))
 
 
-def best_paths(edges: DataFrame, model: PieceModel) -> DataFrame:
-    """(.., word, ids): the ids of the best path of each word."""
-    keys = [c for c in edges.columns if c not in ("end", "start", "id", "score")]
-    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+def best_paths(words: DataFrame, model: PieceModel) -> DataFrame:
+    """(route, .., ids) of ``words(number, route, .., word)``: the ids of the best path of each word."""
+    rest = [c for c in words.columns if c not in ("number", "route", "word")]
+    edges = lattice(words, model)
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in rest]
+    grouped = edges.groupBy("number", "route").agg(F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"), *carried)
     # The state has the best edge yet of the end at hand (the one-character edge comes last of an end and closes it), and the best
-    # edge of each end before: recent ones, from position ``offset`` on, and full blocks of those that no piece reaches.
+    # edge of each end before: recent ones, from position ``offset`` on, and full blocks of those that no piece reaches. It
+    # passes through no ``let``, which would copy it.
     edge_type = "struct<end:int,start:int,id:bigint,score:double>"
     done_type = f"struct<total:double,e:{edge_type}>"
     none = F.lit(None).cast(edge_type)
 
-    def state(total: Column, e: Column, offset: Column, best: Column, blocks: Column) -> Column:
-        return F.struct(total.alias("total"), e.alias("e"), offset.alias("offset"), best.alias("best"), blocks.alias("blocks"))
+    def state(pending: Column, best: Column, past: Column) -> Column:
+        return F.struct(pending.alias("pending"), best.alias("best"), past.alias("past"))
 
-    low = F.lit(float("-inf"))
-    origin = F.array(F.struct(F.lit(0.0).alias("total"), none.alias("e")))
-    begin = state(low, none, F.lit(0), origin, F.array().cast(f"array<array<{done_type}>>"))
+    done = lambda total, e: F.struct(total.alias("total"), e.alias("e"))
+    nothing = done(F.lit(float("-inf")), none)
+    begin = state(nothing, F.array(done(F.lit(0.0), none)), F.struct(F.lit(0).alias("offset"), F.array().cast(f"array<array<{done_type}>>").alias("blocks")))
 
     def forward(s: Column, e: Column) -> Column:
-        total = F.get(s["best"], e["start"] - s["offset"])["total"] + e["score"]
-
-        def closed(t: Column) -> Column:
-            chosen = F.when(t > s["total"], F.struct(t.alias("total"), e.alias("e"))).otherwise(F.struct(s["total"].alias("total"), s["e"].alias("e")))
-            longer = F.concat(s["best"], F.array(chosen))
-            gone = F.size(s["best"]) + 1 - model.longest
-            moved = state(low, none, s["offset"] + gone, F.slice(longer, -model.longest, model.longest), F.concat(s["blocks"], F.array(F.slice(longer, 1, gone))))
-            return F.when(F.size(s["best"]) < BLOCK, state(low, none, s["offset"], longer, s["blocks"])).otherwise(moved)
-
-        better = F.when(total > s["total"], state(total, e, s["offset"], s["best"], s["blocks"])).otherwise(s)
-        return F.when(e["end"] - e["start"] == 1, let(total, closed)).otherwise(better)
+        total = F.get(s["best"], e["start"] - s["past"]["offset"])["total"] + e["score"]
+        better = total > s["pending"]["total"]
+        longer = F.array_append(s["best"], F.when(better, done(total, e)).otherwise(s["pending"]))
+        gone = F.size(s["best"]) + 1 - model.longest
+        past = F.struct((s["past"]["offset"] + gone).alias("offset"), F.concat(s["past"]["blocks"], F.array(F.slice(longer, 1, gone))).alias("blocks"))
+        closed = F.when(F.size(s["best"]) < BLOCK, state(nothing, longer, s["past"])).otherwise(state(nothing, F.slice(longer, -model.longest, model.longest), past))
+        return F.when(e["end"] - e["start"] == 1, closed).when(better, state(done(total, e), s["best"], s["past"])).otherwise(s)
 
     def walked(s: Column) -> Column:
         def back(steps: Column) -> Column:
@@ -278,27 +280,28 @@ def best_paths(edges: DataFrame, model: PieceModel) -> DataFrame:
 
             return F.aggregate(F.sequence(last, F.lit(1)), path, take, lambda p: F.reverse(F.concat(F.flatten(p["blocks"]), p["recent"])))
 
-        return let(F.concat(F.flatten(s["blocks"]), s["best"]), back)
+        return let(F.concat(F.flatten(s["past"]["blocks"]), s["best"]), back)
 
-    ids = grouped.select(*keys, F.aggregate("edges", begin, forward, walked).alias("ids"))
+    ids = grouped.select("route", *rest, F.aggregate("edges", begin, forward, walked).alias("ids"))
     byte_ids = F.array(*map(F.lit, model.bytes_at))
     spelled = F.flatten(F.transform("ids", lambda i: _spelled(i, byte_ids)))
     return ids.withColumn("ids", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")))
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(route, bucket, pos, ids) rows to packed (route, answer): the places and ids of a bucket's atoms in a chunk."""
+    """(bucket, places, ids) of words to packed (route, answer) of chunks: the places and ids of a bucket's atoms in the chunk."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        route, bucket, pos = (rows[c].to_numpy() for c in ("route", "bucket", "pos"))
-        lists = rows["ids"].chunk(0)
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        bucket, places, lists = (rows[c].chunk(0) for c in ("bucket", "places", "ids"))
+        of = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+        at = places.flatten()
+        route, pos, bucket = at.field("chunk").to_numpy(), at.field("pos").to_numpy(), bucket.to_numpy()[of]
         order = np.lexsort((pos, bucket, route))
-        at, ends = _ragged(offsets, order)
-        flat, ends = flat[at].astype("<u4"), np.concatenate(([0], ends))
+        picked, ends = _ragged(lists.offsets.to_numpy().astype(np.int64), of[order])
+        flat, ends = lists.values.to_numpy()[picked].astype("<u4"), np.concatenate(([0], ends))
         route, bucket, pos, counts = route[order], bucket[order], pos[order], np.diff(ends).astype("<u4")
         first = np.flatnonzero(np.concatenate(([True], (np.diff(route) != 0) | (np.diff(bucket) != 0))))
         out = []
@@ -308,7 +311,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        size += batch.num_rows
+        size += len(batch.column("places").flatten())
         if size >= 1 << 19:
             yield packed()
             held, size = [], 0
@@ -318,14 +321,18 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: ids as little-endian uint32 bytes."""
-    # All readers of the exchange ask for the same columns and rows, so it is made once.
+    # Both readers of the exchange ask for the same columns and rows, so it is made once. What follows is keyed by route too, and
+    # moves nothing until the answers.
     dealt = coded(docs, model, key=key, text=text).where("route IS NOT NULL").repartition("route")
     parts = dealt.select("route", F.when(F.col("route") < 0, F.split(F.col("body").cast("string"), " ")).alias("parts"))
     lists = parts.select("route", F.get("parts", F.lit(0)).cast("long").alias("chunk"), "parts")
-    places = lists.select("route", "chunk", F.posexplode_outer("parts").alias("pos", "word")).where("pos > 0")
-    paths = best_paths(lattice(places.select("word", "route").distinct(), model), model)
-    answered = places.join(paths, ["word", "route"]).select(F.col("chunk").alias("route"), F.col("route").alias("bucket"), (F.col("pos") - 1).alias("pos"), "ids")
-    answers = answered.mapInArrow(_answers, "route long, answer binary").groupBy("route").agg(F.collect_list("answer").alias("answers"))
+    opened = lists.select("route", "chunk", F.posexplode_outer("parts").alias("pos", "word")).where("pos > 0")
+    # A word's places are collected, and its lattice made, once for each span of chunks, so that the list stays bounded.
+    span = F.shiftright("chunk", SPAN_BITS)
+    words = opened.groupBy("word", "route", span.alias("span")).agg(F.collect_list(F.struct("chunk", (F.col("pos") - 1).alias("pos"))).alias("places"))
+    paths = best_paths(words.select(F.monotonically_increasing_id().alias("number"), "route", "places", "word"), model)
+    answers = paths.select(F.col("route").alias("bucket"), "places", "ids").mapInArrow(_answers, "route long, answer binary")
+    answers = answers.groupBy("route").agg(F.collect_list("answer").alias("answers"))
     number = {k: b for b, k in enumerate(bucket_keys(docs.sparkSession))}
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
