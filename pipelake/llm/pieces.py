@@ -76,9 +76,21 @@ class PieceModel:
         """Every two characters that some piece has side by side."""
         return frozenset(a + b for p, ok in zip(self.pieces, self.usable, strict=True) if ok for a, b in zip(p, p[1:], strict=False))
 
+    def useful(self) -> dict[str, tuple[int, float]]:
+        """(id, score) of the pieces that can be on a best path: none of them is beaten on its own text by shorter pieces."""
+        known = {p: (i, float(s)) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.usable, strict=True)) if ok}
+
+        def by_parts(piece: str) -> float:
+            best = [0.0]
+            for end in range(1, len(piece) + 1):
+                starts = range(1 if end == len(piece) else 0, end)
+                best.append(max((best[s] + (known[piece[s:end]][1] if piece[s:end] in known else self.fallback) for s in starts if piece[s:end] in known or end - s == 1), default=float("-inf")))
+            return best[-1]
+
+        return {p: at for p, at in known.items() if len(p) == 1 or by_parts(p) <= at[1] + 1e-6}
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, float(s)) for i, (p, s, ok) in enumerate(zip(self.pieces, self.scores, self.usable, strict=True)) if ok]
-        return spark.createDataFrame(rows, "piece string, id long, score double")
+        return spark.createDataFrame([(p, *at) for p, at in self.useful().items()], "piece string, id long, score double")
 
     def text_of(self) -> list[bytes]:
         """Text of every id; control pieces read as nothing."""
@@ -319,8 +331,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row: ids as little-endian uint32 bytes."""
+def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row: ids as little-endian uint32 bytes. With ``decoded``, also the text that they decode to."""
     # Both readers of the exchange ask for the same columns and rows, so it is made once. What follows is keyed by route too, and
     # moves nothing until the answers.
     dealt = coded(docs, model, key=key, text=text).where("route IS NOT NULL").repartition("route")
@@ -334,6 +346,7 @@ def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str
     answers = paths.select(F.col("route").alias("bucket"), "places", "ids").mapInArrow(_answers, "route long, answer binary")
     answers = answers.groupBy("route").agg(F.collect_list("answer").alias("answers"))
     number = {k: b for b, k in enumerate(bucket_keys(docs.sparkSession))}
+    texts = docs.sparkSession.sparkContext.broadcast(model.text_of()) if decoded else None
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,9 +375,18 @@ def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str
                     tokens = flat[np.repeat(firsts[word] - total[:-1], n) + np.arange(total[-1])]
                     cuts = total[np.concatenate(([first], ends[a:b])) - first]
                     out = [tokens[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                    columns = {"doc_id": keys.slice(a, b - a), "ids": pa.array(out, pa.binary())}
+                    if decoded:
+                        columns["text"] = pa.array([_text(ids, texts.value) for ids in out], pa.string())
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+    own = F.when(F.col("route") >= 0, F.col("body")).alias("body")
+    return dealt.join(answers, "route", "left").select("route", own, "answers").mapInArrow(spell, schema)
+
 
-    return dealt.join(answers, "route", "left").select("route", "body", "answers").mapInArrow(spell, "doc_id long, ids binary")
+def _text(ids: bytes | None, table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode(errors="replace")[1:]
 
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
@@ -374,10 +396,7 @@ def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = texts.value
         for batch in batches:
-            out = []
-            for ids in batch.column(1).to_pylist():
-                raw = b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-                out.append(raw.decode(errors="replace")[1:])
+            out = [_text(ids, table) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

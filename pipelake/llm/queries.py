@@ -175,7 +175,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.PieceModel.read(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    decoded = pieces.encode(table(spark, sf_dir, "documents"), model, decoded=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),

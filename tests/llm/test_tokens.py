@@ -123,6 +123,7 @@ def test_pieces_are_the_best_path_and_decode(spark):
         text = [*TEXTS, "a▁b"][r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == [i for w in S.words_of(text) for i in viterbi(w, table, model)]
         assert r.text == text.replace("▁", " ")
+    assert {(r.doc_id, r.text) for r in S.encode(docs(spark, TEXTS[:9]), model, decoded=True).collect()} == {(i, t or "") for i, t in enumerate(TEXTS[:9])}
     assert S.encode(docs(spark, []), model).count() == 0
 
 
