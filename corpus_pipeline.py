@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.PieceModel.read(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(docs, model), model)
+    decoded = pieces.encode(docs, model, decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), "ids", "text")
 
 
