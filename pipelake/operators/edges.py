@@ -128,10 +128,16 @@ def remove_steps(steps: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataF
     return cleaned, deletes.join(steps.select(keys), keys, "left_anti")
 
 
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of new that may be added, rows rejected because their key exists)."""
-    have = old.select(keys).distinct()
-    return new.join(have, keys, "left_anti"), new.join(have, keys, "left_semi")
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of new that may be added, rows rejected because their key exists).
+
+    Of new rows with one key the first is added, in the order of the ``order`` columns (by default of all columns), and the others are rejected.
+    """
+    window = Window.partitionBy(*keys).orderBy(*(order or new.columns))
+    have = old.select(keys).distinct().withColumn("_have", F.lit(True))
+    ranked = new.withColumn("_rank", F.row_number().over(window)).join(have, keys, "left")
+    fits = F.col("_have").isNull() & (F.col("_rank") == 1)
+    return ranked.where(fits).select(new.columns), ranked.where(~fits).select(new.columns)
 
 
 def lookup_steps(steps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,9 +176,11 @@ def duplicate_ids(steps: DataFrame) -> DataFrame:
 
 def multi_producers(outputs: DataFrame) -> DataFrame:
     """(workflow_id, file, first, second): files with two producers or more, in order of outputs(.., ordinal, pos)."""
-    at = F.struct("ordinal", "pos", "step_id")
-    found = outputs.groupBy("workflow_id", "file").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(at)), 1, 2).alias("p"))
-    return found.where("n > 1").select("workflow_id", "file", F.col("p")[0]["step_id"].alias("first"), F.col("p")[1]["step_id"].alias("second"))
+    rank = F.row_number().over(Window.partitionBy("workflow_id", "file").orderBy("ordinal", "pos", "step_id"))
+    ranked = outputs.select("workflow_id", "file", "step_id", rank.alias("rank")).where("rank <= 2")
+    nth = lambda n: F.max(F.when(F.col("rank") == n, F.col("step_id")))
+    found = ranked.groupBy("workflow_id", "file").agg(F.count("*").alias("n"), nth(1).alias("first"), nth(2).alias("second"))
+    return found.where("n = 2").select("workflow_id", "file", "first", "second")
 
 
 def missing_environments(steps: DataFrame, tool_env: DataFrame, system_tools: tuple[str, ...]) -> DataFrame:

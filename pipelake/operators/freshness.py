@@ -32,18 +32,19 @@ def rerun_steps(completed: DataFrame, outputs: DataFrame, manifest: DataFrame) -
 
 
 def stale_outputs(steps: DataFrame, times: DataFrame) -> DataFrame:
-    """(step_id, outdated) per step, from times(step_id, kind, modified_at, found).
+    """(workflow_id, step_id, outdated) per step, from times(workflow_id, step_id, kind, modified_at, found).
 
     Outdated: an output is missing or there is none, or the newest existing input is newer than the oldest output, or either
     side has no time.
     """
     side = lambda kind: F.when((F.col("kind") == kind) & F.col("found"), F.col("modified_at"))
-    facts = times.groupBy("step_id").agg(
+    keys = ["workflow_id", "step_id"]
+    facts = times.groupBy(*keys).agg(
         F.max(side("in")).alias("_in"), F.min(side("out")).alias("_out"), F.coalesce(F.bool_and(F.when(F.col("kind") == "out", F.col("found"))), F.lit(False)).alias("_there")
     )
-    joined = steps.select("step_id").distinct().join(facts, "step_id", "left")
+    joined = steps.select(*keys).distinct().join(facts, keys, "left")
     outdated = ~F.coalesce("_there", F.lit(False)) | F.coalesce(F.col("_in") > F.col("_out"), F.lit(True))
-    return joined.select("step_id", outdated.alias("outdated"))
+    return joined.select(*keys, outdated.alias("outdated"))
 
 
 def should_run(stale: DataFrame, force: bool = False) -> DataFrame:

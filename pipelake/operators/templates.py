@@ -67,7 +67,7 @@ def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve")
     error row; a name with an empty list makes the step vanish. ``values`` rows with a null value stand for an empty list.
 
     mode ``reference`` adds the value to every dependency. mode ``resolve`` adds it only to templated ones; a plain step
-    gets all instances of a templated dependency.
+    gets all instances of a templated dependency (of an id that repeats, those of all its steps in their order, each once).
     """
     marked = steps.withColumn("_names", F.when(expands(F.col("input"), F.col("output")), step_template_names(F.col("input"), F.col("output"))).otherwise(F.array().cast("array<string>")))
     groups = values.groupBy("workflow_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))), lambda x: x["value"]).alias("_values"))
@@ -91,7 +91,10 @@ def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve")
         for side in ("previous", "next"):
             changed = changed.withColumn(side, F.when(F.col("_value").isNotNull(), F.transform(side, suffixed)).otherwise(F.col(side)))
         return changed.drop("_value")
-    instances = joined.where(templated & F.col("error").isNull()).groupBy("workflow_id").agg(F.map_from_entries(F.collect_list(F.struct("step_id", F.transform("_values", lambda v: F.concat_ws("_", F.col("step_id"), v))))).alias("_of"))
+    of_row = F.struct("ordinal", F.transform("_values", lambda v: F.concat_ws("_", F.col("step_id"), v)).alias("i"))
+    of_id = joined.where(templated & F.col("error").isNull()).groupBy("workflow_id", "step_id").agg(F.array_sort(F.collect_list(of_row)).alias("_rows"))
+    of_id = of_id.select("workflow_id", F.struct("step_id", F.array_distinct(F.flatten(F.transform("_rows", lambda r: r["i"])))).alias("_entry"))
+    instances = of_id.groupBy("workflow_id").agg(F.map_from_entries(F.collect_list("_entry")).alias("_of"))
     changed = changed.join(instances, "workflow_id", "left")
     for side in ("previous", "next"):
         known = lambda x: F.coalesce(F.map_contains_key("_of", x), F.lit(False))

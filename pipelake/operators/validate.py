@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelake.functions.exprs import file_list
 from pipelake.operators.edges import duplicate_ids
 
 COLUMNS = ("workflow_id", "step_id", "rule", "detail", "severity")
@@ -25,7 +24,7 @@ def field_violations(steps: DataFrame, mode: str = "full") -> DataFrame:
     checks = [("blank_id", _blank("step_id"), "error"), ("blank_tool", _blank("tool"), "error"), ("blank_command", _blank("command"), "error")]
     if mode != "editor":
         for mark, side in (("input", "input"), ("output", "output")):
-            unused = F.contains("command", F.lit("{" + mark + "}")) & (F.size(file_list(F.col(side))) == 0)
+            unused = F.contains("command", F.lit("{" + mark + "}")) & (F.size(F.coalesce(F.col(side), F.array().cast("array<string>"))) == 0)
             checks.append((f"{mark}_placeholder_without_{mark}", F.coalesce(unused, F.lit(False)), severity))
     hide = _blank("step_id") if mode == "full" else F.lit(False)
     found = [F.when(c if rule == "blank_id" else c & ~hide, F.struct(F.lit(rule).alias("rule"), F.lit(s).alias("severity"))) for rule, c, s in checks]
@@ -36,7 +35,8 @@ def field_violations(steps: DataFrame, mode: str = "full") -> DataFrame:
 def validation_report(workflows: DataFrame, steps: DataFrame, mode: str = "full", edges: DataFrame | None = None, ordered: DataFrame | None = None) -> DataFrame:
     """Violations of all workflows(workflow_id), in steps with previous and next lists.
 
-    full: an empty workflow, or one with a duplicate id, gets that one finding alone; else field findings, unknown
+    full: an empty workflow, or one with a duplicate id, gets that one finding alone (the first id that repeats, in the order of
+    ordinal if steps have it); else field findings, unknown
     references both ways, and cycles (from ``ordered``, the result of graph.topological). quick: no duplicates, no next
     references, no cycles. editor: empty, every repeated id, blank fields. ``edges(workflow_id, src, dst, declared_by)``
     replaces the steps' own lists.
@@ -46,7 +46,9 @@ def validation_report(workflows: DataFrame, steps: DataFrame, mode: str = "full"
     parts = [empty]
     repeated = duplicate_ids(steps)
     if mode == "full":
-        alone = repeated.groupBy("workflow_id").agg(F.min("step_id").alias("step_id"))
+        order = [F.col("ordinal") if "ordinal" in steps.columns else F.lit(0), F.col("step_id")]
+        seen = steps.select("workflow_id", "step_id", F.struct(*order).alias("_at"), F.row_number().over(Window.partitionBy("workflow_id", "step_id").orderBy(*order)).alias("_n"))
+        alone = seen.where("_n = 2").groupBy("workflow_id").agg(F.min_by("step_id", "_at").alias("step_id"))
         parts.append(alone.select("workflow_id", "step_id", F.lit("duplicate_id").alias("rule"), text(None).alias("detail"), F.lit("error").alias("severity")))
         steps = steps.join(alone.select("workflow_id"), "workflow_id", "left_anti")
     elif mode == "editor":

@@ -213,11 +213,13 @@ def rerun_steps(spark, sf_dir):
     return freshness.rerun_steps(steps.select("workflow_id", "step_id"), outs.select("workflow_id", "step_id", "file"), manifest)
 
 
-@query("""SELECT step_id, o IS NULL OR coalesce(i > o, true) AS outdated FROM (
-SELECT step_id, max(modified_at) FILTER (kind = 'in') AS i, min(modified_at) FILTER (kind = 'out') AS o FROM f4_times GROUP BY step_id)""")
+@query("""SELECT workflow_id, step_id, o IS NULL OR coalesce(i > o, true) AS outdated FROM (
+SELECT step_id % 40 AS workflow_id, step_id // 40 AS step_id, max(modified_at) FILTER (kind = 'in') AS i, min(modified_at) FILTER (kind = 'out') AS o FROM f4_times GROUP BY 1, 2)""")
 def stale_outputs(spark, sf_dir):
+    """Orders as steps of 40 workflows, so that a step id stands in many of them."""
     times = view(spark, sf_dir, "f4_times").withColumn("found", F.lit(True))
-    return freshness.stale_outputs(times.select("step_id"), times)
+    times = times.withColumns({"workflow_id": F.expr("step_id % 40"), "step_id": F.expr("step_id div 40")})
+    return freshness.stale_outputs(times.select("workflow_id", "step_id"), times)
 
 
 def _done(spark, sf_dir):
@@ -262,10 +264,15 @@ def cascade_delete(spark, sf_dir):
     return edges.cascade_delete(g, turns)
 
 
-@query("SELECT o_orderkey AS workflow_id, 's1' AS step_id FROM orders WHERE o_orderkey NOT IN (SELECT workflow_id FROM f1_steps WHERE step_id = 's1')")
+@query("""SELECT workflow_id, step_id, min(line) AS line FROM (SELECT l_orderkey + l_linenumber % 2 AS workflow_id, 's' || CAST(l_linenumber + 1 AS VARCHAR) AS step_id,
+CAST(l_orderkey AS BIGINT) * 10000000 + l_partkey AS line FROM lineitem) n WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = n.workflow_id AND s.step_id = n.step_id) GROUP BY 1, 2""")
 def insert_absent(spark, sf_dir):
-    new = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("workflow_id"), F.lit("s1").alias("step_id"))
-    return edges.insert_absent(view(spark, sf_dir, "f1_steps"), new, ["workflow_id", "step_id"])[0]
+    """Line items as new steps, many with one key."""
+    new = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.expr("l_orderkey + l_linenumber % 2").alias("workflow_id"), F.concat(F.lit("s"), (F.col("l_linenumber") + 1).cast("string")).alias("step_id"),
+        F.expr("CAST(l_orderkey AS BIGINT) * 10000000 + l_partkey").alias("line"),
+    )
+    return edges.insert_absent(view(spark, sf_dir, "f1_steps"), new, ["workflow_id", "step_id"], ["line"])[0]
 
 
 @query("SELECT workflow_id, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM f1_steps GROUP BY 1")
@@ -459,18 +466,22 @@ def first_fit(spark, sf_dir):
     return graph.first_fit(c, budget=8, most=4).select("group_id", "ordinal", "taken")
 
 
-@query(LEVELS + f""", x AS (SELECT *, CASE WHEN sk % 17 = 0 THEN ' ' ELSE tool END AS tl, CASE WHEN sk % 19 = 0 THEN '' WHEN sk % 7 = 0 THEN 'go {{input}}' ELSE 'go' END AS cmd FROM f1_steps)
+@query(LEVELS + f""", x AS (SELECT *, CASE WHEN sk % 17 = 0 THEN ' ' ELSE tool END AS tl, CASE WHEN sk % 19 = 0 THEN '' WHEN sk % 7 = 0 THEN 'go {{input}}' ELSE 'go' END AS cmd FROM f1_steps),
+d AS (SELECT workflow_id FROM f1_steps WHERE ordinal = 4 AND workflow_id % 23 = 0)
 SELECT o_orderkey AS workflow_id, NULL AS step_id, 'empty_workflow' AS rule, NULL AS detail, 'error' AS severity FROM orders WHERE o_orderkey NOT IN (SELECT workflow_id FROM f1_steps)
-UNION ALL SELECT workflow_id, step_id, 'blank_tool', NULL, 'error' FROM x WHERE trim(tl) = ''
-UNION ALL SELECT workflow_id, step_id, 'blank_command', NULL, 'error' FROM x WHERE cmd = ''
-UNION ALL SELECT workflow_id, step_id, 'input_placeholder_without_input', NULL, 'warning' FROM x WHERE contains(cmd, '{{input}}') AND ordinal = 1
-UNION ALL SELECT workflow_id, dst, 'unknown_previous', src, 'error' FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.src)
-UNION ALL SELECT DISTINCT workflow_id, NULL, 'cycle', NULL, 'error' FROM f1_steps s WHERE NOT EXISTS (SELECT 1 FROM lm WHERE lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id)""")
+UNION ALL SELECT workflow_id, 'z', 'duplicate_id', NULL, 'error' FROM d
+UNION ALL SELECT workflow_id, step_id, 'blank_tool', NULL, 'error' FROM x WHERE trim(tl) = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT workflow_id, step_id, 'blank_command', NULL, 'error' FROM x WHERE cmd = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT workflow_id, step_id, 'input_placeholder_without_input', NULL, 'warning' FROM x WHERE contains(cmd, '{{input}}') AND ordinal = 1 AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT workflow_id, dst, 'unknown_previous', src, 'error' FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.src) AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT DISTINCT workflow_id, NULL, 'cycle', NULL, 'error' FROM f1_steps s WHERE workflow_id NOT IN (SELECT workflow_id FROM d) AND NOT EXISTS (SELECT 1 FROM lm WHERE lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id)""")
 def validation_report(spark, sf_dir):
     s = view(spark, sf_dir, "f1_steps")
     none, one = F.array().cast("array<string>"), F.array(F.lit("a"))
-    steps = s.select(
-        "workflow_id", "step_id",
+    long = s.where("ordinal = 4 AND workflow_id % 23 = 0").select("workflow_id", F.lit(True).alias("long"))
+    renamed = F.when(F.col("long") & (F.col("ordinal") <= 2), "z").when(F.col("long") & (F.col("ordinal") <= 4), "a").otherwise(F.col("step_id"))
+    steps = s.join(long, "workflow_id", "left").select(
+        "workflow_id", "ordinal", renamed.alias("step_id"),
         F.when(F.col("sk") % 17 == 0, " ").otherwise(F.col("tool")).alias("tool"),
         F.when(F.col("sk") % 19 == 0, "").when(F.col("sk") % 7 == 0, "go {input}").otherwise("go").alias("command"),
         F.when(F.col("ordinal") > 1, one).otherwise(none).alias("input"), none.alias("output"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelake.operators.state import latest_snapshots, state_key
@@ -70,17 +70,21 @@ def stream_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, line, arrived_at): lines of log files, named after their file; arrival is the file's time."""
-    return _log(spark.read.text(path))
+    """(run_id, line, arrived_at, block, place): lines of log files, named after their file; arrival is the file's time.
+
+    block and place order the lines of a file: where its split starts, and a number that grows along the split.
+    """
+    lines = spark.read.text(path)
+    return _log(lines, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
     return _log(spark.readStream.text(path))
 
 
-def _log(lines: DataFrame) -> DataFrame:
+def _log(lines: DataFrame, *places: Column) -> DataFrame:
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return lines.select(name.alias("run_id"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("arrived_at"))
+    return lines.select(name.alias("run_id"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("arrived_at"), *places)
 
 
 def read_state(spark: SparkSession, path: str, workflows: DataFrame) -> DataFrame:
@@ -101,5 +105,6 @@ def write_state(snapshots: DataFrame, path: str) -> None:
 
 
 def numbered_lines(log: DataFrame) -> DataFrame:
-    """line_no within each run, in order of arrival."""
-    return log.withColumn("line_no", F.row_number().over(Window.partitionBy("run_id").orderBy("arrived_at", "line")).cast("long"))
+    """log with line_no within each run: in order of arrival and then of the lines in their file (of the text, where log has no places)."""
+    order = ["arrived_at", *[c for c in ("block", "place") if c in log.columns], "line"]
+    return log.withColumn("line_no", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("long"))

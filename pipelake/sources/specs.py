@@ -98,9 +98,12 @@ def spec_documents(steps: DataFrame) -> DataFrame:
 
 
 def write_specs(steps: DataFrame, path: str) -> None:
-    """One file per workflow, in a folder named after its save name."""
-    documents = spec_documents(steps)
-    named = documents.select(save_name(F.col("workflow_id").cast("string")).alias("workflow"), F.col("document").alias("value"))
+    """One file per workflow, in a folder named after its save name; where several share one, a hash of the id follows it."""
+    identity = F.col("workflow_id").cast("string")
+    documents = spec_documents(steps).withColumn("name", save_name(identity))
+    shared = documents.groupBy("name").agg((F.count("*") > 1).alias("shared"))
+    folder = F.when(F.col("shared"), F.concat("name", F.lit("-"), F.substring(F.sha2(identity, 256), 1, 16))).otherwise(F.col("name"))
+    named = documents.join(shared, "name").select(folder.alias("workflow"), F.col("document").alias("value"))
     named.repartition("workflow").write.mode("overwrite").partitionBy("workflow").text(path)
 
 

@@ -277,7 +277,11 @@ def test_freshness(spark):
         "step_id string, kind string, modified_at timestamp, found boolean",
     )
     steps = times.select("step_id").union(spark.createDataFrame([("none",)], "step_id string"))
-    assert rows(freshness.stale_outputs(steps, times)) == [("fresh", False), ("gone", True), ("noin", True), ("none", True), ("same", False), ("stale", True)]
+    times, steps = (x.withColumn("workflow_id", F.lit(1)) for x in (times, steps))
+    other = times.where("step_id = 'stale'").withColumns({"workflow_id": F.lit(2), "modified_at": F.lit(None).cast("timestamp")})
+    both = freshness.stale_outputs(steps.select("workflow_id", "step_id").union(other.select("workflow_id", "step_id")), times.unionByName(other))
+    assert rows(both.where("workflow_id = 2").select("step_id", "outdated")) == [("stale", True)]
+    assert rows(both.where("workflow_id = 1").select("step_id", "outdated")) == [("fresh", False), ("gone", True), ("noin", True), ("none", True), ("same", False), ("stale", True)]
 
 
 def test_folders_count_as_files(spark):
@@ -303,3 +307,26 @@ def test_resource_summary_without_samples(spark):
     samples = spark.createDataFrame([], "run_id string, ts timestamp, seq long, cpu double, memory_bytes long")
     r = timeline.resource_summary(samples, spark.createDataFrame([("r",)], "run_id string")).first()
     assert (r.samples, r.avg_cpu, r.peak_mb, r.text) == (0, 0.0, 0, "No resource data collected")
+
+
+def test_a_new_id_is_added_once(spark):
+    old = spark.createDataFrame([(1, "a")], "workflow_id int, step_id string")
+    new = spark.createDataFrame([(1, "b", 2), (1, "b", 1), (1, "a", 3), (2, "a", 4)], "workflow_id int, step_id string, line int")
+    added, rejected = edges.insert_absent(old, new, ["workflow_id", "step_id"], ["line"])
+    assert sorted(tuple(r) for r in added.collect()) == [(1, "b", 1), (2, "a", 4)]
+    assert sorted(tuple(r) for r in rejected.collect()) == [(1, "a", 3), (1, "b", 2)]
+
+
+def test_the_first_repeated_id_is_reported(spark):
+    rows_of = [(1, i, s, "t", "c", [], [], [], []) for i, s in enumerate("zzaa")]
+    steps = spark.createDataFrame(rows_of, "workflow_id int, ordinal int, step_id string, tool string, command string, input array<string>, output array<string>, previous array<string>, next array<string>")
+    found = validate.validation_report(steps.select("workflow_id").distinct(), steps, "full").collect()
+    assert [(r.step_id, r.rule) for r in found] == [("z", "duplicate_id")]
+
+
+def test_a_templated_id_may_repeat(spark):
+    kind = "workflow_id int, ordinal int, step_id string, command string, input array<string>, output array<string>, previous array<string>, next array<string>"
+    steps = spark.createDataFrame([(1, 0, "t", "c", ["{x}"], ["{x}.o"], [], []), (1, 1, "t", "c", ["{y}"], ["{y}.o"], [], []), (1, 2, "p", "c", [], [], ["t"], [])], kind)
+    values = spark.createDataFrame([(1, "x", 0, "a"), (1, "y", 0, "a"), (1, "y", 1, "b")], "workflow_id int, name string, pos int, value string")
+    found = {(r.ordinal, r.step_id): r.previous for r in templates.expand_templates(steps, values).collect()}
+    assert found == {(0, "t_a"): [], (1, "t_a"): [], (1, "t_b"): [], (2, "p"): ["t_a", "t_b"]}

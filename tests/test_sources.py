@@ -72,3 +72,17 @@ def test_state_round_trip(spark, tmp_path):
     snap = spark.createDataFrame([("x/a.yaml", ["1"], None)], "workflow_path string, completed array<string>, failed_step string").selectExpr("*", "timestamp'2024-01-01' AS updated_at")
     files.write_state(snap, str(tmp_path / "s"))
     assert {r.workflow_path: r.completed for r in files.read_state(spark, str(tmp_path / "s"), flows).collect()} == {"x/a.yaml": ["1"], "y/a.yaml": []}
+
+
+def test_lines_are_numbered_as_they_stand(spark, tmp_path):
+    (tmp_path / "run.log").write_text("zeta first\nalpha second\nmid third\n")
+    found = files.numbered_lines(files.read_log(spark, str(tmp_path)))
+    assert [(r.run_id, r.line) for r in found.orderBy("line_no").collect()] == [("run", "zeta first"), ("run", "alpha second"), ("run", "mid third")]
+
+
+def test_workflows_with_one_save_name_stay_apart(spark, tmp_path):
+    step = "ordinal int, step_id string, tool string, command string, input array<string>, output array<string>, previous array<string>, next array<string>, threads int, color string, wildcard_files map<string,array<string>>"
+    before = spark.createDataFrame([(w, 0, "s", "t", "c", [], [], [], [], 1, None, None) for w in ("a/b", "a_b", "c")], "workflow_id string, " + step)
+    specs.write_specs(before, str(tmp_path / "out"))
+    found = specs.read_specs(spark, str(tmp_path / "out")).collect()
+    assert len(found) == 3 and all(r.step_id == "s" for r in found)
