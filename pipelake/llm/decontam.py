@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
     anchors = written(rare_anchors(windows, counts), "anchors")
     terms = anchors.select(F.explode(F.array("term_1", "term_2")).alias("term")).where("term IS NOT NULL").distinct()
     postings = build_index(docs, terms, key=key, text=text)
-    lines = candidates(postings, anchors).join(_small(items), "item")
+    lines = candidates(postings, anchors).join(items, "item")
     by_doc = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("diagonal").cast("int").alias("diagonal"), "words", "ids")).alias("lines"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     joined = rows.join(by_doc, rows.doc_id.eqNullSafe(F.col("_doc")), "left")
@@ -144,5 +144,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    hit = contamination(docs, benchmark, window=window, key=key, text=text).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[key].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = contamination(docs, benchmark, window=window, key=key, text=text).where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct()
+    return docs.alias("_docs").join(hit.alias("_found"), F.col(f"_docs.{key}").eqNullSafe(F.col("_found.hit")), "left_anti")

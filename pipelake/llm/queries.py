@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +75,7 @@ FROM b
 
 
 #: Folder of the public vocabulary files; set it where they are elsewhere.
-TOKENIZER_DIR = "/opt/tokenizers"
+TOKENIZER_DIR = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

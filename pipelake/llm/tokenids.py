@@ -16,6 +16,7 @@ their rows. An empty table gives no segment.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -106,8 +107,7 @@ class Encoder:
     The pre-tokenizer never joins text across a space between two non-blanks, so a text is cut at its spaces and the
     ids of each part are kept, in two generations of at most ``bound`` entries together. A new part of Latin, Greek or Cyrillic
     text is split by the pre-tokenizer's own pattern and its pre-tokens go to the BPE model; any other goes
-    through the whole tokenizer. A text with a blank beside a space is encoded whole. Names of special
-    tokens in a text are ordinary text.
+    through the whole tokenizer. A text with a blank beside a space, or with the name of an added token, is encoded whole.
     """
 
     def __init__(self, model: str, bound: int = 900_000):
@@ -116,7 +116,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(model)
+        splits = spec["pre_tokenizer"]
+        if splits["type"] != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            raise ValueError("the tokenizer splits text by another rule than PRE_TOKEN")
+        names = [regex.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+        self.named = regex.compile("|".join(names)).search if names else lambda text: None
         self.bpe = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = "<u2" if self.code == "H" else "<u4"
@@ -161,7 +166,7 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[""] if "\0" in text else ("\0" + text).split(" ") for text in texts]
+        cut = [[""] if "\0" in text or self.named(text) else ("\0" + text).split(" ") for text in texts]
         long: dict[str, bytes | None] = {}
         for key in set().union(*cut).difference(self.young):
             found = self.old[key] if key in self.old else self._part(key)
