@@ -8,9 +8,9 @@ r"""Near-duplicate documents by bottom-k sketches of word shingles.
    shorter than four, or three for up to 16 values, or two for up to five, and so short sets use shorter runs too.
 3. Each list has a leader, and a member meets the leader that most of its lists have, which settles groups of copies in linear
    work: a group of n near copies costs n pairs a round. A list whose members are then of one component is done with.
-4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by their rarest values: two
-   linked sketches have more than half of their values in common, so they share several of the rarest values of each. Rarity
-   is counted among these members, so what they all share joins nobody.
+4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by their rarest values, on
+   their full sets. A set offers only as many of its values as it may hold beyond what a partner must share with it. Values of one
+   component alone count as offered, so what is edited too far for any link offers nothing, and what all share joins nobody.
 5. The union sketch of a pair estimates its similarity; pairs six deviations below the limit go (at 0.8, 3e-8 of the pairs). What is left is confirmed on the full sets.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text of fewer words than a shingle has is one shingle; a text
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelake.llm.common import let, written
@@ -34,7 +34,10 @@ from pipelake.llm.hashing import WordHashes, mixed
 
 #: Run lengths, each with the largest set that needs it; larger sets use the last alone.
 RUNS = ((2, 5), (3, 16), (4, None))
-GROUPS = 6
+#: Full sets up to this size, longer sketches above it, where lists stay open after the leader rounds.
+MOST = 2048
+#: Bands of set sizes there, as a step of the logarithm.
+BAND = 0.02
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -110,27 +113,48 @@ def _least_common(percent: int, k: int) -> float:
     return limit - 6 * (limit * (1 - limit) / k) ** 0.5
 
 
-def by_rare_values(open_nodes: DataFrame, sketches_of: DataFrame, *, percent: int, k: int) -> DataFrame:
-    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that share enough of the rarest values of each.
+def _common(percent: int):
+    """Least number of values that linked sets of n_a and n_b shingles have in common."""
+    return F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent)
 
-    Sketches with t values in common share m of the first size - t + m, in any common order; here rarest first. For m = 7 and six
-    groups of values two of the seven fall into one group, so pairs of values of a group are the keys. Sets of up to 40
-    shingles use single values (m = 1), those from 28 on use pairs; linked sets differ too little in size to miss each other.
+
+def by_rare_values(open_nodes: DataFrame, members: DataFrame, *, size: int, percent: int, most: int = MOST) -> DataFrame:
+    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that may have enough values in common.
+
+    It works on the full sets of shingle hashes (above ``most`` values on longer sketches). A value that one component alone
+    holds is common to no pair asked for, so it comes first in the order of values; the others follow, rarest first. Two sets with t
+    values in common share one whose rest of the order, itself included, holds t values or more in both sets. So each set offers
+    only the values before its last t, and one with too many values of its own offers none: the edited copies of a text that are
+    each too far from the next leave here, at a cost linear in their number. t depends on both sizes: the smaller set of a pair offers its
+    values under the band of its size, the larger one under each band of sizes that may be linked with it.
     """
-    values = open_nodes.join(sketches_of.select("node", "sketch"), "node").select("node", "n", "c", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(often, "value", "left").groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("r"))
-    beyond = F.size("r") - F.ceil(F.size("r") * _least_common(percent, k)).cast("int")
-    first = lambda m: F.transform(F.filter(F.slice("r", 1, beyond + m), lambda x: x["df"] > 1), lambda x: x["value"])
-    group = lambda v: F.pmod(v, F.lit(GROUPS))
-    singles = F.transform(first(1), lambda v: F.xxhash64(F.lit(1), v))
-    pairs = let(first(GROUPS + 1), lambda p: F.flatten(F.transform(p, lambda v: F.transform(F.filter(p, lambda w: (w > v) & (group(w) == group(v))), lambda w: F.xxhash64(F.lit(2), v, w)))))
-    none = F.array().cast("array<long>")
-    keys = F.concat(F.when(F.col("n") <= 40, singles).otherwise(none), F.when(F.col("n") >= 28, pairs).otherwise(none))
-    keyed = ranked.select("node", "n", "c", F.explode(keys).alias("key"))
-    left = keyed.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent))
+    sets = sketches(members.join(open_nodes.select("node"), "node", "left_semi"), size=size, k=most, key="node").select(F.col("doc_id").alias("node"), F.col("sketch").alias("held"))
+    sets = written(open_nodes.join(sets, "node"), "sets")
+    values = sets.select("node", "c", F.explode("held").alias("value"))
+    met = values.groupBy("value").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value", "df")
+    ranked = values.join(met, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
+    ranked = ranked.join(open_nodes, "node")
+    # Where a set of the pair may be a sketch, the common values are those of the union sketch.
+    sampled = F.lit(_least_common(percent, most) * most)
+    least = lambda other: let(F.lit(percent) * (F.col("n") + other) / F.lit(100 + percent), lambda t: F.when(F.lit(100) * F.col("n") > F.lit(percent * most), F.least(t, sampled)).otherwise(t))
+    band = lambda n: F.floor(F.log(n) / F.lit(BAND)).cast("int")
+    low = lambda s: F.floor(F.exp(s * F.lit(BAND)) - F.lit(1e-6))
+    offer = lambda s, t: F.transform(F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - F.ceil(t - F.lit(1e-6)).cast("int") + 1)), lambda x, i: F.struct(s.alias("band"), x["value"].alias("value"), (F.size("r") - i).alias("rest")))
+    smaller = ranked.select("node", "n", "c", F.explode(offer(band(F.col("n")), least(F.col("n")))).alias("o"))
+    bands = ranked.select("*", F.explode(F.sequence(band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))), band(F.col("n")))).alias("s"))
+    larger = bands.select("node", "n", "c", F.explode(offer(F.col("s"), least(low(F.col("s"))))).alias("o"))
+    side = lambda rows, x: rows.select("o.band", "o.value", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"), F.col("o.rest").alias(f"rest_{x}"))
+    both = F.when(F.lit(100) * F.col("n_b") > F.lit(percent * most), F.least(_common(percent), sampled)).otherwise(_common(percent))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    found = side(smaller, "a").join(side(larger, "b"), ["band", "value"])
+    found = found.where(ordered & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent) & (F.least("rest_a", "rest_b") >= both - F.lit(1e-6)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"))
+
+
+def _centrality(turn: int):
+    """How central a node of w lists is: edits take a copy out of lists, so what a group was copied from has the most. Later turns try others near it."""
+    spread = 0.0 if turn < 2 else 0.3
+    return F.col("w") * (1 - spread * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1024)) / 1024)
 
 
 def by_leader(open_lists: DataFrame, percent: int) -> DataFrame:
@@ -201,13 +225,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int
 
     links, owner = None, None
     for turn in range(rounds + 1):
-        here = lists.withColumn("c", F.col("node")) if owner is None else lists.join(owner, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        ends = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("low < high").select("key", "lead")
+        here = lists.withColumn("w", F.count("*").over(Window.partitionBy("node"))) if turn else lists.withColumn("w", F.lit(1))
+        here = here.withColumn("c", F.col("node")) if owner is None else here.join(owner, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        lead = F.max_by(F.struct("node", "n", "c"), F.struct(_centrality(turn), F.xxhash64("node", F.lit(turn))))
+        ends = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), lead.alias("lead")).where("low < high").select("key", "lead")
         open_lists = here.join(ends, "key")
         if turn < rounds:
             pairs = by_leader(open_lists, percent)
         else:
-            pairs = by_rare_values(open_lists.select("node", "n", "c").distinct(), members, percent=percent, k=k)
+            pairs = by_rare_values(written(open_lists.select("node", "n", "c").distinct(), "open"), members, size=size, percent=percent)
         pairs = pairs.where(_sizes_fit(percent)).select("a", "b").distinct()
         fresh = written(confirm(pairs, members, size=size, percent=percent, k=k), "links")
         links = fresh if links is None else links.union(fresh)

@@ -65,3 +65,33 @@ def test_sketch_filter_misses_next_to_no_pair_at_the_limit():
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(101)} | {500: 500, 501: 500}
+
+
+def rare_pairs(spark, texts, component, most):
+    rows = [(i, len(brute.shingles(t, 2)), component(i)) for i, t in texts.items()]
+    nodes = spark.createDataFrame(rows, "node long, n long, c long")
+    members = spark.createDataFrame(list(texts.items()), "node long, text string")
+    return [(r.a, r.b) for r in N.by_rare_values(nodes, members, size=2, percent=80, most=most).collect()]
+
+
+@pytest.mark.parametrize("most", [2048, 64])
+def test_rare_values_meet_every_linked_pair_of_two_components(spark, most):
+    rng = random.Random(5)
+    texts = {}
+    for length in (2, 3, 6, 11, 30, 70, 150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        for copy in range(12):
+            cut = rng.randrange(0, 1 + length // 8)
+            texts[len(texts)] = edited(rng, base[: length - cut] if copy % 2 else base[cut:], rng.randrange(0, 1 + length // 16))
+    component = lambda i: i % 5
+    found = set(rare_pairs(spark, texts, component, most))
+    sets = {i: brute.shingles(t, 2) for i, t in texts.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and component(a) != component(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(linked) > 50 and linked <= found
+
+
+def test_copies_edited_too_far_meet_nobody(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = {i: edited(rng, base, 15) for i in range(120)}
+    assert len(rare_pairs(spark, texts, lambda i: i, 2048)) < 120
