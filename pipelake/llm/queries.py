@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm import decontam, langid, neardup, pieces, pii, quality, substring, tokencount, tokenids, urlfilter
+from pipelake.llm import decontam, langid, neardup, pieces, pii, quality, substring, suffixes, tokencount, tokenids, urlfilter
 from pipelake.llm.common import table
 
 URL_RULES = (
@@ -129,6 +129,29 @@ FROM w LEFT JOIN k USING (doc_id)
 """
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as two hex digits each.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, h[2 * i - 1:2 * i + 198] AS s FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d WHERE len(h) >= 200)),
+f AS (SELECT s, min({'d': doc_id, 'i': i}) AS m FROM g GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM g JOIN f USING (s) WHERE {'d': doc_id, 'i': i} > m),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY ALL),
+q AS (SELECT doc_id, h, coalesce(k, 0) AS k, coalesce(lag(b) OVER w, 1) AS a, a AS b, lead(a) OVER w IS NULL AS final, b AS e
+      FROM d LEFT JOIN p USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT doc_id, any_value(h) AS h, count(b) AS n_spans, coalesce(sum(e - b), 0) AS n_removed,
+        string_agg(CASE WHEN b IS NULL THEN h ELSE h[2 * a - 1:2 * b - 2] || CASE WHEN final THEN h[2 * e - 1:] ELSE '' END END, '' ORDER BY k) AS kept
+      FROM q GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM c
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
