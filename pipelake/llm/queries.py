@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelake.llm import decontam, langid, neardup, pieces, pii, quality, substring, suffixes, tokencount, tokenids, urlfilter
-from pipelake.llm.common import table
+from pipelake.llm import decontam, langid, merkle, neardup, pieces, pii, quality, ranked, substring, suffixes, tokencount, tokenids, urlfilter
+from pipelake.llm.common import ascii_lower, table
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -152,6 +152,74 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT)
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+qc AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, a GROUP BY term),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM n, a),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM qc JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = merkle.leaf_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaves = merkle.build(docs, columns=columns, carry={"claimed": F.when(tampered, altered)}).leaves
+    folded = merkle.fold(F.coalesce("claimed", "leaf"), F.col("path"))
+    return leaves.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_PARENTS_SQL = "list_transform(range((len(l) + 7) // 8), lambda i: sha256(array_to_string(l[8 * i + 1:8 * i + 8], '')))"
+#: crc32 (reflected, polynomial EDB88320) of the decimal id, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+        lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295))"""
+_STEP_SQL = """SELECT f.doc_id, f.leaf, f.claimed, f.lang, {up} f.p // 8, f.k + 1,
+        sha256(array_to_string(list_concat(r[1:f.p % 8], [f.orig], r[f.p % 8 + 2:8]), '')),
+        sha256(array_to_string(list_concat(r[1:f.p % 8], [f.claim], r[f.p % 8 + 2:8]), '')),
+        f.proof || array_to_string(list_concat(r[1:f.p % 8], r[f.p % 8 + 2:8]), '')"""
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed FROM documents),
+lv(lang, k, l) AS (SELECT lang, 0, list(leaf ORDER BY doc_id NULLS FIRST, leaf) FROM d GROUP BY lang
+        UNION ALL SELECT lang, k + 1, {_PARENTS_SQL} FROM lv WHERE len(l) > 1),
+sub AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS p FROM lv WHERE len(l) = 1),
+tv(k, l) AS (SELECT 0, list(subroot ORDER BY p) FROM sub UNION ALL SELECT k + 1, {_PARENTS_SQL} FROM tv WHERE len(l) > 1),
+f(doc_id, leaf, claimed, lang, p, k, orig, claim, proof) AS (
+  SELECT doc_id, leaf, claimed, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1, 0, leaf, coalesce(claimed, leaf), '' FROM d
+  UNION ALL
+  {_STEP_SQL.format(up="")} FROM (SELECT f.*, l[8 * (f.p // 8) + 1:8 * (f.p // 8) + 8] AS r FROM f JOIN lv ON lv.lang IS NOT DISTINCT FROM f.lang AND lv.k = f.k AND len(l) > 1) f),
+e AS (SELECT f.*, subroot, sub.p AS q FROM f JOIN sub ON sub.lang IS NOT DISTINCT FROM f.lang JOIN lv ON lv.lang IS NOT DISTINCT FROM f.lang AND lv.k = f.k AND len(l) = 1),
+g(doc_id, leaf, claimed, lang, subroot, p, k, orig, claim, proof) AS (
+  SELECT doc_id, leaf, claimed, lang, subroot, q, 0, orig, claim, proof FROM e
+  UNION ALL
+  {_STEP_SQL.format(up="f.subroot,")} FROM (SELECT g.*, l[8 * (g.p // 8) + 1:8 * (g.p // 8) + 8] AS r FROM g JOIN tv ON tv.k = g.k AND len(l) > 1) f)
+SELECT doc_id, leaf, subroot, l[1] AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = l[1] AS verified
+FROM g JOIN tv ON tv.k = g.k AND len(l) = 1
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
