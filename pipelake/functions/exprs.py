@@ -14,11 +14,18 @@ RUN_SYSTEM_TOOLS = (
     *PLAN_SYSTEM_TOOLS,
     "touch", "ls", "tee", "date", "find", "xargs", "diff", "comm", "paste", "rev", "fold", "printf", "test", "true", "false",
 )
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends; all of White_Space counts, not the blank alone."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def file_list(files: Column) -> Column:
-    """Every element split at commas, trimmed, without empties; order and repeats stay. Null gives an empty list."""
-    split = F.flatten(F.transform(F.coalesce(files, F.array().cast("array<string>")), lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y))))
+    """Every element split at commas, stripped, without empties; order and repeats stay. Null gives an empty list."""
+    split = F.flatten(F.transform(F.coalesce(files, F.array().cast("array<string>")), lambda x: F.transform(F.split(x, ","), stripped)))
     return F.filter(split, lambda z: z != "")
 
 
@@ -81,7 +88,7 @@ def path_part(path: Column, part: str, style: str = "posix") -> Column:
 
 def slug(label: Column) -> Column:
     """Lower case, runs of other characters as one underscore, none at the edges."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(label)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(stripped(F.lower(label)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def save_name(name: Column) -> Column:

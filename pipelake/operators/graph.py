@@ -49,53 +49,63 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
 
     steps(workflow_id, step_id, ordinal); edges(workflow_id, src, dst[, dst_pos]), whose unknown ends are ignored;
     needed(workflow_id, step_id, needed), by default the number of a step's distinct predecessors. All workflows go together, one
-    round per level: a round takes the steps whose predecessors are all placed. Inside a round steps stand in the order in which a
-    first-in first-out queue would release them: by the position of their last predecessor, their place among its successors
-    (dst_pos, if given), and their own ordinal. It ends when a round places nothing, or raises where that takes more than max_rounds. Each round is a written table and only what is left is joined.
+    round per level. Inside a level steps stand in the order in which a first-in first-out queue would release them: by the position of their last
+    predecessor, their place among its successors (dst_pos, if given; those without come last), and their own ordinal.
+
+    A round joins only the links that leave the newest level, adds what they bring (links met, last predecessor, the workflow's count so far) to the
+    steps met earlier that still wait, and writes one table: the next level and what waits. Steps that nothing has met yet are not touched. It
+    ends when a round releases nothing, or raises where that takes more than max_rounds.
     """
     keys = ["workflow_id", "step_id"]
     known = steps.select(*keys, "ordinal")
     place = F.col("dst_pos") if "dst_pos" in edges.columns else F.lit(None)
     links = edges.select("workflow_id", "src", "dst", place.cast("int").alias("dst_pos"))
     links = links.groupBy("workflow_id", "src", "dst").agg(F.min("dst_pos").alias("dst_pos")) if needed is None else links
-    links = links.join(known.select("workflow_id", F.col("step_id").alias("src")), ["workflow_id", "src"], "left_semi")
-    links = written(links.join(known.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi").select("workflow_id", "src", "dst", "dst_pos"), "links")
+    links = links.join(known.select("workflow_id", F.col("step_id").alias("src")).distinct(), ["workflow_id", "src"], "left_semi")
+    target = known.withColumnRenamed("step_id", "dst")
+    if needed is not None:
+        links = links.join(target, ["workflow_id", "dst"]).join(needed.withColumnRenamed("step_id", "dst"), ["workflow_id", "dst"], "left")
+    else:
+        links = links.join(target, ["workflow_id", "dst"])
+        links = links.withColumn("needed", F.count("*").over(Window.partitionBy("workflow_id", "dst", "ordinal")))
+    links = written(links.select("workflow_id", "src", "dst", "dst_pos", "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "links")
     if needed is None:
-        needed = links.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.count("*").alias("needed"))
-    left = written(known.join(needed, keys, "left").select(*keys, "ordinal", F.coalesce("needed", F.lit(0)).cast("long").alias("needed")), "unplaced")
-    placed, base, parts = None, None, []
+        first = known.join(links.select("workflow_id", F.col("dst").alias("step_id")), keys, "left_anti")
+    else:
+        first = known.join(needed.where("needed > 0"), keys, "left_anti")
+
+    waiting = ["done", "needed", "after", "place", "before"]
+    here = first.select(*keys, "ordinal", *[F.lit(0).cast("long").alias(c) for c in ("done", "needed", "after")], F.lit(0).alias("place"), F.lit(0).cast("long").alias("before"))
+    parts: list[DataFrame] = []
     for level in count():
-        if placed is None:
-            ready = left.where("needed = 0").withColumns({"_after": F.lit(0).cast("long"), "_pos": F.lit(0)})
-        else:
-            at = placed.select("workflow_id", F.col("step_id").alias("src"), "position")
-            into = links.join(left.select("workflow_id", F.col("step_id").alias("dst")), ["workflow_id", "dst"], "left_semi")
-            state = into.join(at, ["workflow_id", "src"]).groupBy("workflow_id", F.col("dst").alias("step_id")).agg(
-                F.count("*").alias("done"), F.max("position").alias("_after"), F.max_by(F.struct("dst_pos"), "position")["dst_pos"].alias("_pos")
-            )
-            ready = left.join(state, keys).where("done >= needed")
-        order = F.row_number().over(Window.partitionBy("workflow_id").orderBy("_after", F.col("_pos").asc_nulls_last(), "ordinal", "step_id"))
-        here = ready.select(*keys, "ordinal", F.lit(level).alias("level"), order.alias("_n"))
-        if base is not None:
-            here = here.join(base, "workflow_id", "left").select(*keys, "ordinal", "level", (F.col("_n") + F.coalesce("_base", F.lit(0))).cast("long").alias("position"))
-        else:
-            here = here.select(*keys, "ordinal", "level", F.col("_n").cast("long").alias("position"))
-        here = written(here, "level")
-        if here.isEmpty():
+        free = F.col("done") >= F.col("needed")
+        queue = Window.partitionBy("workflow_id").orderBy(free.desc(), "after", "place", "ordinal", "step_id")
+        position = F.when(free, F.col("before") + F.row_number().over(queue))
+        so_far = F.max("position").over(Window.partitionBy("workflow_id"))
+        here = written(here.withColumn("position", position.cast("long")).withColumn("so_far", so_far).withColumn("level", F.lit(level)), "level")
+        newest = here.where("position IS NOT NULL")
+        if newest.isEmpty():
             break
         if max_rounds is not None and level >= max_rounds:
             raise RuntimeError(f"steps are left to place after {max_rounds} rounds")
-        parts.append(here)
+        parts.append(newest.select(*keys, "ordinal", "level", "position"))
         if len(parts) == 16:
             parts = [written(reduce(DataFrame.union, parts), "placed")]
-        placed = reduce(DataFrame.union, parts)
-        base = placed.groupBy("workflow_id").agg(F.max("position").alias("_base"))
-        left = written(left.join(here.select(keys), keys, "left_anti"), "unplaced")
-        if left.isEmpty():
-            break
+        met = links.join(newest.select("workflow_id", F.col("step_id").alias("src"), "position", "so_far"), ["workflow_id", "src"])
+        brought = met.select(
+            "workflow_id", F.col("dst").alias("step_id"), "ordinal", F.lit(1).cast("long").alias("done"), "needed",
+            F.col("position").alias("after"), F.coalesce("dst_pos", F.lit((1 << 31) - 1)).alias("place"), F.col("so_far").alias("before"),
+        )
+        pending = brought.union(here.where("position IS NULL").select(brought.columns))
+        last = F.max(F.struct("after", "place"))
+        merged = pending.groupBy(*keys, "ordinal").agg(F.sum("done").alias("done"), F.max("needed").alias("needed"), last.alias("last"), F.max("before").alias("before"))
+        here = merged.select(*keys, "ordinal", "done", "needed", "last.after", "last.place", "before").select(*keys, "ordinal", *waiting)
     columns = [*keys, "ordinal", "level", "position"]
-    rest = left.select(*keys, "ordinal", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position"))
-    return rest.select(columns) if placed is None else placed.select(columns).union(rest.select(columns))
+    unplaced = lambda rows: rows.select(*keys, "ordinal", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position"))
+    if not parts:
+        return unplaced(known)
+    placed = reduce(DataFrame.union, parts).select(columns)
+    return placed.union(unplaced(known.join(placed.select(keys), keys, "left_anti")))
 
 
 def cyclic_steps(ordered: DataFrame) -> DataFrame:

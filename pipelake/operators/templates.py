@@ -59,6 +59,22 @@ def preview(files: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
+def _fan_in(steps: DataFrame, instances: DataFrame) -> DataFrame:
+    """(_k_<key>, _previous, _next): per step its dependencies in order, as (known, ref, fan).
+
+    instances(workflow_id, _ref, _fan) names the steps that expand; fan is null for others. Each dependency is a row of its own, with its place, and meets its
+    step by (workflow_id, step_id), so a join that adaptive execution can split carries the work. Equal step rows share one result.
+    """
+    keys = ["workflow_id", "ordinal", "step_id", "previous", "next"]
+    sides = [steps.select(*keys, F.lit(side).alias("_side"), F.posexplode(side).alias("_at", "_ref")) for side in ("previous", "next")]
+    met = sides[0].union(sides[1]).join(instances.withColumn("_known", F.lit(True)), ["workflow_id", "_ref"], "left")
+    entry = F.struct("_at", F.coalesce("_known", F.lit(False)).alias("known"), F.col("_ref").alias("ref"), F.col("_fan").alias("fan"))
+    # collect_set: rows that repeat a step bring each of its dependencies again.
+    of_side = lambda side: F.array_sort(F.collect_set(F.when(F.col("_side") == side, entry))).alias(f"_{side}")
+    grouped = met.groupBy(*keys).agg(of_side("previous"), of_side("next"))
+    return grouped.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_previous", "_next")
+
+
 def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve") -> DataFrame:
     """Steps with templated ones repeated per sample value.
 
@@ -69,36 +85,44 @@ def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve")
     mode ``reference`` adds the value to every dependency. mode ``resolve`` adds it only to templated ones; a plain step
     gets all instances of a templated dependency (of an id that repeats, those of all its steps in their order, each once).
     """
-    marked = steps.withColumn("_names", F.when(expands(F.col("input"), F.col("output")), step_template_names(F.col("input"), F.col("output"))).otherwise(F.array().cast("array<string>")))
-    groups = values.groupBy("workflow_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))), lambda x: x["value"]).alias("_values"))
+    none = F.array().cast("array<string>")
+    names = F.when(expands(F.col("input"), F.col("output")), step_template_names(F.col("input"), F.col("output"))).otherwise(none)
+    marked = steps.withColumns({"_names": names, "previous": F.coalesce("previous", none), "next": F.coalesce("next", none)})
+    in_order = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value"))))
+    groups = values.groupBy("workflow_id", "name").agg(F.transform(in_order, lambda x: x["value"]).alias("_values"))
     joined = marked.withColumn("name", F.when(F.size("_names") == 1, F.col("_names")[0])).join(groups, ["workflow_id", "name"], "left")
     templated = F.size("_names") > 0
     error = F.when(F.size("_names") > 1, "more than one name").when(templated & F.col("_values").isNull(), "no file mapping")
     joined = joined.withColumn("error", error)
+    value = F.col("_value")
+    suffixed = lambda x: F.concat_ws("_", x, value)
+    if mode == "reference":
+        linked = joined
+        links = {side: F.when(value.isNotNull(), F.transform(side, suffixed)).otherwise(F.col(side)) for side in ("previous", "next")}
+    else:
+        of_row = F.struct("ordinal", F.transform("_values", lambda v: F.concat_ws("_", F.col("step_id"), v)).alias("i"))
+        of_id = joined.where(templated & F.col("error").isNull()).groupBy("workflow_id", "step_id").agg(F.array_sort(F.collect_list(of_row)).alias("_rows"))
+        fan = F.array_distinct(F.flatten(F.transform("_rows", lambda r: r["i"])))
+        met = _fan_in(marked, of_id.select("workflow_id", F.col("step_id").alias("_ref"), fan.alias("_fan")))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in ("workflow_id", "ordinal", "step_id", "previous", "next")]
+        linked = joined.join(met, same, "left")
+        own = lambda d: F.array(F.when(d["known"], suffixed(d["ref"])).otherwise(d["ref"]))
+        every = lambda d: F.coalesce(d["fan"], F.array(d["ref"]))
+        links = {
+            side: F.coalesce(F.flatten(F.when(value.isNotNull(), F.transform(f"_{side}", own)).otherwise(F.transform(f"_{side}", every))), none)
+            for side in ("previous", "next")
+        }
     plain = F.array(F.lit(None).cast("string"))
-    opened = joined.select("*", F.posexplode(F.when(templated & F.col("error").isNull(), F.col("_values")).otherwise(plain)).alias("value_pos", "_value"))
-    changed = opened.select(
+    opened = linked.select("*", F.posexplode(F.when(templated & F.col("error").isNull(), F.col("_values")).otherwise(plain)).alias("value_pos", "_value"))
+    filled = lambda text: substitute(text, F.col("name"), value)
+    return opened.select(
         "workflow_id",
         "ordinal",
         "value_pos",
-        F.when(F.col("_value").isNotNull(), F.concat_ws("_", "step_id", "_value")).otherwise(F.col("step_id")).alias("step_id"),
-        *[F.when(F.col("_value").isNotNull(), F.transform(c, lambda x: substitute(x, F.col("name"), F.col("_value")))).otherwise(F.col(c)).alias(c) for c in ("input", "output")],
-        F.when(F.col("_value").isNotNull(), substitute(F.col("command"), F.col("name"), F.col("_value"))).otherwise(F.col("command")).alias("command"),
-        "previous", "next", "error", "_value",
+        F.when(value.isNotNull(), suffixed(F.col("step_id"))).otherwise(F.col("step_id")).alias("step_id"),
+        *[F.when(value.isNotNull(), F.transform(c, filled)).otherwise(F.col(c)).alias(c) for c in ("input", "output")],
+        F.when(value.isNotNull(), filled(F.col("command"))).otherwise(F.col("command")).alias("command"),
+        links["previous"].alias("previous"),
+        links["next"].alias("next"),
+        "error",
     )
-    suffixed = lambda x: F.concat_ws("_", x, F.col("_value"))
-    if mode == "reference":
-        for side in ("previous", "next"):
-            changed = changed.withColumn(side, F.when(F.col("_value").isNotNull(), F.transform(side, suffixed)).otherwise(F.col(side)))
-        return changed.drop("_value")
-    of_row = F.struct("ordinal", F.transform("_values", lambda v: F.concat_ws("_", F.col("step_id"), v)).alias("i"))
-    of_id = joined.where(templated & F.col("error").isNull()).groupBy("workflow_id", "step_id").agg(F.array_sort(F.collect_list(of_row)).alias("_rows"))
-    of_id = of_id.select("workflow_id", F.struct("step_id", F.array_distinct(F.flatten(F.transform("_rows", lambda r: r["i"])))).alias("_entry"))
-    instances = of_id.groupBy("workflow_id").agg(F.map_from_entries(F.collect_list("_entry")).alias("_of"))
-    changed = changed.join(instances, "workflow_id", "left")
-    for side in ("previous", "next"):
-        known = lambda x: F.coalesce(F.map_contains_key("_of", x), F.lit(False))
-        own = F.transform(side, lambda x: F.when(known(x), F.array(suffixed(x))).otherwise(F.array(x)))
-        every = F.transform(side, lambda x: F.when(known(x), F.try_element_at("_of", x)).otherwise(F.array(x)))
-        changed = changed.withColumn(side, F.flatten(F.when(F.col("_value").isNotNull(), own).otherwise(every)))
-    return changed.drop("_of", "_value")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelake.functions.exprs import stripped
 from pipelake.operators.edges import duplicate_ids
 
 COLUMNS = ("workflow_id", "step_id", "rule", "detail", "severity")
 
 
 def _blank(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return stripped(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
 def field_violations(steps: DataFrame, mode: str = "full") -> DataFrame:

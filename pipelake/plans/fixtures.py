@@ -17,7 +17,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 SELECT workflow_id, step_id, ordinal, 'out' AS kind, 0 AS pos, concat('a', CAST(ordinal AS STRING)) AS file FROM f1_steps
 UNION ALL
 SELECT workflow_id, step_id, ordinal, 'in', 0,
-       CASE WHEN rf = 'N' THEN concat('a', CAST(CAST(floor(ordinal / 2.0) AS INT) AS STRING), ', a', CAST(ordinal - 1 AS STRING))
+       CASE WHEN rf = 'N' THEN concat('a', CAST(CAST(floor(ordinal / 2.0) AS INT) AS STRING), chr(10), ',', chr(9), ' a', CAST(ordinal - 1 AS STRING))
             ELSE concat('a', CAST(CAST(floor(ordinal / 2.0) AS INT) AS STRING)) END
 FROM f1_steps WHERE ordinal > 1""",
     "f1_edges": """
@@ -44,7 +44,8 @@ SELECT CAST(page_id % 40 AS INT) AS workflow_id, 'sample' AS name, page_id AS po
 SELECT o_orderkey AS step_id, 'out' AS kind, CAST(o_orderdate AS TIMESTAMP) AS modified_at FROM orders
 UNION ALL SELECT l_orderkey, 'in', CAST(l_shipdate AS TIMESTAMP) FROM lineitem""",
     "f5_templates": """
-SELECT p_partkey AS step_id, replace(p_name, ' ', ' , ') AS input, concat('out/', p_brand, ',,', p_type) AS output,
+SELECT p_partkey AS step_id, concat(chr(9), replace(p_name, ' ', concat(' ,', chr(10), chr(160))), chr(13)) AS input,
+       concat('out/', p_brand, ',,', chr(11), p_type, chr(12)) AS output,
        CASE p_partkey % 4 WHEN 0 THEN 'cat {input} > {output}' WHEN 1 THEN 'merge {inputs} -o {outputs}'
             WHEN 2 THEN 'run {sample} {input}' ELSE 'echo hello' END AS command FROM part""",
     "f6_ids": "SELECT l_orderkey AS workflow_id, l_linenumber AS step_id FROM lineitem",

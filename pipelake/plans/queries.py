@@ -33,7 +33,8 @@ def _joined(c: str | Column, sep: str = ",") -> Column:
     return F.array_join(c, sep)
 
 
-LINES = "list_filter(list_transform(string_split({0}, ','), lambda x: trim(x)), lambda x: x <> '')"
+WHITE = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(8195), chr(12288))"
+LINES = "list_filter(list_transform(string_split({0}, ','), lambda x: trim(x, " + WHITE + ")), lambda x: x <> '')"
 
 
 @query(f"SELECT step_id, array_to_string({LINES.format('input')}, '|') AS inputs, array_to_string({LINES.format('output')}, '|') AS outputs FROM f5_templates")
@@ -333,24 +334,26 @@ def _expansion(spark, sf_dir, mode):
     return found.select("workflow_id", "ordinal", "value_pos", "step_id", "command", _joined("input").alias("input"), _joined("previous").alias("previous"), "error")
 
 
-def _expansion_sql(own: str, plain: str) -> str:
+def _expansion_sql(own: str, fan: str = "false") -> str:
     return f"""WITH v AS (SELECT workflow_id, 'v' || CAST(threads AS VARCHAR) AS value, row_number() OVER (PARTITION BY workflow_id ORDER BY threads) - 1 AS vp FROM (SELECT DISTINCT workflow_id, threads FROM f1_steps WHERE workflow_id % 5 <> 0)),
 t AS (SELECT *, sk % 3 = 1 AS tp, CASE WHEN sk % 3 = 1 THEN 'in/{{sample}}.' || step_id ELSE step_id END AS f FROM f1_steps),
 x AS (SELECT t.*, value, coalesce(vp, 0) AS value_pos, CASE WHEN tp AND value IS NULL THEN 'no file mapping' END AS error FROM t LEFT JOIN v ON tp AND v.workflow_id = t.workflow_id),
-d AS (SELECT x.workflow_id, x.step_id, x.value_pos, string_agg(q, ',' ORDER BY e.src, q) AS previous FROM x JOIN f1_edges e ON e.workflow_id = x.workflow_id AND e.dst = x.step_id
-  LEFT JOIN t p ON p.workflow_id = e.workflow_id AND p.step_id = e.src
-  CROSS JOIN LATERAL (SELECT unnest(CASE WHEN x.value IS NOT NULL THEN [{own}] ELSE {plain} END) AS q) GROUP BY ALL)
+r AS (SELECT e.workflow_id, e.dst, e.src, p.tp AS ptp FROM f1_edges e LEFT JOIN t p ON p.workflow_id = e.workflow_id AND p.step_id = e.src),
+q AS (SELECT x.workflow_id, x.step_id, x.value_pos, src, 0 AS vp, {own} AS ref FROM x JOIN r ON r.workflow_id = x.workflow_id AND r.dst = x.step_id WHERE x.value IS NOT NULL
+  UNION ALL SELECT x.workflow_id, x.step_id, x.value_pos, src, coalesce(v.vp, 0), CASE WHEN v.value IS NULL THEN src ELSE src || '_' || v.value END
+  FROM x JOIN r ON r.workflow_id = x.workflow_id AND r.dst = x.step_id LEFT JOIN v ON v.workflow_id = r.workflow_id AND {fan} WHERE x.value IS NULL),
+d AS (SELECT workflow_id, step_id, value_pos, string_agg(ref, ',' ORDER BY src, vp) AS previous FROM q GROUP BY ALL)
 SELECT x.workflow_id, ordinal, CAST(x.value_pos AS INT) AS value_pos, CASE WHEN value IS NULL THEN x.step_id ELSE x.step_id || '_' || value END AS step_id,
   CASE WHEN value IS NULL THEN 'run {{sample}} ' || tool ELSE 'run ' || value || ' ' || tool END AS command, CASE WHEN value IS NULL THEN f ELSE replace(f, '{{sample}}', value) END AS input,
   coalesce(previous, '') AS previous, error FROM x LEFT JOIN d ON d.workflow_id = x.workflow_id AND d.step_id = x.step_id AND d.value_pos = x.value_pos"""
 
 
-@query(_expansion_sql("e.src || '_' || x.value", "[e.src]"))
+@query(_expansion_sql("src || '_' || x.value"))
 def expand_templates(spark, sf_dir):
     return _expansion(spark, sf_dir, "reference")
 
 
-@query(_expansion_sql("CASE WHEN p.tp THEN e.src || '_' || x.value ELSE e.src END", "CASE WHEN p.tp AND e.workflow_id % 5 <> 0 THEN (SELECT list(e.src || '_' || value ORDER BY vp) FROM v WHERE v.workflow_id = e.workflow_id) ELSE [e.src] END"))
+@query(_expansion_sql("CASE WHEN ptp THEN src || '_' || x.value ELSE src END", "ptp"))
 def expand_templates_resolved(spark, sf_dir):
     return _expansion(spark, sf_dir, "resolve")
 
@@ -435,7 +438,12 @@ def topo_level(spark, sf_dir):
     return _topological(spark, sf_dir).where("level IS NOT NULL").select("workflow_id", "step_id", "level")
 
 
-@query()
+#: Steps of one level stand in the order of their last predecessors, which are of the level above: in the order of the largest path of ordinals that leads to them.
+@query(LEVELS + """, pt(workflow_id, step_id, d, path) AS (SELECT s.workflow_id, s.step_id, 0, [ordinal] FROM f1_steps s JOIN lm ON lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id WHERE level = 0
+  UNION SELECT s.workflow_id, s.step_id, d + 1, list_append(path, ordinal) FROM pt JOIN k ON k.workflow_id = pt.workflow_id AND k.src = pt.step_id
+  JOIN lm ON lm.workflow_id = k.workflow_id AND lm.step_id = k.dst AND level = d + 1 JOIN f1_steps s ON s.workflow_id = k.workflow_id AND s.step_id = k.dst),
+pm AS (SELECT workflow_id, step_id, d, max(path) AS path FROM pt GROUP BY ALL)
+SELECT workflow_id, step_id, row_number() OVER (PARTITION BY workflow_id ORDER BY d, path) AS position FROM pm""")
 def topo_order(spark, sf_dir):
     return _topological(spark, sf_dir).where("position IS NOT NULL").select("workflow_id", "step_id", "position")
 
@@ -445,7 +453,7 @@ def cyclic_steps(spark, sf_dir):
     return graph.cyclic_steps(_topological(spark, sf_dir))
 
 
-@query(LEVELS + """ SELECT lm.workflow_id, lm.step_id, level, tool, 'run {input}' AS command, 'run ' || coalesce((SELECT array_to_string(list_filter(list_transform(string_split(file, ','), lambda x: trim(x)), lambda x: x <> ''), ' ') FROM f1_files f
+@query(LEVELS + """ SELECT lm.workflow_id, lm.step_id, level, tool, 'run {input}' AS command, 'run ' || coalesce((SELECT array_to_string(""" + LINES.format("file") + """, ' ') FROM f1_files f
 WHERE f.kind = 'in' AND f.workflow_id = lm.workflow_id AND f.step_id = lm.step_id), '') AS rendered, threads FROM lm JOIN f1_steps s ON s.workflow_id = lm.workflow_id AND s.step_id = lm.step_id WHERE sk % 4 <> 0""")
 def dry_run_plan(spark, sf_dir):
     steps, done = _done(spark, sf_dir)
@@ -466,12 +474,12 @@ def first_fit(spark, sf_dir):
     return graph.first_fit(c, budget=8, most=4).select("group_id", "ordinal", "taken")
 
 
-@query(LEVELS + f""", x AS (SELECT *, CASE WHEN sk % 17 = 0 THEN ' ' ELSE tool END AS tl, CASE WHEN sk % 19 = 0 THEN '' WHEN sk % 7 = 0 THEN 'go {{input}}' ELSE 'go' END AS cmd FROM f1_steps),
+@query(LEVELS + f""", x AS (SELECT *, CASE WHEN sk % 17 = 0 THEN concat(chr(9), ' ') ELSE tool END AS tl, CASE WHEN sk % 19 = 0 THEN chr(10) WHEN sk % 7 = 0 THEN 'go {{input}}' ELSE 'go' END AS cmd FROM f1_steps),
 d AS (SELECT workflow_id FROM f1_steps WHERE ordinal = 4 AND workflow_id % 23 = 0)
 SELECT o_orderkey AS workflow_id, NULL AS step_id, 'empty_workflow' AS rule, NULL AS detail, 'error' AS severity FROM orders WHERE o_orderkey NOT IN (SELECT workflow_id FROM f1_steps)
 UNION ALL SELECT workflow_id, 'z', 'duplicate_id', NULL, 'error' FROM d
-UNION ALL SELECT workflow_id, step_id, 'blank_tool', NULL, 'error' FROM x WHERE trim(tl) = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
-UNION ALL SELECT workflow_id, step_id, 'blank_command', NULL, 'error' FROM x WHERE cmd = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT workflow_id, step_id, 'blank_tool', NULL, 'error' FROM x WHERE trim(tl, {WHITE}) = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
+UNION ALL SELECT workflow_id, step_id, 'blank_command', NULL, 'error' FROM x WHERE trim(cmd, {WHITE}) = '' AND workflow_id NOT IN (SELECT workflow_id FROM d)
 UNION ALL SELECT workflow_id, step_id, 'input_placeholder_without_input', NULL, 'warning' FROM x WHERE contains(cmd, '{{input}}') AND ordinal = 1 AND workflow_id NOT IN (SELECT workflow_id FROM d)
 UNION ALL SELECT workflow_id, dst, 'unknown_previous', src, 'error' FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.src) AND workflow_id NOT IN (SELECT workflow_id FROM d)
 UNION ALL SELECT DISTINCT workflow_id, NULL, 'cycle', NULL, 'error' FROM f1_steps s WHERE workflow_id NOT IN (SELECT workflow_id FROM d) AND NOT EXISTS (SELECT 1 FROM lm WHERE lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id)""")
@@ -482,8 +490,8 @@ def validation_report(spark, sf_dir):
     renamed = F.when(F.col("long") & (F.col("ordinal") <= 2), "z").when(F.col("long") & (F.col("ordinal") <= 4), "a").otherwise(F.col("step_id"))
     steps = s.join(long, "workflow_id", "left").select(
         "workflow_id", "ordinal", renamed.alias("step_id"),
-        F.when(F.col("sk") % 17 == 0, " ").otherwise(F.col("tool")).alias("tool"),
-        F.when(F.col("sk") % 19 == 0, "").when(F.col("sk") % 7 == 0, "go {input}").otherwise("go").alias("command"),
+        F.when(F.col("sk") % 17 == 0, "\t ").otherwise(F.col("tool")).alias("tool"),
+        F.when(F.col("sk") % 19 == 0, "\n").when(F.col("sk") % 7 == 0, "go {input}").otherwise("go").alias("command"),
         F.when(F.col("ordinal") > 1, one).otherwise(none).alias("input"), none.alias("output"),
     )
     workflows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("workflow_id"))
@@ -574,7 +582,7 @@ def _upserted(spark: SparkSession, stream: DataFrame, keys: list[str], name: str
     folder = _folder(spark, name)
     sink = stream.writeStream.foreachBatch(live.upsert_into(folder, keys)).outputMode("update").option("checkpointLocation", folder + "-state")
     sink.trigger(availableNow=True).start().awaitTermination()
-    return live.read_upserts(spark, folder, keys)
+    return live.read_upserts(spark, folder, keys, stream.schema)
 
 
 @query("SELECT run_id, step_id, max_by(CASE event_type WHEN 'Started' THEN 'Running' ELSE event_type END, (ts, seq)) AS status FROM f2_events GROUP BY ALL")
@@ -585,7 +593,7 @@ def live_status(spark, sf_dir):
 @query(f"WITH {MS} SELECT run_id, CAST(step_id AS VARCHAR) AS step_id, max_by(ms - st, (ts, seq)) AS duration_ms FROM s WHERE event_type <> 'Started' AND st IS NOT NULL GROUP BY ALL")
 def live_durations(spark, sf_dir):
     first = view(spark, sf_dir, "f2_events").agg(F.min("ts").cast("string")).first()[0]
-    rows = _appended(spark, live.live_durations(_lifecycle(_stream(spark, sf_dir)), origin=first or "1970-01-01"), "durations")
+    rows = _appended(spark, live.live_durations(_lifecycle(_stream(spark, sf_dir)), origin=first or "1970-01-01", late="0 seconds", expire_ms=None), "durations")
     return rows.groupBy("run_id", "step_id").agg(F.max_by("duration_ms", F.struct("us", "seq")).alias("duration_ms"))
 
 
@@ -595,7 +603,7 @@ def _samples(rows: DataFrame) -> DataFrame:
 
 @query()
 def live_thinning(spark, sf_dir):
-    return _appended(spark, live.live_thinning(_samples(_stream(spark, sf_dir)), 6 * 3600 * 1000), "thinned").select("run_id", "seq")
+    return _appended(spark, live.live_thinning(_samples(_stream(spark, sf_dir)), 6 * 3600 * 1000, late="0 seconds"), "thinned").select("run_id", "seq")
 
 
 @query("SELECT run_id, date_trunc('day', ts) AS start, count(*) AS samples, round(avg(cpu), 6) AS avg_cpu, max(memory_bytes // 1048576) AS peak_mb, min(memory_bytes // 1048576) AS min_mb FROM f10_samples GROUP BY ALL")
@@ -618,7 +626,7 @@ def live_snapshots(spark, sf_dir):
     events = rows.select(F.col("user_id").alias("workflow_id"), F.regexp_extract("props", "([0-9]+)", 1).alias("step_id"), F.col("event_id").alias("seq"), "ts", kind.alias("event_type"))
     folder = _folder(spark, "snapshots")
     live.start_snapshots(events, folder, folder + "-state").awaitTermination()
-    found = live.read_upserts(spark, folder + "/snapshots", ["workflow_id"])
+    found = live.read_snapshots(spark, folder, events.schema["workflow_id"].dataType.simpleString())
     return found.select("workflow_id", _joined("completed").alias("completed"), F.coalesce("failed_step", F.lit("-")).alias("failed_step"), "updated_at")
 
 

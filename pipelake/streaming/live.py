@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pipelake.functions.exprs import log_severity
-from pipelake.operators.state import state_fold
 from pipelake.operators.timeline import with_memory_mb
+from pipelake.streaming.tables import UpsertTable, newest
 
 
 def live_status(events: DataFrame) -> DataFrame:
@@ -25,130 +22,156 @@ def live_status(events: DataFrame) -> DataFrame:
     return last.select("run_id", "step_id", F.when(F.col("e.event_type") == "Started", "Running").otherwise(F.col("e.event_type")).alias("status"), F.when(F.col("e.event_type") == "Failed", F.col("e.error")).alias("error"))
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch sink that keeps the newest row per key. Each batch is a folder of its own, named by its number, so a replayed
-    batch overwrites itself."""
+def upsert_into(path: str, keys: list[str], buckets: int = 16):
+    """A foreachBatch sink that keeps the newest row per key in an UpsertTable."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        UpsertTable(batch.sparkSession, path, keys, newest(keys), buckets).upsert(batch, number)
 
     return write
 
 
-def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    columns = [c for c in rows.columns if c != "_batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("r")).select("r.*")
+def read_upserts(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+    """The rows that upsert_into keeps, as of its last whole batch."""
+    return UpsertTable(spark, path, keys, newest(keys)).read(schema)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str], most: int = 500_000, piece: int = 1_000) -> Iterator[tuple]:
-    """The columns of a key's rows by (us, seq), the last two columns. Up to ``most`` rows are sorted at once; where there are more, sorted runs
-    of them go to a file that is gone afterwards, and are merged from there in pieces."""
-    held, size, runs, file = [], 0, [], None
+class _InTimeOrder(StatefulProcessor):
+    """Rows of a key held until the watermark has passed them, then given to ``take`` in order of (us, seq).
 
-    def taken() -> pd.DataFrame:
-        return pd.concat(held)[columns].sort_values(["us", "seq"], kind="stable")
+    Each input frame becomes one sorted entry of a list state; a timer at the earliest waiting row releases what the watermark has
+    passed. Held are only rows between the watermark and the newest ones. ``columns`` end with us and seq.
+    """
+
+    columns: list[str]
+    out: list[str]
+    state: str
 
-    def read(places: list[int]) -> Iterator[tuple]:
-        for place in places:
-            file.seek(place)
-            yield from pickle.load(file)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.value = handle.getValueState("value", self.state)
 
-    try:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
-            held.append(frame)
-            size += len(frame)
-            if size >= most:
-                file = file or tempfile.TemporaryFile()
-                found, places = taken(), []
-                file.seek(0, 2)
-                for i in range(0, len(found), piece):
-                    places.append(file.tell())
-                    pickle.dump(list(found[i : i + piece].itertuples(index=False, name=None)), file)
-                runs.append(places)
-                held, size = [], 0
-        last = taken().itertuples(index=False, name=None) if held else iter(())
-        yield from heapq.merge(*map(read, runs), last, key=lambda r: r[-2:]) if runs else last
-    finally:
-        if file:
-            file.close()
-
-
-def _frames(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Frames of up to ``size`` rows; an empty one where there are none."""
-    yield pd.DataFrame(list(islice(rows, size)), columns=columns)
-    while part := list(islice(rows, size)):
-        yield pd.DataFrame(part, columns=columns)
-
-
-class _Durations(StatefulProcessor):
-    """Per (run, step): the last start; an end with a start gives a duration. A start that sees no end expires."""
+            frame = frame[self.columns].sort_values(["us", "seq"], kind="stable", ignore_index=True)
+            self.waiting.appendValue((_ipc(frame),))
+            first = min(x for x in (first, int(frame["us"].iloc[0])) if x is not None)
+        if first is not None:
+            self._wake(first)
+        yield pd.DataFrame(columns=self.out)
+
+    def _wake(self, us: int) -> None:
+        # A timer fires once the watermark is past it; the row itself is due when the watermark is at its millisecond.
+        self.handle.registerTimer(us // 1000 - 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = (timerValues.getCurrentWatermarkInMs() + 1) * 1000
+        held = [_frame(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        cuts = [int(f["us"].searchsorted(due)) for f in held]
+        later = [f.iloc[c:] for f, c in zip(held, cuts, strict=True) if c < len(f)]
+        ready = [f.iloc[:c] for f, c in zip(held, cuts, strict=True) if c]
+        self.waiting.clear()
+        if later:
+            rest = pd.concat(later, ignore_index=True).sort_values(["us", "seq"], kind="stable", ignore_index=True)
+            self.waiting.appendValue((_ipc(rest),))
+            self._wake(int(rest["us"].iloc[0]))
+        value = self.value.get() if self.value.exists() else None
+        if ready:
+            rows = pd.concat(ready, ignore_index=True).sort_values(["us", "seq"], kind="stable")
+            value, found = self.take(key, rows, value)
+            yield pd.DataFrame(found, columns=self.out)
+        else:
+            yield pd.DataFrame(columns=self.out)
+        value = self.kept(value, due)
+        self.value.update(value) if value else self.value.clear()
+
+    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        """(new value, rows out) after the rows, which are in order."""
+        raise NotImplementedError
+
+    def kept(self, value: tuple | None, due: int) -> tuple | None:
+        return value
 
-    def __init__(self, expire_ms: int | None):
-        self.expire_ms = expire_ms
+    def close(self) -> None:
+        pass
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "start_us long", ttlDurationMs=self.expire_ms) if self.expire_ms else handle.getValueState("start", "start_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from _frames(self.ended(key, rows), ["run_id", "step_id", "duration_ms", "us", "seq"])
+def _ipc(frame: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
 
-    def ended(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        held = self.start.get() if self.start.exists() else None
-        start = held[0] if held else None
-        for kind, us, seq in _in_order(rows, ["event_type", "us", "seq"]):
+def _frame(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+class _Durations(_InTimeOrder):
+    """Per (run, step): the last start; an end with a start gives a duration. A start is forgotten ``expire_ms`` after it."""
+
+    columns, out, state = ["event_type", "us", "seq"], ["run_id", "step_id", "start_us", "us", "seq"], "start_us long"
+
+    def __init__(self, expire_ms: int | None):
+        self.expire_ms = expire_ms
+
+    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        start, found = value[0] if value else None, []
+        for kind, us, seq in rows.itertuples(index=False, name=None):
             if kind == "Started":
                 start = int(us)
-            elif kind in ("Completed", "Failed") and start is not None:
-                yield (*key, int(us) // 1000 - start // 1000, int(us), int(seq))
-        if start is not None:
-            self.start.update((start,))
+            elif kind in ("Completed", "Failed") and start is not None and not self.old(start, us):
+                found.append((*key, start, int(us), int(seq)))
+        if start is not None and self.expire_ms is not None:
+            self.handle.registerTimer(start // 1000 + self.expire_ms)
+        return None if start is None else (start,), found
 
-    def close(self) -> None:
-        pass
+    def old(self, start: int, us: int) -> bool:
+        return self.expire_ms is not None and us - start > self.expire_ms * 1000
+
+    def kept(self, value: tuple | None, due: int) -> tuple | None:
+        return None if value and self.old(value[0], due) else value
 
 
-def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", expire_ms: int | None = None) -> DataFrame:
+def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", late: str = "10 minutes", expire_ms: int | None = 30 * 86_400_000) -> DataFrame:
     """(run_id, step_id, duration_ms, us, seq) at each end; the last row of a step is its batch duration.
 
-    Milliseconds count from ``origin`` (give the run's start for the batch result to the millisecond). Append mode; needs the
-    RocksDB state store. Events of a step have to arrive in order.
+    Events may arrive in any order within ``late``; they count once the watermark has passed them, and later ones are dropped. Milliseconds
+    count from ``origin`` (give the run's start for the batch result to the millisecond). Starts are kept ``expire_ms`` (None: for ever). Append
+    mode; needs the RocksDB state store.
     """
-    us = F.unix_micros(F.col("ts")) - F.unix_micros(F.to_timestamp(F.lit(origin)))
-    keyed = events.select("run_id", F.col("step_id").cast("string").alias("step_id"), "event_type", us.alias("us"), "seq").groupBy("run_id", "step_id")
-    return keyed.transformWithStateInPandas(_Durations(expire_ms), "run_id string, step_id string, duration_ms long, us long, seq long", "Append", "None")
+    timed = events.withWatermark("ts", late).select("run_id", F.col("step_id").cast("string").alias("step_id"), "event_type", F.unix_micros("ts").alias("us"), "seq", "ts")
+    found = timed.groupBy("run_id", "step_id").transformWithStateInPandas(_Durations(expire_ms), "run_id string, step_id string, start_us long, us long, seq long", "Append", "EventTime")
+    ms = lambda c: F.floor((F.col(c) - F.unix_micros(F.to_timestamp(F.lit(origin)))) / 1000)
+    return found.select("run_id", "step_id", (ms("us") - ms("start_us")).alias("duration_ms"), "us", "seq")
 
 
-class _Thinning(StatefulProcessor):
+class _Thinning(_InTimeOrder):
     """Per run: the time of the last accepted sample. The first sample only starts the clock."""
 
+    columns, out, state = ["cpu", "memory_mb", "us", "seq"], ["run_id", "seq", "us", "cpu", "memory_mb"], "us long"
+
     def __init__(self, micros: int):
         self.micros = micros
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from _frames(self.kept(key, rows), ["run_id", "seq", "us", "cpu", "memory_mb"])
-
-    def kept(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        held = self.last.get() if self.last.exists() else None
-        last = held[0] if held else None
-        for cpu, memory, us, seq in _in_order(rows, ["cpu", "memory_mb", "us", "seq"]):
+    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        last, found = value[0] if value else None, []
+        for cpu, memory, us, seq in rows.itertuples(index=False, name=None):
             ok = last is not None and us - last >= self.micros
             last = int(us) if ok or last is None else last
             if ok:
-                yield (*key, seq, us, cpu, memory)
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
+                found.append((*key, seq, us, cpu, memory))
+        return (last,), found
 
 
-def live_thinning(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:
-    """Samples that a sampler with a minimum interval keeps; append mode, RocksDB state store, samples of a run in order."""
-    rows = with_memory_mb(samples).select(F.col("run_id").cast("string").alias("run_id"), "seq", F.unix_micros("ts").alias("us"), "cpu", "memory_mb")
-    return rows.groupBy("run_id").transformWithStateInPandas(_Thinning(min_interval_ms * 1000), "run_id string, seq long, us long, cpu double, memory_mb long", "Append", "None")
+def live_thinning(samples: DataFrame, min_interval_ms: int = 250, late: str = "1 minute") -> DataFrame:
+    """Samples that a sampler with a minimum interval keeps, in any order of arrival within ``late``; append mode, RocksDB state store."""
+    rows = with_memory_mb(samples).withWatermark("ts", late)
+    rows = rows.select(F.col("run_id").cast("string").alias("run_id"), "seq", F.unix_micros("ts").alias("us"), "cpu", "memory_mb", "ts")
+    return rows.groupBy("run_id").transformWithStateInPandas(_Thinning(min_interval_ms * 1000), "run_id string, seq long, us long, cpu double, memory_mb long", "Append", "EventTime")
 
 
 def live_resources(samples: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -162,23 +185,61 @@ def live_severity(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id", log_severity(F.col("line")).alias("severity")).agg(F.count("*").alias("lines"))
 
 
-def start_snapshots(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+SNAPSHOT = "workflow_id {0}, part string, step_id string, at struct<ts:timestamp,seq:bigint,event_type:string,step_id:string>"
+
+
+def snapshot_parts(events: DataFrame) -> DataFrame:
+    """State in a form that merges: per workflow its last clear, its last event, and each step's last completion, with their times."""
+    at = F.struct("ts", F.col("seq").cast("long").alias("seq"), "event_type", F.col("step_id").cast("string").alias("step_id"))
+    kind = F.col("event_type")
+    parts = F.array(F.lit("last"), F.when(kind == "Cleared", "clear").when(kind == "Completed", "done"))
+    opened = events.select("workflow_id", F.explode(F.array_compact(parts)).alias("part"), at.alias("at"))
+    step = F.when(F.col("part") == "done", F.col("at.step_id"))
+    return opened.groupBy("workflow_id", "part", step.alias("step_id")).agg(F.max("at").alias("at"))
+
+
+def merge_parts(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The parts of both, maxima part by part: in any order, and any number of times. Completions before the last clear go."""
+    keys = ["workflow_id", "part", "step_id"]
+    both = stored.select(*keys, "at").union(batch.select(*keys, "at")).groupBy(*keys).agg(F.max("at").alias("at"))
+    cleared = both.where("part = 'clear'").select(F.col("workflow_id").alias("_w"), F.struct("at.ts", "at.seq").alias("_clear"))
+    met = both.join(cleared, F.col("workflow_id").eqNullSafe(F.col("_w")), "left")
+    live = F.col("_clear").isNull() | (F.col("part") != "done") | (F.struct("at.ts", "at.seq") > F.col("_clear"))
+    return met.where(live).select(*keys, "at")
+
+
+def folded_parts(parts: DataFrame) -> DataFrame:
+    """(workflow_id, completed, failed_step, updated_at, is_resume), as state_fold gives them."""
+    last = F.max(F.when(F.col("part") == "last", F.col("at")))
+    folded = parts.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.when(F.col("part") == "done", F.col("step_id")))).alias("completed"), last.alias("_last"))
+    failed = F.when(F.col("_last.event_type") == "Failed", F.col("_last.step_id")).alias("failed_step")
+    folded = folded.select("workflow_id", "completed", failed, F.col("_last.ts").alias("updated_at"))
+    return folded.withColumn("is_resume", (F.size("completed") > 0) | F.col("failed_step").isNotNull())
+
+
+def _snapshots(spark: SparkSession, path: str, buckets: int) -> UpsertTable:
+    return UpsertTable(spark, path, ["workflow_id"], merge_parts, buckets)
+
+
+def start_snapshots(events: DataFrame, path: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
     """Keep a state snapshot per workflow up to date.
 
-    Each batch's Completed, Failed and Cleared events are stored under the batch's number and the snapshot of the touched
-    workflows is folded anew, so replaying a batch changes nothing.
+    A batch's Completed, Failed and Cleared events are reduced to snapshot parts and merged into those stored before, in the buckets of its
+    workflows; no event is read twice, whatever came before. Replaying a batch, or events that come late, repeated or in another order, give the
+    same snapshot.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
-        stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/events").dropDuplicates(["workflow_id", "seq"])
-        touched = stored.join(batch.select("workflow_id").distinct(), "workflow_id", "left_semi")
-        state_fold(touched).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
+        _snapshots(batch.sparkSession, path, buckets).upsert(snapshot_parts(batch), number)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_snapshots(spark: SparkSession, path: str, key_type: str = "string") -> DataFrame:
+    """The snapshots that start_snapshots keeps; key_type is the type of workflow_id."""
+    return folded_parts(_snapshots(spark, path, 1).read(SNAPSHOT.format(key_type)))
+
+
 def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return its rows; for tests and small results."""
     name = f"live_{uuid.uuid4().hex}"
