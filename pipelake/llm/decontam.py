@@ -1,13 +1,14 @@
 r"""Benchmark decontamination by a positional inverted index, in DataFrame functions only.
 
 1. Corpus frequencies of the benchmark's terms are counted over all documents. Every window of ``window``
-   words of a benchmark item gets its two rarest terms.
+   words of a benchmark item gets its two rarest terms. Neighbouring windows with one rarest place form a segment, of fewer than two windows' words;
+   equal segments, of one item or of many, are one.
 2. The index: postings (term, document, position) of those rare terms, over all documents, stored in the shared
    folder. Terms that no window needs first or second are never posted.
-3. Intersection from the rarest term: a posting of a window's rarest term fixes where the item would lie in the
-   document (its diagonal). Windows that share the anchor share the candidate. The second list has to have the
-   posting that the diagonal asks for.
-4. What two lists agree on is compared word by word with the document, so matches are exact phrases.
+3. Intersection from the rarest term: a posting of a segment's rarest term fixes where the segment would start in the
+   document. The second list has to have the posting that this start asks for.
+4. What two lists agree on is compared word by word with the document, so matches are exact phrases. A document's row gets each of its segments once,
+   with the starts as numbers, so texts and items of one word over and over stay linear.
    ``near_matches`` answers proximity questions from the same index.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. An item with fewer words than a window, but not
@@ -60,18 +61,27 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     return counted.withColumnRenamed("count", "n")
 
 
-def rare_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, term_1, at_1, term_2, at_2): the two rarest terms of each window that can occur; term_2 is null in windows of one word."""
+def segments(items: DataFrame, windows: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(seg, words, ids, term_1, off_1, seconds): the segments of all items whose windows can occur.
+
+    term_1 at off_1 is the rarest term of each of the segment's windows, the first of equals; seconds are the windows' second rarest, (term, off),
+    none in windows of one word.
+    """
     ranked = (
         windows.join(counts, "term", "left")
         .groupBy("item", "start")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("r"))
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))), 1, 2).alias("r"))
         .where(F.col("r")[0]["n"] > 0)
     )
-    second = F.get("r", F.lit(1))
-    return ranked.select(
-        "item", F.col("r")[0]["term"].alias("term_1"), F.col("r")[0]["at"].alias("at_1"), second["term"].alias("term_2"), second["at"].alias("at_2")
-    ).distinct()
+    runs = ranked.groupBy("item", F.col("r")[0]["at"].alias("at")).agg(
+        F.min("start").alias("first"), F.max("start").alias("last"), F.first(F.col("r")[0]["term"]).alias("term_1"), F.collect_set(F.get("r", F.lit(1))).alias("others")
+    )
+    words = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + window)
+    seconds = F.array_sort(F.transform("others", lambda o: F.struct(o["term"].alias("term"), (o["at"] - F.col("first")).alias("off"))))
+    cut = runs.join(items, "item").select(words.alias("words"), "ids", "term_1", (F.col("at") - F.col("first")).alias("off_1"), seconds.alias("seconds"))
+    same = F.md5(F.concat_ws(" ", F.col("off_1").cast("string"), F.array_join("words", " ")))
+    first = [F.first(c).alias(c) for c in ("words", "term_1", "off_1", "seconds")]
+    return cut.groupBy(same.alias("seg")).agg(*first, F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -81,15 +91,15 @@ def build_index(docs: DataFrame, terms: DataFrame, *, key: str, text: str) -> Da
 
 
 def candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(item, doc_id, diagonal) on which the rarest two lists of some window agree."""
+    """(seg, doc_id, start): where the rarest two lists of some window of a segment agree; anchors(seg, term_1, off_1, term_2, off_2)."""
     first = postings.join(_small(anchors.withColumnRenamed("term_1", "term")), "term")
-    lines = first.select("item", "doc_id", (F.col("pos") - F.col("at_1")).alias("diagonal"), "term_2", (F.col("pos") - F.col("at_1") + F.col("at_2")).alias("pos_2"))
+    lines = first.select("seg", "doc_id", (F.col("pos") - F.col("off_1")).alias("start"), "term_2", (F.col("pos") - F.col("off_1") + F.col("off_2")).alias("pos_2"))
     other = postings.select(F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"))
     agreed = lines.where("term_2 IS NOT NULL").join(
         other, (F.col("term_2") == F.col("_term")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos_2") == F.col("_pos")), "left_semi"
     )
     alone = lines.where("term_2 IS NULL")
-    return agreed.union(alone).select("item", "doc_id", "diagonal").distinct()
+    return agreed.union(alone).select("seg", "doc_id", "start").distinct()
 
 
 def near_matches(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
@@ -106,20 +116,16 @@ def near_matches(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
 
 
 def _matches(words: Column, lines: Column, window: int) -> Column:
-    """Per line, (ids, spans): the spans (start, length) of the windows that the document repeats exactly."""
+    """Per segment, (ids, spans): the spans (start, length) of its windows that the document repeats exactly."""
 
     def of(line: Column) -> Column:
         length = F.least(F.size(line["words"]), F.lit(window))
-        starts = F.sequence(F.lit(0), F.size(line["words"]) - length)
-        here = F.filter(
-            starts,
-            lambda s: (line["diagonal"] + s >= 0)
-            & (F.get(words, line["diagonal"] + s) == F.get(line["words"], s))
-            & (F.slice(words, F.greatest(line["diagonal"] + s, F.lit(0)) + 1, length) == F.slice(line["words"], s + 1, length)),
-        )
-        return F.struct(line["ids"].alias("ids"), F.transform(here, lambda s: F.struct((line["diagonal"] + s).alias("at"), length.alias("n"))).alias("spans"))
+        inside = F.sequence(F.lit(0), F.size(line["words"]) - length)
+        same = lambda s, p: (p + s >= 0) & (F.slice(words, F.greatest(p + s, F.lit(0)) + 1, length) == F.slice(line["words"], s + 1, length))
+        here = F.flatten(F.transform(inside, lambda s: F.transform(F.filter(line["starts"], lambda p: same(s, p)), lambda p: F.struct((p + s).alias("at"), length.alias("n")))))
+        return F.struct(line["ids"].alias("ids"), here.alias("spans"))
 
-    return F.filter(F.transform(F.coalesce(lines, F.array().cast("array<struct<diagonal:int,words:array<string>,ids:array<string>>>")), of), lambda m: F.size(m["spans"]) > 0)
+    return F.filter(F.transform(F.coalesce(lines, F.array().cast("array<struct<words:array<string>,ids:array<string>,starts:array<int>>>")), of), lambda m: F.size(m["spans"]) > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -127,11 +133,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
     items = written(benchmark_items(benchmark, item_id=item_id, text=item_text), "benchmark-items")
     windows = item_windows(items, window)
     counts = term_counts(docs, windows.select("term").distinct(), text)
-    anchors = written(rare_anchors(windows, counts), "anchors")
+    cut = written(segments(items, windows, counts, window), "segments")
+    opened = cut.select("seg", "term_1", "off_1", F.explode_outer("seconds").alias("s"))
+    anchors = opened.select("seg", "term_1", "off_1", F.col("s.term").alias("term_2"), F.col("s.off").alias("off_2"))
     terms = anchors.select(F.explode(F.array("term_1", "term_2")).alias("term")).where("term IS NOT NULL").distinct()
     postings = build_index(docs, terms, key=key, text=text)
-    lines = candidates(postings, anchors).join(items, "item")
-    by_doc = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("diagonal").cast("int").alias("diagonal"), "words", "ids")).alias("lines"))
+    starts = candidates(postings, anchors).groupBy("doc_id", "seg").agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
+    lines = starts.join(cut.select("seg", "words", "ids"), "seg")
+    by_doc = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("words", "ids", "starts")).alias("lines"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     joined = rows.join(by_doc, rows.doc_id.eqNullSafe(F.col("_doc")), "left")
     judged = joined.select("doc_id", index_words(F.col("text")).alias("words"), "lines")

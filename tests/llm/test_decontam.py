@@ -42,6 +42,19 @@ def test_decisions_and_odd_rows(spark):
     assert found(spark, {}, items, 3) == {}
 
 
+def test_one_word_over_and_over_stays_linear(spark):
+    items = [(1, "ha " * 5000), (2, "ha " * 12), (3, "ha " * 4), (4, "so la " * 2500), (5, "ha " * 9 + "end")]
+    texts = {1: "ha " * 50_000, 2: "so la " * 25_000, 3: "ha " * 9, 4: "x " + "ha " * 10 + "y", 5: "ha " * 10 + "end"}
+    expected = {1: (50_000, 50_000, ["1", "2", "3"]), 2: (50_000, 50_000, ["4"]), 3: (9, 9, ["3"]), 4: (12, 10, ["1", "2", "3"]), 5: (11, 11, ["1", "2", "3", "5"])}
+    assert found(spark, texts, items, 10) == expected
+
+
+def test_clashing_names(spark):
+    frame = docs(spark, {1: "x alpha beta gamma y", 2: "fine"}).selectExpr("*", "1 AS _hit", "2 AS seg", "3 AS starts", "4 AS hit", "5 AS _doc", "6 AS lines")
+    kept = D.decontaminate(frame, bench(spark, [(1, "alpha beta gamma")]), window=3)
+    assert [r.doc_id for r in kept.collect()] == [2] and kept.columns == frame.columns
+
+
 def test_proximity(spark):
     frame = docs(spark, {1: "rare x x other", 2: "rare x x x x x other", 3: "other rare"})
     terms = spark.createDataFrame([("rare",), ("other",)], "term string")
