@@ -11,7 +11,8 @@ compressed array per bucket, and answers go back packed by parts of the document
 of them on, so a passage that every document repeats costs a bucket one entry per task.
 
 Words are ``[^\x20\x09-\x0D]+``, unchanged. Null and blank texts have no words. Rows with a null id are neither
-references nor changed. Rows with equal ids never remove each other's words. An empty table gives an empty result.
+references nor changed. Rows with equal ids never remove each other's words: their different texts count as one document with
+gaps, each at an offset (``base``) of its own; together they may have up to 2^31 characters. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelake.llm.common import written
 from pipelake.llm.hashing import WordHashes, mixed, window_hashes
 from pipelake.llm.packing import pack, unpack
 
@@ -70,11 +72,13 @@ class _Chunk:
     def __init__(self):
         self.hashes: list[np.ndarray] = []
         self.ids: list[int] = []
+        self.bases: list[int] = []
         self.hits: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id: int, hashes: np.ndarray, hits: np.ndarray | None = None) -> None:
+    def add(self, doc_id: int, base: int, hashes: np.ndarray, hits: np.ndarray | None = None) -> None:
         self.ids.append(doc_id)
+        self.bases.append(base)
         self.hashes.append(hashes)
         self.hits.append(hits)
         self.size += len(hashes)
@@ -86,7 +90,8 @@ class _Chunk:
         starts = np.cumsum(lengths) - lengths
         counts = np.maximum(lengths - size + 1, 0)
         place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return words, np.repeat(starts, counts) + place, np.repeat(np.array(self.ids, np.int64), counts), place.astype(np.int32)
+        in_document = place + np.repeat(np.array(self.bases, np.int64), counts)
+        return words, np.repeat(starts, counts) + place, np.repeat(np.array(self.ids, np.int64), counts), in_document.astype(np.int32)
 
 
 def _spread(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -167,19 +172,26 @@ def _meet_full(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[later], place[later]
 
 
+def _own(places: pa.ListScalar, base: int, words: int) -> np.ndarray:
+    """The places of a document that lie in one of its rows, counted from the row's first word."""
+    own = places.values.to_numpy(zero_copy_only=False).astype(np.int64) - base
+    return own[(own >= 0) & (own < words)]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: int) -> Iterator[_Chunk]:
-    """Documents of (doc_id, text[, places]) rows that have an id and least_words words or more, in chunks."""
+    """Documents of (doc_id, text, base[, places]) rows that have an id and least_words words or more, in chunks."""
     hashes, chunk = WordHashes(), _Chunk()
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i, doc_id in enumerate(columns[0].to_pylist()):
-            if len(columns) > 2 and not columns[2][i].is_valid:
+            if len(columns) > 3 and not columns[3][i].is_valid:
                 continue
             words = (columns[1][i].as_py() or "").encode().split()
             if len(words) < least_words or doc_id is None:
                 continue
-            hits = columns[2][i].values.to_numpy(zero_copy_only=False).astype(np.int64) if len(columns) > 2 else None
-            chunk.add(doc_id, hashes.of(words), hits)
+            base = columns[2][i].as_py()
+            hits = _own(columns[3][i], base, len(words)) if len(columns) > 3 else None
+            chunk.add(doc_id, base, hashes.of(words), hits)
             if chunk.size >= chunk_words:
                 yield chunk
                 chunk = _Chunk()
@@ -188,7 +200,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: in
 
 
 def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1 << 19) -> DataFrame:
-    """(doc_id, places): starts of the windows of docs(doc_id, text) that a smaller document has too."""
+    """(doc_id, places): starts of the windows of docs(doc_id, text, base) that a smaller document has too."""
     block = (window + 1) // 2
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -226,7 +238,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
 
     hits = gathered(docs, lambda c: _probes(c, block, buckets), window, _meet_probes)
     # An inner join would filter the texts below their exchange, which the other readers could then not share.
-    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "places")
+    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "base", "places")
     return gathered(near, lambda c: _full_windows(c, window, block, buckets), window, _meet_full)
 
 
@@ -237,6 +249,18 @@ def _without(words: list[bytes], places: np.ndarray, window: int) -> list[bytes]
     return [w for w, g in zip(words, np.cumsum(gone)[:-1].tolist(), strict=True) if not g]
 
 
+def _based(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with base: 0, or where an id repeats, the characters of its other texts that come before (in the order of their hashes)."""
+    shared = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if shared.isEmpty():
+        return docs.withColumn("base", F.lit(0))
+    kind = F.md5(F.coalesce("text", F.lit(""))).alias("kind")
+    texts = docs.join(shared, "doc_id", "left_semi").select("doc_id", kind, (F.length(F.coalesce("text", F.lit(""))) + 1).alias("n")).distinct()
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1))
+    bases = texts.select("doc_id", "kind", F.coalesce(before, F.lit(0)).cast("int").alias("base"))
+    return docs.withColumn("kind", kind).join(bases, ["doc_id", "kind"], "left").select("doc_id", "text", F.coalesce("base", F.lit(0)).alias("base"))
+
+
 def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row; kept words are joined by one space.
 
@@ -246,9 +270,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, texts = [], [], []
-            for value, places in zip(batch.column(1), batch.column(2), strict=True):
+            for value, base, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = (value.as_py() or "").encode().split()
-                kept = _without(words, places.values.to_numpy(zero_copy_only=False).astype(np.int64), window) if places.is_valid else words
+                kept = _without(words, _own(places, base.as_py(), len(words)), window) if places.is_valid else words
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode())
@@ -257,7 +281,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", te
                 names=["doc_id", "n_words", "n_removed", "kept_text"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    rows = _based(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).repartition("doc_id")
     repeats = repeated_windows(rows, window=window)
-    joined = rows.join(repeats, "doc_id", "left").select("doc_id", "text", "places")
+    joined = rows.join(repeats, "doc_id", "left").select("doc_id", "text", "base", "places")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

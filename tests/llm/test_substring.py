@@ -36,6 +36,13 @@ def test_odd_rows(spark):
     assert S.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_equal_ids_with_different_texts(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(20))
+    rows = [(5, short), (5, long), (5, long), (6, short + " " + long), (7, short), (4, "x " + short), (5, None), (5, "v1 v2")]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(4, 21, 0), (5, 0, 0), (5, 2, 0), (5, 20, 20), (5, 60, 0), (5, 60, 0), (6, 80, 80), (7, 20, 20)]
+
+
 def test_packing_round_trip():
     arrays = [np.array([1, 2, 1 << 40], np.int64), np.zeros(0, np.int32), np.array([255, 0], np.uint8)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, S.unpack(S.pack(*arrays)), strict=True))
