@@ -1,14 +1,16 @@
 r"""Personal data by candidate gradient boosting, in DataFrame functions only.
 
 1. Base finders (email, ip, card, phone) give validated spans that always stay.
-2. High-recall generators (``number``, ``contact``) propose further spans, which may overlap.
+2. High-recall generators (``number``, ``contact``, ``secret``) propose further spans, which may overlap. None starts or ends
+   inside a run of letters and digits: a key-like token is proposed whole or not at all.
 3. Boosted trees score each proposal from its format and context. They learn from a bounded sample of documents, and only from
    such proposals as may be added. Positives are the sample's base phones and addresses in their places, rewritten without "+"
-   or "@"; a few built-in sentences (SEEDS) stand in where the sample has none. Negatives are proposals clear of the base
+   or "@", and hash digests in many forms, planted in the sample's texts behind a name such as "token ="; a few built-in sentences (SEEDS) stand in
+   where the sample has none. Digests behind a name such as "commit" are planted as negatives. Other negatives are proposals clear of the base
    spans that a rule tells to be something else (``is_other``); what no rule tells is left out. Spark counts them by feature
    vector; the features have a few bins each, and the trees are fitted on those counts.
 4. On the calibration fold, labelled alike, each generator gets the lowest threshold that keeps its precision; proposals above
-   it that touch no base span are added. A generator without such a threshold adds nothing.
+   it that touch no base span are added, and secrets that hold one whole. A generator without such a threshold adds nothing.
 
 Offsets are code points, end exclusive. Every pattern runs in linear time: runs are possessive and start at their edge. Null
 texts count as empty. Rows are independent, so repeated rows, ties and extra columns need no care.
@@ -24,17 +26,20 @@ from pyspark.sql import functions as F
 
 from pipelake.llm.common import hash_sample, let, sample_share
 
-KINDS = ("email", "ip", "card", "phone", "number", "contact")
+KINDS = ("email", "ip", "card", "phone", "number", "contact", "secret")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![0-9])(?:\+|\()?[0-9](?:[\x20().+/-]{0,2}+[0-9]){5,40}+",
+    "number": r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20().+/-]{0,2}+[0-9]){5,40}+(?![0-9A-Za-z])",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}+){1,8}+",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 CONTEXT = r"(?i)(phone|tel|call|mobile|fax|card|visa|credit|account|mail|contact|write|ip|address|id|no)[^0-9A-Za-z]*$"
-FEATURES = ("kind", "digits", "marks", "groups", "last", "plus", "paren", "letters", "left", "right", "context", "spelt")
+#: Words that introduce a secret, with what may stand between them and it.
+NAMED = r"(?i)(token|secret|passw(or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|key|credentials?|bearer|authorization)[\"'`]?[\x20]*[:=]{0,2}[\x20]*[\"'`]?$"
+FEATURES = ("kind", "digits", "marks", "groups", "last", "plus", "paren", "letters", "left", "right", "context", "spelt", "size", "turns", "quoted", "named")
 SPELT = r"[(\[](?:at|dot)[)\]]|\x20dot\x20"
 MONTH, DAY, YEAR = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:19|20)[0-9]{2}"
 #: Dates, spans of years, versions, decimals.
@@ -117,7 +122,8 @@ def proposed_spans(text: Column) -> Column:
     """What the high-recall generators propose."""
     number = find(text, "number", text.rlike("[0-9][\x20().+/-]?[0-9]"))
     at = (F.instr(text, "@") > 0) | (F.instr(text, "at)") > 0) | (F.instr(text, "at]") > 0) | (F.instr(text, " dot ") > 0)
-    return F.sort_array(F.concat(number, find(text, "contact", at)))
+    secret = F.filter(find(text, "secret", text.rlike(PATTERNS["secret"])), lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))
+    return F.sort_array(F.concat(number, find(text, "contact", at), secret))
 
 
 def _bin(value: Column, edges: tuple[int, ...]) -> Column:
@@ -146,6 +152,11 @@ def span_features(text: Column, span: Column) -> Column:
         "right": _near(F.substr(text, span["end"] + 1, F.lit(1))),
         "context": F.when(before.rlike(CONTEXT), 1).otherwise(0),
         "spelt": F.when(s.rlike(SPELT), 1).otherwise(0),
+        "size": _bin(F.length(s), (20, 24, 32, 40, 64)),
+        # Changes between letters and digits: a random token has many, a word with a year one or two.
+        "turns": _bin(F.regexp_count(s, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]")), (2, 4, 7, 12)),
+        "quoted": F.when(before.rlike("[\"'`]$"), 1).otherwise(0),
+        "named": F.when(before.rlike(NAMED), 1).otherwise(0),
     }
     return F.struct(*[values[f].cast("int").alias(f) for f in FEATURES])
 
@@ -162,7 +173,8 @@ def is_other(span: Column, x: Column) -> Column:
     card = F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
     number = (x["left"] == 2) | (x["right"] == 2) | s.rlike(OTHER_NUMBER) | (s.rlike("^[0-9]+$") & (x["context"] == 0)) | (~F.length(digits).between(7, 15) & ~card)
     contact = ~s.rlike("[A-Za-z]{2,}$") | ~(F.contains(s, F.lit("@")) | s.rlike(SPELT))
-    return F.when(span["kind"] == KINDS.index("number"), number).otherwise(contact)
+    secret = (x["named"] == 0) & (x["turns"] < 2)
+    return F.when(span["kind"] == KINDS.index("number"), number).when(span["kind"] == KINDS.index("secret"), secret).otherwise(contact)
 
 
 def rewritten(span: Column) -> Column:
@@ -180,6 +192,24 @@ def rewritten(span: Column) -> Column:
     return F.when(span["kind"] == KINDS.index("phone"), local).when(span["kind"] == KINDS.index("email"), spelt)
 
 
+#: What stands before a planted secret, and before a digest that is none.
+LEADS = (' token = "', " api_key: ", ' password="', " secret=", " Bearer ", ' "access_key": "', " key = '")
+PLAIN_LEADS = (" commit ", " sha256:", " checksum ", " build ", ' etag "', " at /blob/", " revision ")
+
+
+def planted(text: Column) -> Column:
+    """(lead, text, y): one secret and one digest that is none, their form and lead chosen by the text's hash."""
+    pick = lambda seed, n: F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(n)).cast("int")
+    digests = lambda seed: F.array(
+        F.md5(F.concat(text, F.lit(f"{seed}"))), F.sha1(F.concat(text, F.lit(f"{seed}"))), F.sha2(F.concat(text, F.lit(f"{seed}")), 256), F.upper(F.sha1(F.concat(F.lit(f"{seed}"), text)))
+    )
+    raw = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(text, F.lit("raw")), 256))), "[^A-Za-z0-9]", "")
+    keys = F.concat(digests(1), F.array(raw, F.concat(F.lit("sk_live_"), F.left(raw, F.lit(24))), F.concat(F.lit("AKIA"), F.upper(F.left(raw, F.lit(16)))), F.left(raw, F.lit(32))))
+    secret = F.struct(F.get(F.array(*map(F.lit, LEADS)), pick(2, len(LEADS))).alias("lead"), F.get(keys, pick(3, 8)).alias("text"), F.lit(1).alias("y"))
+    other = F.struct(F.get(F.array(*map(F.lit, PLAIN_LEADS)), pick(4, len(PLAIN_LEADS))).alias("lead"), F.get(digests(5), pick(6, 4)).alias("text"), F.lit(0).alias("y"))
+    return F.array(secret, other)
+
+
 #: Forms of each span, so a negative counts as often.
 FORMS = 6
 
@@ -269,7 +299,12 @@ def train(docs: DataFrame, *, key: str, text: str, sample_docs: int = 4000, **op
     told = forms.select("fold", "f.kind", F.concat("before", "f.lead", "f.text", "after").alias("t"), F.length(F.concat("before", "f.lead")).alias("start"), F.length("f.text").alias("n"))
     there = F.filter(proposed_spans(F.col("t")), lambda s: (s["kind"] == F.col("kind")) & (s["start"] < F.col("start") + F.col("n")) & (F.col("start") < s["end"]))
     personal = told.select("fold", "t", F.explode(there).alias("s")).select("fold", span_features(F.col("t"), F.col("s")).alias("x"), F.lit(1).alias("w"), F.lit(1).alias("y"))
-    counted = other.union(personal).groupBy("x", "fold").agg(F.sum("w").alias("n"), F.sum("y").alias("p"))
+    around = found.select("fold", F.left("t", F.lit(30)).alias("before"), F.substr("t", F.lit(31), F.lit(30)).alias("after"), F.explode(planted(F.col("t"))).alias("f"))
+    quote = F.when(F.col("f.lead").rlike("[\"']$"), F.right("f.lead", F.lit(1))).otherwise("")
+    keyed = around.select("fold", F.concat("before", "f.lead", "f.text", quote, F.lit(" "), "after").alias("t"), F.length(F.concat("before", "f.lead")).alias("start"), "f.text", "f.y")
+    whole = F.filter(proposed_spans(F.col("t")), lambda s: (s["kind"] == KINDS.index("secret")) & (s["start"] == F.col("start")))
+    secrets = keyed.select("fold", "t", "y", F.explode(whole).alias("s")).select("fold", span_features(F.col("t"), F.col("s")).alias("x"), F.lit(1).alias("w"), "y")
+    counted = other.union(personal).union(secrets).groupBy("x", "fold").agg(F.sum("w").alias("n"), F.sum("y").alias("p"))
     rows = [(r.x.asDict(), bool(r.fold), r.n, r.p) for r in counted.collect()]
     return fit_spans(sorted(rows, key=lambda r: (tuple(r[0].values()), r[1])), **options)
 
@@ -281,7 +316,9 @@ def find_personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     found = docs.withColumn("base", base_spans(value))
     if not model.thresholds:
         return found.withColumn("added", F.array().cast(SPAN))
-    free = F.filter(proposed_spans(value), lambda s: ~_touches(s, F.col("base")))
+    # A secret may hold base spans (digits of a key can pass for a card); what else touches one is not added.
+    held = lambda s: (s["kind"] == KINDS.index("secret")) & F.forall("base", lambda o: (o["end"] <= s["start"]) | (s["end"] <= o["start"]) | ((s["start"] <= o["start"]) & (o["end"] <= s["end"])))
+    free = F.filter(proposed_spans(value), lambda s: ~_touches(s, F.col("base")) | held(s))
     return found.withColumn("added", F.filter(free, lambda s: let(span_features(value, s), model.accepts)))
 
 
