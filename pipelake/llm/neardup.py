@@ -11,6 +11,8 @@ r"""Near-duplicate documents by bottom-k sketches of word shingles.
 4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by their rarest values, on
    their full sets. A set offers only as many of its values as it may hold beyond what a partner must share with it. Values of one
    component alone count as offered, so what is edited too far for any link offers nothing, and what all share joins nobody.
+   One link joins two components, whatever else they share: of the pairs of two components a few are confirmed at first, then more, then all
+   that are left, and pairs whose components have met by then are done with.
 5. The union sketch of a pair estimates its similarity; pairs six deviations below the limit go (at 0.8, 3e-8 of the pairs). What is left is confirmed on the full sets.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. A text of fewer words than a shingle has is one shingle; a text
@@ -36,6 +38,8 @@ from pipelake.llm.hashing import WordHashes, mixed
 RUNS = ((2, 5), (3, 16), (4, None))
 #: Full sets up to this size, longer sketches above it, where lists stay open after the leader rounds.
 MOST = 2048
+#: Pairs of two components that are confirmed at a time; the last time it is all.
+WAVES = (4, 32, None)
 #: Bands of set sizes there, as a step of the logarithm.
 BAND = 0.02
 
@@ -204,6 +208,28 @@ def confirm(pairs: DataFrame, members: DataFrame, *, size: int, percent: int, k:
     return both(likely, "text").mapInArrow(check, "a long, b long")
 
 
+def _settled(pairs: DataFrame, links: DataFrame | None, owner: DataFrame | None, members: DataFrame, **how) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, owner) after all pairs(a, b): each is confirmed, unless its ends are of one component by the time it is its turn."""
+    left = written(pairs, "pairs")
+    for width in WAVES:
+        now = left
+        for end in ("a", "b"):
+            now = now.withColumn(f"c_{end}", F.col(end)) if owner is None else now.join(owner.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").withColumn(f"c_{end}", F.coalesce("c", end)).drop("c")
+        left = written(now.where("c_a <> c_b").select("a", "b", "c_a", "c_b"), "pairs")
+        if left.isEmpty():
+            break
+        here = left.select("a", "b")
+        if width is not None:
+            between = Window.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.xxhash64("a", "b"), "a", "b")
+            here = written(left.withColumn("turn", F.row_number().over(between)).where(F.col("turn") <= width).select("a", "b"), "wave")
+        fresh = written(confirm(here, members, **how), "links")
+        links = fresh if links is None else links.union(fresh)
+        if not fresh.isEmpty():
+            owner = written(components(links), "owners")
+        left = left.select("a", "b").join(here, ["a", "b"], "left_anti")
+    return links, owner
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int = 80, rounds: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -235,15 +261,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int
         else:
             pairs = by_rare_values(written(open_lists.select("node", "n", "c").distinct(), "open"), members, size=size, percent=percent)
         pairs = pairs.where(_sizes_fit(percent)).select("a", "b").distinct()
+        if turn == rounds:
+            links, owner = _settled(pairs, links, owner, members, size=size, percent=percent, k=k)
+            break
         fresh = written(confirm(pairs, members, size=size, percent=percent, k=k), "links")
         links = fresh if links is None else links.union(fresh)
-        added = not fresh.isEmpty()
-        if added:
+        if not fresh.isEmpty():
             owner = written(components(links), "owners")
-        if turn < rounds:
-            lists = written(open_lists.select("key", "node", "n"), "lists")
-            if lists.isEmpty():
-                break
+        lists = written(open_lists.select("key", "node", "n"), "lists")
+        if lists.isEmpty():
+            break
     label = heads.select("digest", "node")
     if owner is not None:
         label = label.join(owner, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
