@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pipelake.functions import exprs as X
 from pipelake.operators import edges, freshness, graph, state, templates, timeline, validate
 from pipelake.plans.fixtures import view, with_views
-from pipelake.schemas import EDITOR_GRAPH
 from pipelake.sources import files, specs
 from pipelake.streaming import live
 
@@ -524,22 +523,41 @@ def spec_scan(spark, sf_dir):
     )
     specs.write_specs(steps, folder := _folder(spark, "specs"))
     found = specs.read_specs(spark, folder)
-    return found.select(F.regexp_extract("path", "workflow=([^/]*)/", 1).alias("workflow"), "ordinal", "step_id", "tool", _joined("input").alias("input"), "threads")
+    return found.select(F.col("workflow_id").alias("workflow"), "ordinal", "step_id", "tool", _joined("input").alias("input"), "threads")
 
 
-@query("SELECT conv_id AS graph_id, turn AS pos, CAST(turn AS VARCHAR) AS node_id, role AS label FROM conversations")
-def graph_scan(spark, sf_dir):
-    """Conversations as editor graphs, written as files and scanned again."""
+def _graphs(spark, sf_dir) -> DataFrame:
+    """Conversations as editor graphs, a node a turn and an edge to the next; every seventh lacks its edges. Written as files and scanned again."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    node = F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.col("role").alias("label")).alias("data"))
+    node = F.struct(F.col("turn").cast("string").alias("id"), F.struct(F.col("role").alias("label"), F.when(F.col("turn") > 0, F.col("role")).alias("tool")).alias("data"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))), lambda x: x["n"])
-    graphs = turns.groupBy("conv_id").agg(ordered.alias("nodes")).select(
-        F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("graph"), F.to_json(F.struct("nodes", F.array().cast("array<struct<source:string,target:string>>").alias("edges"), F.create_map(F.lit("id"), F.col("conv_id").cast("string")).alias("metadata"))).alias("value")
+    graphs = turns.groupBy("conv_id").agg(ordered.alias("nodes"))
+    links = F.transform(F.slice("nodes", 1, F.size("nodes") - 1), lambda n, i: F.struct(n["id"].alias("source"), F.get("nodes", i + 1)["id"].alias("target")))
+    named = graphs.select(
+        F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("graph_id"), "nodes", F.when(F.col("conv_id") % 7 != 0, links).alias("edges"),
+        F.create_map(F.lit("sample"), F.array(F.lit("a.fq"))).alias("wildcardFiles"), F.create_map(F.lit("id"), F.col("conv_id").cast("string")).alias("metadata"),
     )
-    graphs.select("value").write.text(folder := _folder(spark, "graphs"))
-    lines = spark.read.schema(EDITOR_GRAPH).json(folder).withColumn("valid", F.lit(True)).withColumn("path", F.col("metadata")["id"].cast("long"))
-    nodes, _ = specs.graph_tables(lines)
-    return nodes.select("graph_id", "pos", "node_id", "label")
+    specs.write_graphs(named, folder := _folder(spark, "graphs"))
+    return specs.read_graphs(spark, folder)
+
+
+@query("""SELECT 'g' || CAST(conv_id AS VARCHAR) AS graph_id, turn AS pos, CAST(turn AS VARCHAR) AS node_id, role AS label, CASE WHEN turn > 0 THEN role END AS tool,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE conv_id % 7 <> 0""")
+def graph_scan(spark, sf_dir):
+    nodes, _ = specs.graph_tables(_graphs(spark, sf_dir))
+    return nodes.select("graph_id", F.col("node_id").cast("int").alias("pos"), "node_id", "label", "tool", F.col("pos").cast("long").alias("place"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, lead(turn) OVER w AS following, row_number() OVER w - 1 AS pos FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT 'g' || CAST(conv_id AS VARCHAR) AS graph_id, pos, CAST(turn AS VARCHAR) AS source, CAST(following AS VARCHAR) AS target FROM t WHERE following IS NOT NULL AND conv_id % 7 <> 0""")
+def graph_scan_edges(spark, sf_dir):
+    _, links = specs.graph_tables(_graphs(spark, sf_dir))
+    return links.select("graph_id", F.col("pos").cast("long").alias("pos"), "source", "target")
+
+
+@query("SELECT DISTINCT 'g' || CAST(conv_id AS VARCHAR) AS graph_id FROM conversations WHERE conv_id % 7 = 0")
+def graph_scan_invalid(spark, sf_dir):
+    return _graphs(spark, sf_dir).where("NOT valid").select("graph_id")
 
 
 @query("SELECT 'n' || CAST(p_partkey AS VARCHAR) || '=' || CAST(p_size AS VARCHAR) AS package FROM part")

@@ -2,79 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelake.functions.exprs import save_name
-from pipelake.schemas import EDITOR_GRAPH, STEPS
-
-SPEC_SCHEMA = f"path string, {STEPS}, parse_error string"
-
-
-def _as_list(value, field: str) -> list[str]:
-    """A missing or empty value is no entry, a text is one, a list stays; anything else is an error."""
-    if value is None or value == "":
-        return []
-    if isinstance(value, str):
-        return [value]
-    if isinstance(value, list) and all(isinstance(v, str) for v in value):
-        return value
-    raise ValueError(f"{field} has to be a text or a list of texts")
-
-
-def _rows(path: str, content: bytes) -> list[dict]:
-    if content.lstrip()[:1] == b"{":
-        spec = json.loads(content)
-    else:
-        import yaml
-
-        spec = yaml.safe_load(content)
-    if not isinstance(spec, dict) or not isinstance(spec.get("steps"), list):
-        raise ValueError("no list of steps")
-    shared = spec.get("wildcardFiles") or {}
-    rows = []
-    for ordinal, step in enumerate(spec["steps"], 1):
-        missing = [f for f in ("id", "tool", "command") if not isinstance(step.get(f), str)]
-        if missing:
-            raise ValueError(f"step {ordinal} lacks {', '.join(missing)}")
-        own = step.get("wildcard_files") or {}
-        rows.append({
-            "path": path, "workflow_id": path, "ordinal": ordinal, "step_id": step["id"], "tool": step["tool"], "command": step["command"],
-            **{f: _as_list(step.get(f), f) for f in ("input", "output")}, **{f: list(step.get(f) or []) for f in ("previous", "next")},
-            "threads": int(step.get("threads", 1)), "color": step.get("color"), "wildcard_files": {**shared, **own} or None, "parse_error": None,
-        })
-    return rows
-
+from pipelake.sources.documents import read_packed, write_packed
 
 def read_specs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """One row per step of the YAML or JSON files below path; workflow_id is the file's path.
+    """One row per step of the YAML or JSON files below path; workflow_id is the file's path, or a packed document's id.
 
-    A file that cannot be read is one row with parse_error (PERMISSIVE) or fails the job (FAILFAST). Files are parsed where
-    they are read; a file has to fit in a task's memory, the corpus has not.
+    A document that cannot be read is one row with parse_error (PERMISSIVE) or fails the job (FAILFAST).
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.strip().split(" ")[0] for c in SPEC_SCHEMA.replace("map<string,array<string>>", "map").split(",")]
-        for batch in batches:
-            rows = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += _rows(file, bytes(content))
-                except Exception as error:
-                    if mode == "FAILFAST":
-                        raise
-                    rows.append({"path": file, "workflow_id": file, "parse_error": f"{type(error).__name__}: {error}"[:500]})
-            frame = pd.DataFrame([[row.get(c) for c in columns] for row in rows], columns=columns, dtype=object)
-            for c in ("ordinal", "threads"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(parse, SPEC_SCHEMA)
+    return read_packed(spark, path, "workflow_specs", mode=mode)
 
 
 def spec_documents(steps: DataFrame) -> DataFrame:
@@ -97,7 +36,12 @@ def spec_documents(steps: DataFrame) -> DataFrame:
     return grouped.select("workflow_id", F.to_json(F.struct("steps", tools)).alias("document"))
 
 
-def write_specs(steps: DataFrame, path: str) -> None:
+def write_specs(steps: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Packed files of many workflows each; see sources.documents."""
+    write_packed(spec_documents(steps).select(F.col("workflow_id").cast("string"), "document"), path, "workflow_specs", mode)
+
+
+def write_spec_files(steps: DataFrame, path: str) -> None:
     """One file per workflow, in a folder named after its save name; where several share one, a hash of the id follows it."""
     identity = F.col("workflow_id").cast("string")
     documents = spec_documents(steps).withColumn("name", save_name(identity))
@@ -107,21 +51,20 @@ def write_specs(steps: DataFrame, path: str) -> None:
     named.repartition("workflow").write.mode("overwrite").partitionBy("workflow").text(path)
 
 
-def read_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per editor graph file: path, nodes, edges, wildcardFiles, metadata, valid. A graph needs nodes and edges."""
-    found = spark.read.schema(EDITOR_GRAPH).option("multiLine", "true").json(path).withColumn("path", F.col("_metadata.file_path"))
-    return found.withColumn("valid", F.col("nodes").isNotNull() & F.col("edges").isNotNull())
+def read_graphs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """One row per editor graph: path, graph_id, nodes, edges, wildcardFiles, metadata, valid, parse_error. A graph needs nodes and edges."""
+    return read_packed(spark, path, "editor_graphs", mode=mode)
 
 
 def graph_tables(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(graph_nodes, graph_edges) of valid graphs, with positions."""
-    valid = graphs.where("valid").withColumnRenamed("path", "graph_id")
+    valid = graphs.where("valid")
     nodes = valid.select("graph_id", F.posexplode("nodes").alias("pos", "n")).select("graph_id", F.col("n.id").alias("node_id"), "pos", "n.data.*")
     edges = valid.select("graph_id", F.posexplode("edges").alias("pos", "e")).select("graph_id", "pos", "e.*")
     return nodes, edges
 
 
-def write_graphs(graphs: DataFrame, path: str) -> None:
-    """Editor graphs as JSON files, in folders named after graphs.name."""
+def write_graphs(graphs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Editor graphs (graph_id, nodes, edges, wildcardFiles, metadata) as packed files."""
     body = F.to_json(F.struct("nodes", "edges", "wildcardFiles", "metadata"))
-    graphs.select(save_name(F.col("name")).alias("graph"), body.alias("value")).repartition("graph").write.mode("overwrite").partitionBy("graph").text(path)
+    write_packed(graphs.select(F.col("graph_id").cast("string"), body.alias("document")), path, "editor_graphs", mode)
