@@ -178,20 +178,26 @@ def _own(places: pa.ListScalar, base: int, words: int) -> np.ndarray:
     return own[(own >= 0) & (own < words)]
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, list[int], pa.Array | None]:
+    """The ids, texts, bases and places of a batch; base is absent where no id repeats, and places where none are known yet."""
+    optional = lambda name: batch.column(i) if (i := batch.schema.get_field_index(name)) >= 0 else None
+    bases = optional("base")
+    return batch.column(0), batch.column(1), [0] * batch.num_rows if bases is None else bases.to_pylist(), optional("places")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: int) -> Iterator[_Chunk]:
-    """Documents of (doc_id, text, base[, places]) rows that have an id and least_words words or more, in chunks."""
+    """Documents of (doc_id, text[, base][, places]) rows that have an id and least_words words or more, in chunks."""
     hashes, chunk = WordHashes(), _Chunk()
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        for i, doc_id in enumerate(columns[0].to_pylist()):
-            if len(columns) > 3 and not columns[3][i].is_valid:
+        ids, texts, bases, places = _columns(batch)
+        for i, doc_id in enumerate(ids.to_pylist()):
+            if places is not None and not places[i].is_valid:
                 continue
-            words = (columns[1][i].as_py() or "").encode().split()
+            words = (texts[i].as_py() or "").encode().split()
             if len(words) < least_words or doc_id is None:
                 continue
-            base = columns[2][i].as_py()
-            hits = _own(columns[3][i], base, len(words)) if len(columns) > 3 else None
-            chunk.add(doc_id, base, hashes.of(words), hits)
+            hits = None if places is None else _own(places[i], bases[i], len(words))
+            chunk.add(doc_id, bases[i], hashes.of(words), hits)
             if chunk.size >= chunk_words:
                 yield chunk
                 chunk = _Chunk()
@@ -200,7 +206,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], least_words: int, chunk_words: in
 
 
 def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1 << 19) -> DataFrame:
-    """(doc_id, places): starts of the windows of docs(doc_id, text, base) that a smaller document has too."""
+    """(doc_id, places): starts of the windows of docs(doc_id, text[, base]) that a smaller document has too."""
     block = (window + 1) // 2
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -238,7 +244,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 13, chunk_words: int = 1
 
     hits = gathered(docs, lambda c: _probes(c, block, buckets), window, _meet_probes)
     # An inner join would filter the texts below their exchange, which the other readers could then not share.
-    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "base", "places")
+    near = docs.join(hits, "doc_id", "left").select(*docs.columns, "places")
     return gathered(near, lambda c: _full_windows(c, window, block, buckets), window, _meet_full)
 
 
@@ -250,10 +256,13 @@ def _without(words: list[bytes], places: np.ndarray, window: int) -> list[bytes]
 
 
 def _based(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with base: 0, or where an id repeats, the characters of its other texts that come before (in the order of their hashes)."""
+    """docs(doc_id, text), with base where ids repeat: the characters of the id's other texts that come before (in the order of their hashes), else 0.
+
+    Without repeated ids there is no such column: a constant one would be cut from some readers' exchange of the texts, and they would not share it.
+    """
     shared = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if shared.isEmpty():
-        return docs.withColumn("base", F.lit(0))
+        return docs
     kind = F.md5(F.coalesce("text", F.lit(""))).alias("kind")
     texts = docs.join(shared, "doc_id", "left_semi").select("doc_id", kind, (F.length(F.coalesce("text", F.lit(""))) + 1).alias("n")).distinct()
     before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1))
@@ -270,9 +279,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, texts = [], [], []
-            for value, base, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for value, base, places in zip(*_columns(batch)[1:], strict=True):
                 words = (value.as_py() or "").encode().split()
-                kept = _without(words, _own(places, base.as_py(), len(words)), window) if places.is_valid else words
+                kept = _without(words, _own(places, base, len(words)), window) if places.is_valid else words
                 counts.append(len(words))
                 removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode())
@@ -283,5 +292,5 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, key: str = "doc_id", te
 
     rows = _based(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).repartition("doc_id")
     repeats = repeated_windows(rows, window=window)
-    joined = rows.join(repeats, "doc_id", "left").select("doc_id", "text", "base", "places")
+    joined = rows.join(repeats, "doc_id", "left").select(*rows.columns, "places")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
