@@ -7,7 +7,6 @@ import uuid
 from functools import reduce
 from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,25 +121,46 @@ def dry_run_plan(steps: DataFrame, ordered: DataFrame, skipped: DataFrame | None
     return plan.select(*keys, "position", "level", "tool", "command", rendered.alias("rendered"), "input", "output", "threads")
 
 
-def first_fit(candidates: DataFrame, budget: int, most: int) -> DataFrame:
-    """candidates(group_id, ordinal, step_id, weight) with taken and never_fits.
+def first_fit(candidates: DataFrame, budget: int, most: int, part_rows: int = 100_000) -> DataFrame:
+    """candidates(group_id, ordinal, step_id, weight) with taken and never_fits; weights are not negative.
 
     Per group and in order: stop after ``most`` are taken; skip one that exceeds what is left of the budget and look on.
-    A row that alone exceeds the budget never fits. Each group streams through a task in order, batch by batch.
+    A row that alone exceeds the budget never fits; one without a weight is not taken (its never_fits is null).
+
+    A round takes, in every group, all rows up to the first that does not fit any more, by running sums inside ranges of about part_rows rows
+    and over the ranges' totals, so that a large group goes through many tasks. Behind that row only lighter ones than it can fit, so there are no more
+    rounds than different weights, and mostly very few.
     """
-    columns = ["group_id", "ordinal", *[c for c in candidates.columns if c not in ("group_id", "ordinal")]]
-    keyed = candidates.select(*columns, F.col("weight").cast("long").alias("_w"))
-    schema = keyed.drop("_w").withColumn("taken", F.lit(None).cast("boolean")).schema
-
-    def fold(batches):
-        group, left, n = object(), budget, 0
-        for batch in batches:
-            taken = []
-            for this, weight in zip(batch.column("group_id").to_pylist(), batch.column("_w").to_pylist(), strict=True):
-                group, left, n = (group, left, n) if this == group else (this, budget, 0)
-                taken.append(fits := weight is not None and n < most and weight <= left)
-                left, n = (left - weight, n + 1) if fits else (left, n)
-            yield batch.select(columns).append_column("taken", pa.array(taken, pa.bool_()))
-
-    folded = keyed.repartition("group_id").sortWithinPartitions("group_id", "ordinal", "_w").mapInArrow(fold, schema)
-    return folded.withColumn("never_fits", F.col("weight") > budget)
+    rows = candidates.withColumn("_id", F.monotonically_increasing_id())
+    parts = max(1, -(-candidates.count() // part_rows))
+    rows = written(written(rows, "candidates").repartitionByRange(parts, "group_id", "ordinal", "weight", "_id").withColumn("_part", F.spark_partition_id()), "candidates")
+    at = F.struct(F.col("ordinal").alias("o"), F.col("weight").cast("long").alias("w"), F.col("_id").alias("id")).alias("at")
+    fitting = rows.where(F.col("weight") <= budget).select(F.col("group_id").alias("g"), "_part", at)
+    state, taken = None, []
+    while most > 0:
+        if state is None:
+            left = fitting.select("*", F.lit(budget).cast("long").alias("room"), F.lit(most).cast("long").alias("slots"))
+        else:
+            left = fitting.join(state, F.col("g").eqNullSafe(F.col("_g")) & (F.col("at") > F.col("_at")) & (F.col("at.w") <= F.col("room"))).drop("_g", "_at")
+        so_far = Window.partitionBy("_part", "g").orderBy("at")
+        inside = left.withColumns({"w": F.sum("at.w").over(so_far), "n": F.count("*").over(so_far)})
+        earlier = Window.partitionBy("_h").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        totals = left.groupBy(F.col("g").alias("_h"), F.col("_part").alias("_p")).agg(F.sum("at.w").alias("_w"), F.count("*").alias("_n"))
+        begun = totals.select("_h", "_p", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+        met = inside.join(begun, F.col("g").eqNullSafe(F.col("_h")) & (F.col("_part") == F.col("_p")))
+        fits = (F.col("w") + F.col("_w") <= F.col("room")) & (F.col("n") + F.col("_n") <= F.col("slots"))
+        judged = written(met.select("g", "at", "room", "slots", fits.alias("fits")), "judged")
+        taken.append(judged.where("fits").select(F.col("at.id").alias("_id")))
+        sums = judged.groupBy(F.col("g").alias("_g")).agg(
+            F.min(F.when(~F.col("fits"), F.col("at"))).alias("_at"),
+            (F.first("room") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("at.w"))), F.lit(0))).alias("room"),
+            (F.first("slots") - F.count_if("fits")).alias("slots"),
+        )
+        state = written(sums.where("_at IS NOT NULL AND slots > 0"), "rooms")
+        if state.isEmpty():
+            break
+    never = (F.col("weight") > budget).alias("never_fits")
+    if not taken:
+        return rows.select(*candidates.columns, F.lit(False).alias("taken"), never)
+    found = reduce(DataFrame.union, taken).withColumn("_taken", F.lit(True))
+    return rows.join(found, "_id", "left").select(*candidates.columns, F.coalesce("_taken", F.lit(False)).alias("taken"), never)

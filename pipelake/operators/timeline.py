@@ -5,7 +5,9 @@ Order is always (ts, seq). Milliseconds are counted from the first event of the
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,26 +107,77 @@ def with_memory_mb(samples: DataFrame) -> DataFrame:
     return samples.withColumn("memory_mb", F.expr("memory_bytes DIV 1048576"))
 
 
-def thin_samples(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:
+def _next_places(t: np.ndarray, micros: int) -> np.ndarray:
+    """For each sorted time, the place of the first that is at least the interval later; len(t) where there is none."""
+    return np.searchsorted(t, t + micros, "left")
+
+
+def _jumps(t: np.ndarray, micros: int) -> tuple[np.ndarray, np.ndarray]:
+    """A range of sorted times as a function of the time accepted last before it: (starts, lasts).
+
+    With last time L, the range's first accepted sample is the first at or after L + interval. From there the choice is fixed, and ends at
+    the ``lasts`` of the first of ``starts`` that is not before it. Only starts within the interval of the range's begin can be asked for.
+    """
+    jump = np.minimum(_next_places(t, micros), len(t))
+    final = np.where(jump == len(t), np.arange(len(t)), np.minimum(jump, len(t) - 1))
+    while True:  # each pass doubles the steps taken
+        further = final[final]
+        if (further == final).all():
+            break
+        final = further
+    asked = min(int(np.searchsorted(t, t[0] + micros, "left")) + 1, len(t))
+    starts, lasts = t[:asked], t[final[:asked]]
+    keep = np.append(lasts[1:] != lasts[:-1], True)
+    return starts[keep], lasts[keep]
+
+
+def thin_samples(samples: DataFrame, min_interval_ms: int = 250, part_rows: int = 100_000) -> DataFrame:
     """Samples that a sampler with a minimum interval would keep.
 
     The first sample of a run only starts the clock. A later one is kept if it is at least the interval after the last one
-    that was accepted. Greedy, so each run streams through a task in order, batch by batch; runs are independent.
+    that was accepted. Samples without a time are never kept.
+
+    The choice is greedy, yet no run is one task: each written range of about part_rows samples is summarised as a function from the time accepted
+    last before it to the one accepted last in it; a run's functions are applied one after the other; then the ranges are thinned apart, each
+    from the time it now knows.
     """
     micros, schema = min_interval_ms * 1000, samples.schema
-
-    def thin(batches):
-        run, last = object(), None
-        for batch in batches:
-            keep = []
-            for this, t in zip(batch.column("run_id").to_pylist(), batch.column("_t").to_pylist(), strict=True):
-                run, last = (run, last) if this == run else (this, None)
-                keep.append(ok := last is not None and t - last >= micros)
-                last = t if ok or last is None else last
-            yield batch.filter(pa.array(keep, pa.bool_())).select(schema.names)
-
-    ordered = samples.withColumn("_t", F.unix_micros("ts")).repartition("run_id").sortWithinPartitions("run_id", "_t", "seq")
-    return ordered.mapInArrow(thin, schema)
+    parts = event_parts(samples.where("ts IS NOT NULL"), part_rows)
+
+    def times(group: pa.Table) -> np.ndarray:
+        return np.sort(group["_t"].to_numpy())
+
+    def summary(key: tuple, group: pa.Table) -> pa.Table:
+        starts, lasts = _jumps(times(group), micros)
+        return pa.table({"run_id": [key[1]], "_part": [key[0]], "starts": pa.array([starts.tolist()], pa.list_(pa.int64())), "lasts": pa.array([lasts.tolist()], pa.list_(pa.int64()))})
+
+    def clocks(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("_part")
+        last, before = None, []
+        for starts, lasts in zip(group["starts"], group["lasts"], strict=True):
+            before.append(last)
+            begin = starts.values.to_numpy()
+            place = 0 if last is None else int(np.searchsorted(begin, last + micros, "left"))
+            last = int(lasts.values[place].as_py()) if place < len(begin) else last
+        return pa.table({"_run": group["run_id"], "_at": group["_part"], "_last": pa.array(before, pa.int64())})
+
+    def thin(key: tuple, group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, sort_keys=[("_t", "ascending"), ("seq", "ascending")])
+        t, last = group["_t"].to_numpy()[order.to_numpy()], group["_last"][0].as_py()
+        jump, kept = _next_places(t, micros), []
+        place = 0 if last is None else int(np.searchsorted(t, last + micros, "left"))
+        while place < len(t):
+            kept.append(place)
+            place = int(jump[place])
+        chosen = np.array(kept[1:] if last is None else kept, np.int64)
+        return group.select(schema.names).take(pa.array(order.to_numpy()[chosen]))
+
+    timed = parts.withColumn("_t", F.unix_micros("ts"))
+    run = schema["run_id"].dataType.simpleString()
+    functions = timed.select("_part", "run_id", "_t").groupBy("_part", "run_id").applyInArrow(summary, f"run_id {run}, _part int, starts array<long>, lasts array<long>")
+    known = written(functions.groupBy("run_id").applyInArrow(clocks, f"_run {run}, _at int, _last long"), "clocks")
+    met = timed.join(known, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_part") == F.col("_at")))
+    return met.select("_part", *schema.names, "_t", "_last").groupBy("_part", "run_id").applyInArrow(thin, schema)
 
 
 def thin_long_runs(samples: DataFrame, min_interval_ms: int = 250) -> DataFrame:

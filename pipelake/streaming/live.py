@@ -174,6 +174,38 @@ def live_thinning(samples: DataFrame, min_interval_ms: int = 250, late: str = "1
     return rows.groupBy("run_id").transformWithStateInPandas(_Thinning(min_interval_ms * 1000), "run_id string, seq long, us long, cpu double, memory_mb long", "Append", "EventTime")
 
 
+class _Lines(_InTimeOrder):
+    """Per run: the number of the next line, and what each stream has behind its last line feed."""
+
+    columns, out, state = ["stream", "data", "us", "seq"], ["run_id", "line_no", "stream", "line", "us"], "next long, rest map<string,binary>"
+
+    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        number, rest = (value[0], dict(value[1])) if value else (1, {})
+        found = []
+        for stream, data, us, _ in rows.itertuples(index=False, name=None):
+            *lines, last = (data or b"").split(b"\n")
+            if lines:
+                lines[0] = rest.pop(stream, b"") + lines[0]
+                rest[stream] = last
+            else:
+                rest[stream] = rest.get(stream, b"") + last
+            for line in lines:
+                found.append((*key, number, stream, line.removesuffix(b"\r").decode(errors="replace"), int(us)))
+                number += 1
+        return (number, rest), found
+
+
+def live_log_lines(chunks: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """(run_id, line_no, stream, line, us): the complete lines of chunks(run_id, stream, ts, seq, data), as logs.log_lines numbers them.
+
+    The rest behind a stream's last line feed is carried from batch to batch. Chunks may arrive in any order within ``late``. Append mode, RocksDB
+    state store.
+    """
+    timed = chunks.withWatermark("ts", late)
+    rows = timed.select(F.col("run_id").cast("string").alias("run_id"), "stream", F.col("data").cast("binary").alias("data"), F.unix_micros("ts").alias("us"), "seq", "ts")
+    return rows.groupBy("run_id").transformWithStateInPandas(_Lines(), "run_id string, line_no long, stream string, line string, us long", "Append", "EventTime")
+
+
 def live_resources(samples: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Per run and window: samples, average CPU, peak and lowest memory. Samples later than ``late`` are dropped by the watermark."""
     timed = with_memory_mb(samples).withWatermark("ts", late)

@@ -186,19 +186,171 @@ def test_folds_hold_no_group_as_one_value(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_live_rows_of_a_key_come_in_order_from_sorted_runs():
-    import pandas as pd
+def test_thinning_of_one_long_run_goes_in_parts(spark):
+    rng = random.Random(8)
+    times, t = [], 0
+    for _ in range(3000):
+        t += rng.choice([0, 1, 9_000, 40_000, 260_000])
+        times.append(t)
+    samples = spark.createDataFrame([(None if i % 3 else "r", T0 + dt.timedelta(microseconds=u), i, "x") for i, u in enumerate(times)] + [("r", None, -1, "x")], "run_id string, ts timestamp, seq long, _last string").repartition(5)
+    expected = []
+    for run in (0, 1):
+        last = None
+        for i, u in enumerate(times):
+            if bool(i % 3) == bool(run):
+                if last is not None and u - last >= 250_000:
+                    expected.append(i)
+                last = u if last is None or u - last >= 250_000 else last
+    for part_rows in (1, 40, 700):
+        got = timeline.thin_samples(samples.drop("_last"), part_rows=part_rows)
+        assert sorted(r.seq for r in got.collect()) == sorted(expected)
+
+
+def test_first_fit_of_large_groups_goes_in_parts(spark):
+    rng = random.Random(3)
+    rows_ = [(rng.choice(["a", "b", None]), rng.randrange(400), f"s{i}", rng.choice([None, 0, 1, 2, 3, 7, 40, 90])) for i in range(1500)]
+    frame = spark.createDataFrame(rows_, "group_id string, ordinal int, step_id string, weight int").coalesce(1)
+    for budget, most in ((60, 1000), (500, 25), (5, 3), (60, 0)):
+        expected = []
+        for group in ("a", "b", None):
+            left, n = budget, 0
+            for _, w, i in sorted((r[1], r[3], i) for i, r in enumerate(rows_) if r[0] == group and r[3] is not None):
+                if n < most and w <= left:
+                    left, n = left - w, n + 1
+                    expected.append(f"s{i}")
+        got = graph.first_fit(frame, budget, most, part_rows=60)
+        assert sorted(r.step_id for r in got.where("taken").collect()) == sorted(expected)
+        assert got.count() == 1500
+
+
+def in_batches(spark, folder, frame, count, seed=0):
+    """A stream that reads the rows of frame in ``count`` batches, dealt at random, and a last one with what closes it."""
+    rows_ = frame.collect()
+    random.Random(seed).shuffle(rows_)
+    size = -(-len(rows_) // count)
+    for k in range(count):
+        spark.createDataFrame(rows_[k * size : (k + 1) * size], frame.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def closing(spark, folder, row, schema):
+    import time
+
+    time.sleep(1.1)  # a later file
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_live_durations_in_any_order_of_arrival(spark, tmp_path, rocks):
+    from pyspark.sql import functions as F
+
+    from pipelake.streaming import live
+
+    rng = random.Random(1)
+    found = [("r", f"s{rng.randrange(4)}", rng.choice(["Started", "Completed", "Failed"]), T0 + dt.timedelta(milliseconds=rng.randrange(500_000)), i) for i in range(120)]
+    schema = "run_id string, step_id string, event_type string, ts timestamp, seq long"
+    frame = spark.createDataFrame(found, schema)
+    stream = in_batches(spark, str(tmp_path / "in"), frame, 4)
+    closing(spark, str(tmp_path / "in"), ("end", "end", "Started", T0 + dt.timedelta(days=2), 1000), schema)
+    first = frame.agg(F.min("ts").cast("string")).first()[0]
+    got = live.run_to_table(live.live_durations(stream, origin=first, late="1 hour"), str(tmp_path / "state"))
+    last = got.groupBy("run_id", "step_id").agg(F.max_by("duration_ms", F.struct("us", "seq")).alias("duration_ms"))
+    assert rows(last) == rows(timeline.step_durations(frame))
+
+
+def test_live_starts_expire(spark, tmp_path, rocks):
+    from pipelake.streaming import live
+
+    schema = "run_id string, step_id string, event_type string, ts timestamp, seq long"
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    frame = spark.createDataFrame([("r", "a", "Started", at(0), 1), ("r", "a", "Completed", at(5), 2), ("r", "b", "Started", at(0), 3), ("r", "b", "Completed", at(60), 4)], schema)
+    stream = in_batches(spark, str(tmp_path / "in"), frame, 1)
+    closing(spark, str(tmp_path / "in"), ("end", "end", "Started", at(86400), 9), schema)
+    got = live.run_to_table(live.live_durations(stream, late="1 minute", expire_ms=20_000), str(tmp_path / "state"))
+    assert [(r.step_id, r.duration_ms) for r in got.collect()] == [("a", 5000)]
+
+
+def test_live_thinning_in_any_order_of_arrival(spark, tmp_path, rocks):
+    from pipelake.streaming import live
+
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(f"r{i % 2}", T0 + dt.timedelta(milliseconds=rng.randrange(20_000)), i, 1.0, 1 << 21) for i in range(200)], "run_id string, ts timestamp, seq long, cpu double, memory_bytes long")
+    stream = in_batches(spark, str(tmp_path / "in"), frame, 3)
+    closing(spark, str(tmp_path / "in"), ("end", T0 + dt.timedelta(days=1), 999, 1.0, 1), frame.schema)
+    got = live.run_to_table(live.live_thinning(stream, 250), str(tmp_path / "state"))
+    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in timeline.thin_samples(frame).collect())
+
+
+def test_chunks_cut_anywhere_give_the_same_lines(spark, tmp_path, rocks):
+    from pipelake.operators import logs
+    from pipelake.streaming import live
 
+    text = {("r", "out"): "één\r\ntwo\n\nthrée …\nrest".encode(), ("r", "err"): "日本語\nbad \n".encode(), ("q", "out"): b"no end"}
+    schema = "run_id string, stream string, ts timestamp, seq long, data binary"
+    for seed in range(2):
+        rng = random.Random(seed)
+        found, seq = [], 0
+        for (run, name), data in text.items():
+            cuts = sorted(rng.randrange(len(data) + 1) for _ in range(9))
+            for a, b in zip([0, *cuts], [*cuts, len(data)]):
+                seq += 1
+                found.append((run, name, T0 + dt.timedelta(milliseconds=seq), seq, data[a:b]))
+        found.append(("q", "err", T0, 0, None))
+        frame = spark.createDataFrame(found, schema)
+        got = logs.log_lines(frame, part_rows=5).collect()
+        lines = lambda run, name: [r.line for r in sorted(got, key=lambda r: r.line_no) if (r.run_id, r.stream) == (run, name)]
+        assert lines("r", "out") == ["één", "two", "", "thrée …", "rest"] and lines("r", "err") == ["日本語", "bad "] and lines("q", "out") == ["no end"]
+        assert sorted(r.line_no for r in got if r.run_id == "r") == list(range(1, 8))
+        stream = in_batches(spark, str(tmp_path / f"in{seed}"), frame, 3, seed)
+        closing(spark, str(tmp_path / f"in{seed}"), ("end", "out", T0 + dt.timedelta(days=1), 999, b"x"), schema)
+        live_got = live.run_to_table(live.live_log_lines(stream), str(tmp_path / f"state{seed}"))
+        whole = lambda rs: sorted((r.run_id, r.line_no, r.stream, r.line) for r in rs)
+        assert whole(live_got.collect()) == whole(r for r in got if r.complete)
+
+
+def test_upserts_touch_their_buckets_and_survive_replays(spark, tmp_path):
+    import os
+
+    from pipelake.streaming.tables import UpsertTable, newest
+
+    schema = "k string, v long"
+    table = lambda: UpsertTable(spark, str(tmp_path / "t"), ["k"], newest(["k"], ["v"]), buckets=8)
+    batch = lambda *found: spark.createDataFrame(list(found), schema)
+    assert rows(table().read(schema)) == []
+    table().upsert(batch(*[(f"k{i}", i) for i in range(40)]), 0)
+    table().upsert(batch(("k1", 100), ("k1", 99), ("new", 5)), 1)
+    now = rows(table().read(schema))
+    assert now == sorted([("k1", 100), ("new", 5), *[(f"k{i}", i) for i in range(40) if i != 1]], key=str)
+    assert len(os.listdir(tmp_path / "t" / "rows" / "batch=1")) <= 4
+    # A replay, and one that was killed before its commit.
+    table().upsert(batch(("k1", 100), ("k1", 99), ("new", 5)), 1)
+    assert rows(table().read(schema)) == now
+    with pytest.raises(Exception, match="stop"):
+        table().upsert(batch(("k2", 7)).withColumn("v", F.when(F.col("k") == "k2", F.raise_error(F.lit("stop")).cast("long"))), 2)
+    assert rows(table().read(schema)) == now
+    table().upsert(batch(("k2", 7)), 2)
+    assert ("k2", 7) in rows(table().read(schema)) and table().vacuum(keep=1) > 0
+    assert len(rows(table().read(schema))) == 41
+
+
+def test_snapshots_merge_in_any_order(spark):
     from pipelake.streaming import live
 
-    rng = random.Random(6)
-    found = [(i, rng.randrange(300), i) for i in range(1000)]
-    chunks = (pd.DataFrame(found[i : i + 10], columns=["cpu", "us", "seq"]) for i in range(0, 1000, 10))
-    got = live._in_order(chunks, ["cpu", "us", "seq"], most=50, piece=7)
-    assert list(got) == sorted(found, key=lambda r: r[1:])
-    assert list(live._in_order(iter([]), ["cpu", "us", "seq"])) == []
-    assert [len(f) for f in live._frames(iter([(1,)] * 25), ["a"], size=10)] == [10, 10, 5]
-    assert [len(f) for f in live._frames(iter([]), ["a"])] == [0]
+    rng = random.Random(7)
+    schema = "workflow_id string, step_id string, event_type string, ts timestamp, seq long"
+    found = [(f"w{rng.randrange(3)}", f"s{rng.randrange(5)}", rng.choice(["Completed"] * 5 + ["Failed", "Cleared"]), T0 + dt.timedelta(seconds=rng.randrange(50)), i) for i in range(90)]
+    expected = rows(state.state_fold(spark.createDataFrame(found, schema)))
+    for seed in range(3):
+        random.Random(seed).shuffle(found)
+        parts = spark.createDataFrame([], live.SNAPSHOT.format("string"))
+        for a in (0, 20, 50, 50):  # the last batch comes twice
+            events = spark.createDataFrame(found[a : {0: 20, 20: 50, 50: 90}[a]], schema)
+            parts = live.merge_parts(parts, live.snapshot_parts(events))
+        assert rows(live.folded_parts(parts)) == expected
 
 
 def queue_order(n, links):
