@@ -118,16 +118,59 @@ def cascade_delete(edges: DataFrame, deletes: DataFrame) -> DataFrame:
     return left.join(deletes.withColumnRenamed("node_id", "target"), ["graph_id", "target"], "left_anti").select(edges.columns)
 
 
+def delete_nodes(nodes: DataFrame, edges: DataFrame, files: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, files) of editor graphs without deletes(graph_id, node_id): the nodes, the edges that touch them, and their sample files."""
+    keys = ["graph_id", "node_id"]
+    return nodes.join(deletes, keys, "left_anti"), cascade_delete(edges, deletes), files.join(deletes, keys, "left_anti")
+
+
 def remove_steps(steps: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps without the deleted ones and without references to them, deletes that name no step)."""
+    """(steps without the deleted ones and without references to them, deletes that name no step).
+
+    References are opened to a row each, keep their places, and are joined with the deletes by key; only steps that lose one are put together anew.
+    """
     keys = ["workflow_id", "step_id"]
-    gone = deletes.groupBy("workflow_id").agg(F.collect_set("step_id").alias("_gone"))
-    rest = steps.join(deletes, keys, "left_anti").join(gone, "workflow_id", "left")
-    without = lambda c: F.filter(c, lambda x: ~F.coalesce(F.array_contains("_gone", x), F.lit(False)))
-    cleaned = rest.withColumns({"previous": without("previous"), "next": without("next")}).select(steps.columns)
+    rest = steps.join(deletes, keys, "left_anti")
+    own = [*keys, "previous", "next"]
+    sides = [rest.select(*own, F.lit(side).alias("_side"), F.posexplode(side).alias("_at", "_ref")) for side in ("previous", "next")]
+    gone = deletes.select("workflow_id", F.col("step_id").alias("_ref"), F.lit(True).alias("_gone")).distinct()
+    met = sides[0].union(sides[1]).join(gone, ["workflow_id", "_ref"], "left")
+    # collect_set: rows that repeat a step bring each of its references again.
+    left = lambda side: F.transform(F.array_sort(F.collect_set(F.when((F.col("_side") == side) & F.col("_gone").isNull(), F.struct("_at", "_ref")))), lambda x: x["_ref"])
+    changed = met.groupBy(*own).agg(F.bool_or(F.col("_gone").isNotNull()).alias("_lost"), left("previous").alias("_previous"), left("next").alias("_next")).where("_lost")
+    changed = changed.select(*[F.col(c).alias(f"_k_{c}") for c in own], "_previous", "_next")
+    joined = rest.join(changed, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in own], "left")
+    cleaned = joined.withColumns({"previous": F.coalesce("_previous", "previous"), "next": F.coalesce("_next", "next")}).select(steps.columns)
     return cleaned, deletes.join(steps.select(keys), keys, "left_anti")
 
 
+def declared_errors(steps: DataFrame) -> DataFrame:
+    """(workflow_id, step_id, rule, detail): the first reference of each workflow to a step that it has not, as a load stops there.
+
+    Steps go by ordinal; of a step, previous comes before next, each in its order.
+    """
+    refs = [steps.select("workflow_id", "ordinal", "step_id", F.lit(k).alias("_side"), F.posexplode(c).alias("_at", "_ref")) for k, c in enumerate(("previous", "next"))]
+    known = steps.select("workflow_id", F.col("step_id").alias("_ref"))
+    lost = refs[0].union(refs[1]).join(known, ["workflow_id", "_ref"], "left_anti")
+    first = lost.groupBy("workflow_id").agg(F.min(F.struct("ordinal", "_side", "_at", "step_id", "_ref")).alias("e"))
+    rule = F.when(F.col("e._side") == 0, "unknown_dependency").otherwise("unknown_dependent")
+    return first.select("workflow_id", F.col("e.step_id").alias("step_id"), rule.alias("rule"), F.col("e._ref").alias("detail"))
+
+
+def producer_errors(steps: DataFrame) -> DataFrame:
+    """(workflow_id, step_id, rule, detail): in workflows that declare no dependency, the first file that a second step, or the same one again, produces.
+
+    detail names the file and both producers; step_id is the second.
+    """
+    declares = steps.where((F.size("previous") > 0) | (F.size("next") > 0)).select("workflow_id").distinct()
+    outs = step_files(steps.join(declares, "workflow_id", "left_anti")).where("kind = 'out'")
+    by_file = Window.partitionBy("workflow_id", "file").orderBy("ordinal", "pos", "step_id")
+    ranked = outs.select("workflow_id", "ordinal", "pos", "step_id", "file", F.row_number().over(by_file).alias("_n"), F.lag("step_id").over(by_file).alias("_first"))
+    first = ranked.where("_n = 2").groupBy("workflow_id").agg(F.min(F.struct("ordinal", "pos", "step_id", "file", "_first")).alias("e"))
+    detail = F.concat_ws(" ", F.col("e.file"), F.lit("from"), F.col("e._first"), F.lit("and"), F.col("e.step_id"))
+    return first.select("workflow_id", F.col("e.step_id").alias("step_id"), F.lit("multiple_producers").alias("rule"), detail.alias("detail"))
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of new that may be added, rows rejected because their key exists).
 

@@ -13,14 +13,20 @@ from pipelake.functions.exprs import path_part
 
 
 def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """files(.., file) with found and modified_at."""
+    """files(.., file) with found and modified_at.
+
+    A path is cut only at the depths that asked-for folders have, not at each of its own, and the newest time of a cut is taken before it moves.
+    """
     names = manifest.groupBy(F.col("path").alias("file")).agg(F.max("modified_at").alias("modified_at"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     wanted = files.where(F.col("file").endswith("/")).select("file").distinct()
-    opened = manifest.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("file"), "modified_at")
-    folders = opened.join(wanted, "file", "left_semi").groupBy("file").agg(F.max("modified_at").alias("modified_at"))
-    known = names.union(folders).withColumn("found", F.lit(True))
+    depths = sorted(r[0] for r in wanted.select(F.regexp_count("file", F.lit("/"))).distinct().collect())
+    known = names
+    if depths:
+        parts = F.split("path", "/")
+        above = F.transform(F.filter(F.array(*map(F.lit, depths)), lambda d: d < F.size(parts)), lambda d: F.concat(F.array_join(F.slice(parts, 1, d), "/"), F.lit("/")))
+        cuts = manifest.select(F.explode(above).alias("file"), "modified_at").groupBy("file").agg(F.max("modified_at").alias("modified_at"))
+        known = names.union(cuts.join(wanted, "file", "left_semi"))
+    known = known.withColumn("found", F.lit(True))
     return files.join(known, "file", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

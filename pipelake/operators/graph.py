@@ -121,9 +121,11 @@ def dry_run_plan(steps: DataFrame, ordered: DataFrame, skipped: DataFrame | None
     return plan.select(*keys, "position", "level", "tool", "command", rendered.alias("rendered"), "input", "output", "threads")
 
 
-def first_fit(candidates: DataFrame, budget: int, most: int, part_rows: int = 100_000) -> DataFrame:
+def first_fit(candidates: DataFrame, budget: int, most: int, part_rows: int = 100_000, rooms: DataFrame | None = None) -> DataFrame:
     """candidates(group_id, ordinal, step_id, weight) with taken and never_fits; weights are not negative.
 
+    rooms(group_id, room) is what is left of the budget at first, in groups where that is less.
+
     Per group and in order: stop after ``most`` are taken; skip one that exceeds what is left of the budget and look on.
     A row that alone exceeds the budget never fits; one without a weight is not taken (its never_fits is null).
 
@@ -140,6 +142,9 @@ def first_fit(candidates: DataFrame, budget: int, most: int, part_rows: int = 10
     while most > 0:
         if state is None:
             left = fitting.select("*", F.lit(budget).cast("long").alias("room"), F.lit(most).cast("long").alias("slots"))
+            if rooms is not None:
+                less = rooms.select(F.col("group_id").alias("_g"), F.col("room").cast("long").alias("_room"))
+                left = left.join(less, F.col("g").eqNullSafe(F.col("_g")), "left").withColumn("room", F.coalesce("_room", "room")).drop("_g", "_room").where(F.col("at.w") <= F.col("room"))
         else:
             left = fitting.join(state, F.col("g").eqNullSafe(F.col("_g")) & (F.col("at") > F.col("_at")) & (F.col("at.w") <= F.col("room"))).drop("_g", "_at")
         so_far = Window.partitionBy("_part", "g").orderBy("at")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipelake.functions.exprs import path_part
+from pipelake.operators.graph import first_fit
 
 
 def state_fold(events: DataFrame) -> DataFrame:
@@ -41,6 +42,20 @@ def ready_frontier(steps: DataFrame, edges: DataFrame, completed: DataFrame, run
     return steps.join(busy, keys, "left_anti").join(blocked, keys, "left_anti")
 
 
+def ready_steps(steps: DataFrame, edges: DataFrame, completed: DataFrame, running: DataFrame, max_threads: int, max_jobs: int) -> DataFrame:
+    """steps(workflow_id, step_id, ordinal, threads) that may start now, with ``taken``.
+
+    The ready frontier in the order of the steps: at most max_jobs of a workflow at a time, and one that needs more threads than those of
+    max_threads that running(workflow_id, step_id) steps and earlier picks leave is passed over.
+    """
+    ready = ready_frontier(steps, edges, completed, running)
+    used = running.distinct().join(steps.select("workflow_id", "step_id", "threads"), ["workflow_id", "step_id"]).groupBy("workflow_id").agg(F.sum("threads").alias("used"))
+    rooms = used.select(F.col("workflow_id").alias("group_id"), (F.lit(max_threads) - F.col("used")).alias("room"))
+    asked = ready.select(F.col("workflow_id").alias("group_id"), "ordinal", "step_id", F.col("threads").alias("weight"))
+    picked = first_fit(asked, max_threads, max_jobs, rooms=rooms)
+    return picked.select(F.col("group_id").alias("workflow_id"), "step_id", "ordinal", F.col("weight").alias("threads"), "taken")
+
+
 def state_key(path: Column) -> Column:
     """Stem of the workflow's file, or ``workflow`` without one."""
     stem = path_part(path, "stem")
@@ -53,6 +68,6 @@ def state_key_collisions(paths: DataFrame) -> DataFrame:
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The newest snapshot of each workflow path."""
-    newest = Window.partitionBy("workflow_path").orderBy(F.col("updated_at").desc())
-    return snapshots.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """The newest snapshot of each workflow path; of equal times the one with more completed steps, and then the larger row."""
+    newest = F.max_by(F.struct(*snapshots.columns), F.struct(F.col("updated_at").alias("_u"), F.size("completed").alias("_n"), *snapshots.columns))
+    return snapshots.groupBy(F.col("workflow_path").alias("_path")).agg(newest.alias("s")).select("s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelake.functions.exprs import expands, path_part, step_template_names, substitute
+from pipelake.functions.exprs import expands, path_part, step_is_template, step_template_names, substitute
 
 
 def merge_files(files: DataFrame) -> DataFrame:
@@ -59,6 +59,19 @@ def preview(files: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
+def wildcard_violations(steps: DataFrame) -> DataFrame:
+    """(workflow_id, step_id, name, rule): steps whose names cannot be filled from their own wildcard_files.
+
+    Of a step with braces in input, output or command the first name without an entry is reported (``no_file_mapping``), or else, where
+    it has more than one name, ``several_names`` with a null name.
+    """
+    names = step_template_names(F.col("input"), F.col("output"))
+    asked = steps.where(step_is_template(F.col("input"), F.col("output"), F.col("command"))).select("workflow_id", "step_id", names.alias("names"), "wildcard_files")
+    lacks = F.get(F.filter("names", lambda n: ~F.coalesce(F.map_contains_key("wildcard_files", n), F.lit(False))), F.lit(0))
+    rule = F.when(lacks.isNotNull(), "no_file_mapping").when(F.size("names") > 1, "several_names")
+    return asked.select("workflow_id", "step_id", lacks.alias("name"), rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def _fan_in(steps: DataFrame, instances: DataFrame) -> DataFrame:
     """(_k_<key>, _previous, _next): per step its dependencies in order, as (known, ref, fan).
 
@@ -75,11 +88,11 @@ def _fan_in(steps: DataFrame, instances: DataFrame) -> DataFrame:
     return grouped.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_previous", "_next")
 
 
-def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve") -> DataFrame:
+def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve", keep: tuple[str, ...] = ()) -> DataFrame:
     """Steps with templated ones repeated per sample value.
 
     steps(workflow_id, ordinal, step_id, command, input, output, previous, next); values(workflow_id, name, pos, value).
-    Result: those columns with value_pos and error. A step with several names, or a name that no group has, is an
+    Result: those columns with value_pos and error, and the columns to ``keep``. A step with several names, or a name that no group has, is an
     error row; a name with an empty list makes the step vanish. ``values`` rows with a null value stand for an empty list.
 
     mode ``reference`` adds the value to every dependency. mode ``resolve`` adds it only to templated ones; a plain step
@@ -124,5 +137,6 @@ def expand_templates(steps: DataFrame, values: DataFrame, mode: str = "resolve")
         F.when(value.isNotNull(), filled(F.col("command"))).otherwise(F.col("command")).alias("command"),
         links["previous"].alias("previous"),
         links["next"].alias("next"),
+        *keep,
         "error",
     )

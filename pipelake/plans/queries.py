@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipelake.functions import exprs as X
-from pipelake.operators import edges, freshness, graph, state, templates, timeline, validate
+from pipelake.operators import edges, freshness, graph, logs, state, templates, timeline, validate
+from pipelake.plans import load
 from pipelake.plans.fixtures import view, with_views
 from pipelake.sources import files, specs
 from pipelake.streaming import live
@@ -648,5 +649,148 @@ def live_snapshots(spark, sf_dir):
     return found.select("workflow_id", _joined("completed").alias("completed"), F.coalesce("failed_step", F.lit("-")).alias("failed_step"), "updated_at")
 
 
+# Whole paths: loading, starting steps, checks of their own, sources.
+
+
+def _specs(spark, sf_dir) -> DataFrame:
+    """The workflows of the expansion queries as scanned specs; where there are sample values, the first step brings them."""
+    s, e = view(spark, sf_dir, "f1_steps"), view(spark, sf_dir, "f1_edges")
+    none = F.array().cast("array<string>")
+    before = e.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.array_sort(F.collect_list("src")).alias("previous"))
+    values = s.where("workflow_id % 5 <> 0").groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("v"), F.col("threads").cast("string"), F.lit(".fq")))).alias("f"))
+    text = F.when(F.col("sk") % 3 == 1, F.concat(F.lit("in/{sample}."), "step_id")).otherwise(F.col("step_id"))
+    brought = F.when((F.col("ordinal") == 1) & F.col("f").isNotNull(), F.create_map(F.lit("sample"), F.col("f")))
+    joined = s.join(before, ["workflow_id", "step_id"], "left").join(values, "workflow_id", "left")
+    return joined.select(
+        "workflow_id", "ordinal", "step_id", "tool", F.concat(F.lit("run {sample} "), "tool").alias("command"), F.array(text).alias("input"), none.alias("output"),
+        F.coalesce("previous", none).alias("previous"), none.alias("next"), "threads", F.lit(None).cast("string").alias("color"), brought.alias("wildcard_files"),
+    )
+
+
+LOADING = LEVELS + """, de AS (SELECT workflow_id, step_id FROM f1_steps WHERE sk % 11 = 0 AND ordinal = 3 AND EXISTS (SELECT 1 FROM f1_edges e WHERE e.workflow_id = f1_steps.workflow_id AND e.src = 's99')),
+ee AS (SELECT workflow_id, min_by(step_id, ordinal) AS step_id FROM f1_steps WHERE sk % 3 = 1 AND workflow_id % 5 = 0 AND workflow_id NOT IN (SELECT workflow_id FROM de) GROUP BY 1),
+ce AS (SELECT DISTINCT workflow_id FROM f1_steps s WHERE NOT EXISTS (SELECT 1 FROM lm WHERE lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id)
+  AND workflow_id NOT IN (SELECT workflow_id FROM de) AND workflow_id NOT IN (SELECT workflow_id FROM ee))"""
+
+
+@query(LOADING + """ SELECT workflow_id, 'dependencies' AS stage, step_id, 'unknown_dependency' AS rule, 's99' AS detail FROM de
+UNION ALL SELECT workflow_id, 'expansion', step_id, 'not_expandable', 'no file mapping' FROM ee UNION ALL SELECT workflow_id, 'validation', NULL, 'cycle', NULL FROM ce""")
+def load_errors(spark, sf_dir):
+    return load.load_workflows(_specs(spark, sf_dir)).errors
+
+
+@query(LOADING + """, v AS (SELECT DISTINCT workflow_id, 'v' || CAST(threads AS VARCHAR) AS value FROM f1_steps WHERE workflow_id % 5 <> 0)
+SELECT s.workflow_id, CASE WHEN sk % 3 = 1 THEN s.step_id || '_' || value ELSE s.step_id END AS step_id, level FROM f1_steps s JOIN lm ON lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id
+LEFT JOIN v ON sk % 3 = 1 AND v.workflow_id = s.workflow_id WHERE s.workflow_id NOT IN (SELECT workflow_id FROM de UNION ALL SELECT workflow_id FROM ee UNION ALL SELECT workflow_id FROM ce)""")
+def load_steps(spark, sf_dir):
+    return load.load_workflows(_specs(spark, sf_dir)).steps.select("workflow_id", "step_id", "level")
+
+
+@query("""WITH RECURSIVE c AS (SELECT s.workflow_id, s.step_id, s.threads, row_number() OVER (PARTITION BY s.workflow_id ORDER BY s.ordinal) AS n FROM f1_steps s WHERE sk % 4 <> 0 AND sk % 6 <> 1
+  AND NOT EXISTS (SELECT 1 FROM f1_edges e LEFT JOIN f1_steps p ON p.workflow_id = e.workflow_id AND p.step_id = e.src AND p.sk % 4 = 0 WHERE e.workflow_id = s.workflow_id AND e.dst = s.step_id AND p.step_id IS NULL)),
+u AS (SELECT workflow_id, 8 - coalesce(sum(threads) FILTER (sk % 6 = 1 AND sk % 4 <> 0), 0) AS room FROM f1_steps GROUP BY 1),
+r(workflow_id, n, room, k, taken) AS (SELECT workflow_id, 0, room, 0, false FROM u
+  UNION ALL SELECT c.workflow_id, c.n, CASE WHEN k < 2 AND threads <= room THEN room - threads ELSE room END, CASE WHEN k < 2 AND threads <= room THEN k + 1 ELSE k END, k < 2 AND threads <= room
+  FROM r JOIN c ON c.workflow_id = r.workflow_id AND c.n = r.n + 1)
+SELECT c.workflow_id, c.step_id, taken FROM r JOIN c ON c.workflow_id = r.workflow_id AND c.n = r.n""")
+def ready_steps(spark, sf_dir):
+    s = view(spark, sf_dir, "f1_steps")
+    done, busy = s.where("sk % 4 = 0").select("workflow_id", "step_id"), s.where("sk % 6 = 1 AND sk % 4 <> 0").select("workflow_id", "step_id")
+    return state.ready_steps(s, view(spark, sf_dir, "f1_edges"), done, busy, max_threads=8, max_jobs=2).select("workflow_id", "step_id", "taken")
+
+
+@query("""WITH d AS (SELECT seq, ts, CASE event_type WHEN 'Started' THEN 1 ELSE -1 END * CAST(step_id % 4 + 1 AS BIGINT) AS x FROM f2_events),
+s AS (SELECT seq, ts, sum(x) OVER (ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM d),
+u AS (SELECT t - least(0, min(t) OVER (ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS used FROM s) SELECT 'run0' AS run_id, CAST(max(used) AS BIGINT) AS peak_threads FROM u""")
+def peak_threads(spark, sf_dir):
+    return timeline.peak_threads(view(spark, sf_dir, "f2_events").withColumn("threads", F.col("step_id") % 4 + 1))
+
+
+@query("""SELECT p_partkey AS workflow_id, 's' AS step_id, CASE WHEN p_partkey % 4 = 0 THEN 'sample' WHEN p_partkey % 3 = 0 AND p_partkey % 8 <> 1 THEN 'lane' END AS name,
+CASE WHEN p_partkey % 4 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 8 <> 1) THEN 'no_file_mapping' ELSE 'several_names' END AS rule FROM part WHERE p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 4 = 0)""")
+def wildcard_check(spark, sf_dir):
+    key = F.col("p_partkey")
+    text = F.when(key % 3 == 0, F.concat(F.lit("in/{sample}.{lane}."), "p_name")).when(key % 3 == 1, F.lit("in/{sample}")).otherwise(F.lit("in/x"))
+    own = F.when(key % 4 == 0, F.lit(None)).when(key % 8 == 1, F.create_map(F.lit("sample"), F.array("p_name"), F.lit("lane"), F.array("p_brand"))).otherwise(F.create_map(F.lit("sample"), F.array("p_name")))
+    steps = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("workflow_id"), F.lit("s").alias("step_id"), F.array(text).alias("input"), F.array(F.lit("o")).alias("output"), F.lit("go {input}").alias("command"), own.alias("wildcard_files"))
+    return templates.wildcard_violations(steps)
+
+
+@query("""SELECT conv_id AS graph_id, 'node' AS kind, turn AS a, turn AS b FROM conversations WHERE turn % 3 <> 1 UNION ALL SELECT graph_id, 'edge', source, target FROM f2_graph WHERE source % 3 <> 1 AND target % 3 <> 1
+UNION ALL SELECT conv_id, 'file', turn, 2 * turn FROM conversations WHERE turn % 3 <> 1""")
+def delete_nodes(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("graph_id"), F.col("turn").alias("node_id"))
+    nodes, links, samples = edges.delete_nodes(turns, view(spark, sf_dir, "f2_graph"), turns.withColumn("file", F.col("node_id") * 2), turns.where("node_id % 3 = 1"))
+    row = lambda kind, a, b: [F.col("graph_id"), F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")]
+    return nodes.select(*row("node", "node_id", "node_id")).union(links.select(*row("edge", "source", "target"))).union(samples.select(*row("file", "node_id", "file")))
+
+
+@query("""WITH s AS (SELECT 'p/' || CAST(user_id AS VARCHAR) || '.yaml' AS workflow_path, CAST(ts AS TIMESTAMP) AS ts, event_id FROM events WHERE event_type = 'purchase'),
+l AS (SELECT workflow_path, max((ts, event_id)) AS m FROM s GROUP BY 1)
+SELECT 'p/' || CAST(c_custkey AS VARCHAR) || '.yaml' AS workflow_path, CASE WHEN m IS NULL THEN '' ELSE 'e' || CAST(m[2] AS VARCHAR) END AS completed, m[1] AS updated_at
+FROM customer LEFT JOIN l ON l.workflow_path = 'p/' || CAST(c_custkey AS VARCHAR) || '.yaml'""")
+def state_read(spark, sf_dir):
+    """A snapshot at each purchase, written as JSON; the newest of each workflow read back, and fresh ones for the others."""
+    path = lambda c: F.concat(F.lit("p/"), F.col(c).cast("string"), F.lit(".yaml"))
+    bought = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'")
+    newest = bought.groupBy(path("user_id").alias("workflow_path"), F.col("ts").cast("timestamp").alias("updated_at")).agg(F.array(F.concat(F.lit("e"), F.max("event_id").cast("string"))).alias("completed"))
+    files.write_state(newest.select("workflow_path", "completed", F.lit(None).cast("string").alias("failed_step"), "updated_at"), folder := _folder(spark, "states"))
+    workflows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(path("c_custkey").alias("workflow_path"))
+    return files.read_state(spark, folder, workflows).select("workflow_path", _joined("completed").alias("completed"), "updated_at")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS folder, true AS found FROM nation GROUP BY 1 UNION ALL SELECT 'no' || CAST(n_nationkey AS VARCHAR), false FROM nation")
+def file_manifest(spark, sf_dir):
+    """Nations written in a folder a region; their manifest asked for those folders and for others."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation.select("n_name", "n_regionkey").write.partitionBy("n_regionkey").text(folder := _folder(spark, "manifest"))
+    manifest = files.read_manifest(spark, folder).withColumn("path", F.regexp_extract("path", "n_regionkey=(.*)$", 1))
+    asked = nation.select(F.col("n_regionkey").cast("string").alias("folder")).distinct().union(nation.select(F.concat(F.lit("no"), F.col("n_nationkey").cast("string"))))
+    return freshness.with_manifest(asked.withColumn("file", F.concat("folder", F.lit("/"))), manifest).select("folder", "found")
+
+
+@query("SELECT run_id, CAST(step_id AS VARCHAR) AS step_id, event_type, ts, seq FROM f2_events")
+def event_scan(spark, sf_dir):
+    """Events written as a table of the event schema, and read as a stream."""
+    e = view(spark, sf_dir, "f2_events")
+    e.select("run_id", F.col("step_id").cast("string").alias("step_id"), "event_type", "ts", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("error")).write.parquet(folder := _folder(spark, "events"))
+    return _appended(spark, files.stream_events(spark, folder), "event-copy").drop("error")
+
+
+@query("SELECT CAST(run_id AS VARCHAR) AS run_id, ts, seq, memory_bytes // 1048576 AS memory_mb FROM f10_samples")
+def sample_scan(spark, sf_dir):
+    s = view(spark, sf_dir, "f10_samples")
+    s.select(F.col("run_id").cast("string").alias("run_id"), "ts", F.col("seq").cast("long").alias("seq"), F.col("cpu").cast("double").alias("cpu"), "memory_bytes").write.parquet(folder := _folder(spark, "samples"))
+    return files.read_samples(spark, folder).select("run_id", "ts", "seq", "memory_mb")
+
+
+def _chunks(turns: DataFrame) -> DataFrame:
+    """Turns as output chunks of their roles: words of even turns on lines of their own."""
+    data = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.col("text"))
+    return turns.select(F.col("conv_id").cast("string").alias("run_id"), F.col("role").alias("stream"), F.timestamp_seconds(F.col("turn")).alias("ts"), F.col("turn").cast("long").alias("seq"), data.alias("data"))
+
+
+LOG_LINES = """WITH c AS (SELECT conv_id AS r, role AS s, turn, coalesce(CASE WHEN turn % 2 = 0 THEN replace(text, ' ', chr(10)) ELSE text END, '') AS d FROM conversations),
+m AS (SELECT *, length(d) - length(replace(d, chr(10), '')) AS n FROM c), q AS (SELECT *, sum(n) OVER (PARTITION BY r, s ORDER BY turn) AS upto FROM m),
+e AS (SELECT r, s, turn, unnest(range(CAST(upto - n AS BIGINT), CAST(upto AS BIGINT))) AS i FROM q),
+w AS (SELECT r, s, string_split(string_agg(d, '' ORDER BY turn), chr(10)) AS ls FROM c GROUP BY ALL),
+l AS (SELECT r, s, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM w),
+f AS (SELECT l.r, l.s, line, l.i, turn FROM l LEFT JOIN e ON e.r = l.r AND e.s = l.s AND e.i = l.i WHERE turn IS NOT NULL OR line <> ''),
+z AS (SELECT CAST(r AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY r ORDER BY turn NULLS LAST, s, i) AS line_no, s AS stream, line, turn IS NOT NULL AS complete FROM f)"""
+
+
+@query(LOG_LINES + " SELECT run_id, line_no, stream, line, complete FROM z")
+def run_log(spark, sf_dir):
+    return logs.log_lines(_chunks(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).drop("ts")
+
+
+@query(LOG_LINES + " SELECT run_id, line_no, stream, line FROM z WHERE complete")
+def live_log(spark, sf_dir):
+    path = f"{sf_dir}/conversations.parquet"
+    _stream(spark, sf_dir)
+    turns = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    return _appended(spark, live.live_log_lines(_chunks(turns), late="0 seconds"), "log-lines").drop("us")
+
+
 ORACLES["live_thinning"] = ORACLES["thin_samples"].replace("SELECT run_id, seq FROM r WHERE kept", "SELECT CAST(run_id AS VARCHAR) AS run_id, seq FROM r WHERE kept")
 ORACLES["live_snapshots"] = ORACLES["state_fold"]

@@ -9,6 +9,9 @@ from pipelake.operators.state import latest_snapshots, state_key
 from pipelake.operators.timeline import with_memory_mb
 from pipelake.schemas import LIFECYCLE_EVENTS, RESOURCE_SAMPLES, STATE_SNAPSHOT
 
+#: Times in snapshots, to the microsecond.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified_at, length) of every file below path; contents are never read."""
@@ -90,7 +93,7 @@ def _log(lines: DataFrame, *places: Column) -> DataFrame:
 def read_state(spark: SparkSession, path: str, workflows: DataFrame) -> DataFrame:
     """The newest snapshot of each of workflows(workflow_path); a workflow without one starts fresh."""
     try:
-        stored = latest_snapshots(spark.read.schema(STATE_SNAPSHOT).json(path))
+        stored = latest_snapshots(spark.read.schema(STATE_SNAPSHOT).option("timestampFormat", MICROS).json(path))
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -101,7 +104,7 @@ def read_state(spark: SparkSession, path: str, workflows: DataFrame) -> DataFram
 
 def write_state(snapshots: DataFrame, path: str) -> None:
     """Snapshots as JSON, keyed by their full path; state_key is kept beside it for look-ups by stem."""
-    snapshots.withColumn("state_key", state_key(F.col("workflow_path"))).write.mode("overwrite").json(path)
+    snapshots.withColumn("state_key", state_key(F.col("workflow_path"))).write.mode("overwrite").option("timestampFormat", MICROS).json(path)
 
 
 def numbered_lines(log: DataFrame) -> DataFrame:

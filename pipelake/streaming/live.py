@@ -63,8 +63,8 @@ class _InTimeOrder(StatefulProcessor):
         yield pd.DataFrame(columns=self.out)
 
     def _wake(self, us: int) -> None:
-        # A timer fires once the watermark is past it; the row itself is due when the watermark is at its millisecond.
-        self.handle.registerTimer(us // 1000 - 1)
+        # A timer fires once the watermark is past it; the row itself is due when the watermark is at its millisecond. Timers below zero never fire.
+        self.handle.registerTimer(max(us // 1000 - 1, 0))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = (timerValues.getCurrentWatermarkInMs() + 1) * 1000

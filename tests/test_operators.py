@@ -482,3 +482,49 @@ def test_a_templated_id_may_repeat(spark):
     values = spark.createDataFrame([(1, "x", 0, "a"), (1, "y", 0, "a"), (1, "y", 1, "b")], "workflow_id int, name string, pos int, value string")
     found = {(r.ordinal, r.step_id): r.previous for r in templates.expand_templates(steps, values).collect()}
     assert found == {(0, "t_a"): [], (1, "t_a"): [], (1, "t_b"): [], (2, "p"): ["t_a", "t_b"]}
+
+
+def test_remove_steps_keeps_places_and_repeated_rows(spark):
+    one = ("1", "t", "c", [], [], ["9", "x", "9", "y"], [])
+    frame = steps_of(spark, one, ("x", "t", "c", [], [], [], ["1", "y"])).union(spark.createDataFrame([("w", 1, *one)], STEP))
+    left, unknown = edges.remove_steps(frame, spark.createDataFrame([("w", "x"), ("w", "x")], "workflow_id string, step_id string"))
+    assert [(r.step_id, r.previous) for r in left.collect()] == [("1", ["9", "9", "y"])] * 2
+    assert rows(unknown) == []
+
+
+def test_a_load_stops_at_the_first_error_of_a_workflow(spark):
+    from pipelake.plans import load
+
+    columns = STEP + ", threads int, color string, wildcard_files map<string,array<string>>, parse_error string"
+    step = lambda w, i, s, inputs, outputs, previous=(), following=(), files=None, error=None: (w, i, s, "bash", "run", list(inputs), list(outputs), list(previous), list(following), 1, None, files, error)
+    found = [
+        step("bad", None, None, (), (), error="no steps"),
+        step("refs", 1, "a", ["x"], [], following=["nope"]), step("refs", 2, "b", [], [], previous=["gone", "a"]),
+        step("two", 1, "a", [], ["f\t, g"]), step("two", 2, "b", [], [" g"]),
+        step("map", 1, "a", ["{s}"], []), step("map", 2, "b", ["{s}{t}"], []),
+        step("loop", 1, "a", ["y"], ["x"]), step("loop", 2, "b", ["x"], ["y"]),
+        step("fine", 1, "align", ["in/{s}.fq"], ["{s}.bam"], files={"s": ["b.fq", "a.fq"]}), step("fine", 2, "sum", ["{s}.bam,\n all"], ["out"]), step("fine", 3, "end", ["out"], []),
+        step("none", 1, "gone", ["{s}"], ["f"], files={"s": []}), step("none", 2, "stays", ["x"], []),
+    ]
+    got = load.load_workflows(spark.createDataFrame(found, columns))
+    assert rows(got.errors.select("workflow_id", "stage", "step_id", "rule", "detail")) == [
+        ("bad", "parse", None, "parse_error", "no steps"),
+        ("loop", "validation", None, "cycle", None),
+        ("map", "expansion", "a", "not_expandable", "no file mapping"),
+        ("refs", "dependencies", "a", "unknown_dependent", "nope"),
+        ("two", "dependencies", "b", "multiple_producers", "g from a and b"),
+    ]
+    order = [(r.workflow_id, r.step_id, r.previous) for r in got.steps.orderBy("workflow_id", "position").collect()]
+    assert order == [
+        ("fine", "align_a", []), ("fine", "align_b", []), ("fine", "sum_a", ["align_a"]), ("fine", "sum_b", ["align_b"]), ("fine", "end", ["sum_a", "sum_b"]), ("none", "stays", []),
+    ]
+
+
+def test_ready_steps_leave_room_for_what_runs(spark):
+    frame = spark.createDataFrame([("w", f"s{i}", i, t) for i, t in enumerate([2, 3, 4, 1, 1])], "workflow_id string, step_id string, ordinal int, threads int")
+    none = spark.createDataFrame([], "workflow_id string, src string, dst string")
+    busy = spark.createDataFrame([("w", "s0"), ("w", "s0")], "workflow_id string, step_id string")
+    got = state.ready_steps(frame, none, busy.limit(0), busy, max_threads=6, max_jobs=2)
+    assert sorted((r.step_id, r.taken) for r in got.collect()) == [("s1", True), ("s2", False), ("s3", True), ("s4", False)]
+    got = state.ready_steps(frame, none, busy.limit(0), busy, max_threads=2, max_jobs=2)
+    assert not [r for r in got.collect() if r.taken]
