@@ -767,7 +767,7 @@ def sample_scan(spark, sf_dir):
 def _chunks(turns: DataFrame) -> DataFrame:
     """Turns as output chunks of their roles: words of even turns on lines of their own."""
     data = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.col("text"))
-    return turns.select(F.col("conv_id").cast("string").alias("run_id"), F.col("role").alias("stream"), F.timestamp_seconds(F.col("turn")).alias("ts"), F.col("turn").cast("long").alias("seq"), data.alias("data"))
+    return turns.select(F.col("conv_id").cast("string").alias("run_id"), F.col("role").alias("stream"), F.timestamp_seconds(F.col("turn") + 1).alias("ts"), F.col("turn").cast("long").alias("seq"), data.alias("data"))
 
 
 LOG_LINES = """WITH c AS (SELECT conv_id AS r, role AS s, turn, coalesce(CASE WHEN turn % 2 = 0 THEN replace(text, ' ', chr(10)) ELSE text END, '') AS d FROM conversations),

@@ -139,7 +139,7 @@ class _Durations(_InTimeOrder):
 def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", late: str = "10 minutes", expire_ms: int | None = 30 * 86_400_000) -> DataFrame:
     """(run_id, step_id, duration_ms, us, seq) at each end; the last row of a step is its batch duration.
 
-    Events may arrive in any order within ``late``; they count once the watermark has passed them, and later ones are dropped. Milliseconds
+    Events may arrive in any order within ``late``; they count once the watermark has reached them, and what comes at or before it afterwards is dropped. Milliseconds
     count from ``origin`` (give the run's start for the batch result to the millisecond). Starts are kept ``expire_ms`` (None: for ever). Append
     mode; needs the RocksDB state store.
     """
