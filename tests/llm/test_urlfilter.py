@@ -42,9 +42,24 @@ def test_cascade_is_exact(spark):
     assert df.where(column != F.col("listed")).count() == 0
 
 
-def test_join_beyond_the_bound(spark):
-    found = judged(spark, ["http://a.net/", "http://b.net/", "http://a.net/x"], F.col("key") == "a.net", max_bytes=4)
-    assert [found[i].verdict for i in range(3)] == ["block", "allow", "block"]
+def test_parts_beyond_the_bound(spark):
+    keys = [f"host{i}.net" for i in range(300)]
+    universe = spark.createDataFrame([(k, i % 7 == 0) for i, k in enumerate(keys)], "key string, listed boolean")
+    df, column = U.listed_by_cascade(universe.union(universe), F.col("key"), universe, max_bytes=64)
+    assert df.count() == 600 and df.where(column != F.col("listed")).count() == 0
+    found = judged(spark, ["http://a.net/", "http://b.net/", "http://a.net/x", None], F.col("key") == "a.net", max_bytes=64)
+    assert [found[i].verdict for i in range(4)] == ["block", "allow", "block", "allow"]
+    with pytest.raises(U.CascadeTooLarge):
+        judged(spark, ["http://a.net/"], F.col("key") == "a.net", max_bytes=4)
+
+
+def test_list_as_a_table_and_clashing_names(spark):
+    listed = spark.createDataFrame([("a.net", 1), ("a.net", 2), ("unseen.net", 3), (None, 4)], "key string, listed int")
+    pages = spark.createDataFrame([(1, "http://a.net/", "x"), (2, "http://b.net/", "y")], "page int, url string, `_key` string")
+    pages = pages.selectExpr("*", "'z' AS _rule", "'b' AS _blocked", "'l' AS _listed_key", "'k' AS key", "'h' AS best", "7 AS listed")
+    found = U.judge_urls(pages, URL_RULES, listed)
+    assert found.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert sorted((r.page, r._key, r._rule, r.listed, r.verdict) for r in found.collect()) == [(1, "x", "z", 7, "block"), (2, "y", "z", 7, "allow")]
 
 
 def test_listed_hosts_empty_lists_and_tables(spark):
