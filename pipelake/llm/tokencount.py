@@ -11,6 +11,7 @@ texts have no words and no tokens. Rows are independent; extra columns are left
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -138,5 +139,6 @@ def token_counts(spark: SparkSession, automaton: Automaton, text: Column, *, cac
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
     """docs with n_words and n_tokens, which replace columns of those names."""
-    counted = docs.withColumn("_counts", token_counts(docs.sparkSession, build_automaton(read_pieces(vocabulary)), F.col(text)))
-    return counted.withColumns({"n_words": F.col("_counts.n_words"), "n_tokens": F.col("_counts.n_tokens")}).drop("_counts")
+    name = next(n for n in map("_counts{}".format, itertools.count()) if n not in docs.columns)
+    counted = docs.withColumn(name, token_counts(docs.sparkSession, build_automaton(read_pieces(vocabulary)), F.col(text)))
+    return counted.withColumns({"n_words": F.col(f"{name}.n_words"), "n_tokens": F.col(f"{name}.n_tokens")}).drop(name)

@@ -32,3 +32,23 @@ def test_stages_keep_their_contract(spark):
         if name == "sentencepiece":
             assert after == before
         before = after
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, hit string, ids string, base int, start int, _doc string, kept boolean"
+    clean = "plain words of no harm that stand in a row and are read by all who come this way today and go on their way again tomorrow"
+    rows = [(None, clean), (None, None), (1, None), (2, ""), (3, clean), (3, clean), (4, clean + " " + "x" * 3000), (5, "é " * 4000), (6, "  \t\n")]
+    frame = spark.createDataFrame([(i, t, None, None, None, 7, "h", "i", 8, 9, "d", False) for i, t in rows], schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = written(stage(spark, frame, SF), "odd")
+        assert stage(spark, frame.limit(0), SF).count() == 0
+        kept[name] = sorted(str(r.doc_id) for r in found.collect())
+        if name != "sentencepiece":
+            assert found.columns == frame.columns
+            assert all((r.node, r.hit, r.ids, r.base, r.start, r._doc, r.kept) == (7, "h", "i", 8, 9, "d", False) for r in found.collect())
+    everything = sorted(str(i) for i, _ in rows)
+    assert kept["quality rules"] == ["3", "3", "None"]
+    assert kept["near-duplicates"] == [i for i in everything if i != "4"]
+    assert kept["benchmark decontamination"] == kept["personal data"] == kept["sentencepiece"] == everything

@@ -134,3 +134,10 @@ def test_pieces_decode_as_the_library_does(spark):
     texts = ["The quick brown fox.", "Über 50 % é", "two  spaces"]
     for r in S.encode(docs(spark, texts), model).collect():
         assert library.decode(np.frombuffer(r.ids, "<u4").tolist()) == texts[r.doc_id]
+
+
+def test_token_counts_leave_other_columns_alone(spark, tmp_path):
+    path = f"{TOKENIZER_DIR}/word_bpe_49k.json"
+    frame = spark.createDataFrame([(1, "some words", 7, 8, 9)], "doc_id long, text string, _counts int, _counts0 int, n_words int")
+    (row,) = C.count_tokens(frame, path).collect()
+    assert (row._counts, row._counts0, row.n_words) == (7, 8, 2)
