@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pipelake.functions.exprs import stripped
 from pipelake.operators.state import latest_snapshots, state_key
 from pipelake.operators.timeline import with_memory_mb
 from pipelake.schemas import LIFECYCLE_EVENTS, RESOURCE_SAMPLES, STATE_SNAPSHOT
 
+#: Runs of white space, of all Unicode kinds.
+BLANKS = r"(?U)\s+"
 #: Times in snapshots, to the microsecond.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -24,13 +27,13 @@ def read_packages(spark: SparkSession, path: str, skip: int = 2) -> DataFrame:
     fewer than two fields; a package reads name=version. Search listings have two such lines, installed ones three."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("listing"), "value")
     lines = text.select("listing", F.explode(F.slice(F.split("value", "\n"), skip + 1, 1_000_000_000)).alias("line"))
-    fields = lines.select("listing", F.split(F.trim("line"), r"\s+").alias("f")).where("size(f) >= 2")
+    fields = lines.select("listing", F.split(stripped(F.col("line")), BLANKS).alias("f")).where("size(f) >= 2")
     return fields.select("listing", F.concat_ws("=", F.col("f")[0], F.col("f")[1]).alias("package"))
 
 
 def environment_exists(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     """names(name) with found: some line of the environment listing starts with that field."""
-    listed = spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("name")).where("name <> ''").distinct().withColumn("found", F.lit(True))
+    listed = spark.read.text(path).select(F.split(stripped(F.col("value")), BLANKS)[0].alias("name")).where("name <> ''").distinct().withColumn("found", F.lit(True))
     return names.join(listed, "name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
