@@ -56,7 +56,7 @@ def topological(steps: DataFrame, edges: DataFrame, needed: DataFrame | None = N
     ends when a round releases nothing, or raises where that takes more than max_rounds.
     """
     keys = ["workflow_id", "step_id"]
-    known = steps.select(*keys, "ordinal")
+    known = written(steps.select(*keys, "ordinal"), "steps")
     place = F.col("dst_pos") if "dst_pos" in edges.columns else F.lit(None)
     links = edges.select("workflow_id", "src", "dst", place.cast("int").alias("dst_pos"))
     links = links.groupBy("workflow_id", "src", "dst").agg(F.min("dst_pos").alias("dst_pos")) if needed is None else links

@@ -65,11 +65,11 @@ def _needs(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapted view as a DataFrame; what it reads is passed by name, so no catalog entry is left behind."""
+def view(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One adapted view as a DataFrame; what it reads is passed by name, so no catalog entry is left behind. ``known`` has views that are there already."""
     sql = VIEWS[name]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _needs(sql, TABLES)}
-    frames |= {v: view(spark, sf_dir, v) for v in _needs(sql, VIEWS)}
+    frames |= {v: known[v] if known and v in known else view(spark, sf_dir, v, known) for v in _needs(sql, VIEWS)}
     sql = sql.replace("{", "{{").replace("}", "}}")
     for used in frames:
         sql = _named(sql, used)

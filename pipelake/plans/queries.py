@@ -29,6 +29,12 @@ def query(sql: str | None = None):
     return register
 
 
+def _workflows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """f1_steps, numbered once and written, and the f1_edges between them."""
+    steps = graph.written(view(spark, sf_dir, "f1_steps"), "f1-steps")
+    return steps, view(spark, sf_dir, "f1_edges", {"f1_steps": steps})
+
+
 def _joined(c: str | Column, sep: str = ",") -> Column:
     return F.array_join(c, sep)
 
@@ -98,12 +104,14 @@ def save_names(spark, sf_dir):
 
 @query("SELECT s.* EXCLUDE (rf, sk) FROM f1_steps s WHERE NOT EXISTS (SELECT 1 FROM f1_edges e WHERE e.workflow_id = s.workflow_id AND e.dst = s.step_id)")
 def roots(spark, sf_dir):
-    return edges.roots(view(spark, sf_dir, "f1_steps").drop("rf", "sk"), view(spark, sf_dir, "f1_edges"))
+    steps, links = _workflows(spark, sf_dir)
+    return edges.roots(steps.drop("rf", "sk"), links)
 
 
 @query("SELECT s.* EXCLUDE (rf, sk) FROM f1_steps s WHERE NOT EXISTS (SELECT 1 FROM f1_edges e WHERE e.workflow_id = s.workflow_id AND e.src = s.step_id)")
 def leaves(spark, sf_dir):
-    return edges.leaves(view(spark, sf_dir, "f1_steps").drop("rf", "sk"), view(spark, sf_dir, "f1_edges"))
+    steps, links = _workflows(spark, sf_dir)
+    return edges.leaves(steps.drop("rf", "sk"), links)
 
 
 @query("SELECT tool, tool IN ('bash', 'tee') AS at_run, tool IN ('bash') AS at_plan, count(*) AS steps FROM f1_steps GROUP BY tool")
@@ -177,7 +185,7 @@ def derived_counts(spark, sf_dir):
 @query("""SELECT e.workflow_id, dst AS step_id, src AS missing, 'previous' AS direction FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.src)
 UNION ALL SELECT e.workflow_id, src, dst, 'next' FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.dst)""")
 def dangling_refs(spark, sf_dir):
-    return edges.dangling_refs(view(spark, sf_dir, "f1_steps"), view(spark, sf_dir, "f1_edges"))
+    return edges.dangling_refs(*_workflows(spark, sf_dir))
 
 
 @query(f"""WITH {DERIVED} (SELECT workflow_id, src, dst, 'previous' AS lacks FROM f1_edges EXCEPT SELECT workflow_id, src, dst, 'previous' FROM derived)
@@ -322,7 +330,7 @@ def preview_top5(spark, sf_dir):
 
 
 def _expansion(spark, sf_dir, mode):
-    s, e = view(spark, sf_dir, "f1_steps"), view(spark, sf_dir, "f1_edges")
+    s, e = _workflows(spark, sf_dir)
     none = F.array().cast("array<string>")
     before = e.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.array_sort(F.collect_list("src")).alias("previous"))
     text = F.when(F.col("sk") % 3 == 1, F.concat(F.lit("in/{sample}."), "step_id")).otherwise(F.col("step_id"))
@@ -330,7 +338,7 @@ def _expansion(spark, sf_dir, mode):
         "workflow_id", "ordinal", "step_id", F.concat(F.lit("run {sample} "), "tool").alias("command"), F.array(text).alias("input"), none.alias("output"), F.coalesce("previous", none).alias("previous"), none.alias("next")
     )
     values = s.where("workflow_id % 5 <> 0").select("workflow_id", F.lit("sample").alias("name"), F.col("threads").alias("pos"), F.concat(F.lit("v"), F.col("threads").cast("string")).alias("value")).distinct()
-    found = templates.expand_templates(steps, values, mode)
+    found = templates.expand_templates(graph.written(steps, "templated"), values, mode)
     return found.select("workflow_id", "ordinal", "value_pos", "step_id", "command", _joined("input").alias("input"), _joined("previous").alias("previous"), "error")
 
 
@@ -423,7 +431,7 @@ def state_key_collisions(spark, sf_dir):
 
 
 def _topological(spark, sf_dir):
-    return graph.topological(view(spark, sf_dir, "f1_steps"), view(spark, sf_dir, "f1_edges"))
+    return graph.topological(*_workflows(spark, sf_dir))
 
 
 LEVELS = """WITH RECURSIVE k AS (SELECT e.* FROM f1_edges e JOIN f1_steps s ON s.workflow_id = e.workflow_id AND s.step_id = e.src),
@@ -654,7 +662,7 @@ def live_snapshots(spark, sf_dir):
 
 def _specs(spark, sf_dir) -> DataFrame:
     """The workflows of the expansion queries as scanned specs; where there are sample values, the first step brings them."""
-    s, e = view(spark, sf_dir, "f1_steps"), view(spark, sf_dir, "f1_edges")
+    s, e = _workflows(spark, sf_dir)
     none = F.array().cast("array<string>")
     before = e.groupBy("workflow_id", F.col("dst").alias("step_id")).agg(F.array_sort(F.collect_list("src")).alias("previous"))
     values = s.where("workflow_id % 5 <> 0").groupBy("workflow_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("v"), F.col("threads").cast("string"), F.lit(".fq")))).alias("f"))
@@ -694,9 +702,9 @@ r(workflow_id, n, room, k, taken) AS (SELECT workflow_id, 0, room, 0, false FROM
   FROM r JOIN c ON c.workflow_id = r.workflow_id AND c.n = r.n + 1)
 SELECT c.workflow_id, c.step_id, taken FROM r JOIN c ON c.workflow_id = r.workflow_id AND c.n = r.n""")
 def ready_steps(spark, sf_dir):
-    s = view(spark, sf_dir, "f1_steps")
+    s, links = _workflows(spark, sf_dir)
     done, busy = s.where("sk % 4 = 0").select("workflow_id", "step_id"), s.where("sk % 6 = 1 AND sk % 4 <> 0").select("workflow_id", "step_id")
-    return state.ready_steps(s, view(spark, sf_dir, "f1_edges"), done, busy, max_threads=8, max_jobs=2).select("workflow_id", "step_id", "taken")
+    return state.ready_steps(s, links, done, busy, max_threads=8, max_jobs=2).select("workflow_id", "step_id", "taken")
 
 
 @query("""WITH d AS (SELECT seq, ts, CASE event_type WHEN 'Started' THEN 1 ELSE -1 END * CAST(step_id % 4 + 1 AS BIGINT) AS x FROM f2_events),
