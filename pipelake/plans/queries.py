@@ -492,7 +492,7 @@ UNION ALL SELECT workflow_id, step_id, 'input_placeholder_without_input', NULL,
 UNION ALL SELECT workflow_id, dst, 'unknown_previous', src, 'error' FROM f1_edges e WHERE NOT EXISTS (SELECT 1 FROM f1_steps s WHERE s.workflow_id = e.workflow_id AND s.step_id = e.src) AND workflow_id NOT IN (SELECT workflow_id FROM d)
 UNION ALL SELECT DISTINCT workflow_id, NULL, 'cycle', NULL, 'error' FROM f1_steps s WHERE workflow_id NOT IN (SELECT workflow_id FROM d) AND NOT EXISTS (SELECT 1 FROM lm WHERE lm.workflow_id = s.workflow_id AND lm.step_id = s.step_id)""")
 def validation_report(spark, sf_dir):
-    s = view(spark, sf_dir, "f1_steps")
+    s, links = _workflows(spark, sf_dir)
     none, one = F.array().cast("array<string>"), F.array(F.lit("a"))
     long = s.where("ordinal = 4 AND workflow_id % 23 = 0").select("workflow_id", F.lit(True).alias("long"))
     renamed = F.when(F.col("long") & (F.col("ordinal") <= 2), "z").when(F.col("long") & (F.col("ordinal") <= 4), "a").otherwise(F.col("step_id"))
@@ -503,8 +503,8 @@ def validation_report(spark, sf_dir):
         F.when(F.col("ordinal") > 1, one).otherwise(none).alias("input"), none.alias("output"),
     )
     workflows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("workflow_id"))
-    declared = view(spark, sf_dir, "f1_edges").withColumn("declared_by", F.lit("previous"))
-    return validate.validation_report(workflows, steps, "full", declared, _topological(spark, sf_dir))
+    declared = links.withColumn("declared_by", F.lit("previous"))
+    return validate.validation_report(workflows, steps, "full", declared, graph.topological(s, links))
 
 
 # Sources and live operators. Files and sinks lie in the shared folder.
