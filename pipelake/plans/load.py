@@ -34,7 +34,8 @@ def load_workflows(specs: DataFrame, mode: str = "resolve") -> Loaded:
     file with two producers); expansion over the merged sample files of each workflow's steps (``mode`` as in templates.expand_templates; the first
     step that cannot be expanded); validation in full; and the order. Each stage is one job over all workflows.
     """
-    parsed = specs
+    # Every stage reads the specs, so they are scanned once; else each plan would hold the scan and all that led to it several times.
+    parsed = specs = written(specs, "load-specs")
     failed = specs.limit(0).select(F.col("workflow_id"), F.lit("").alias("stage"), F.lit("").alias("step_id"), F.lit("").alias("rule"), F.lit("").alias("detail"))
     if "parse_error" in specs.columns:
         broken = specs.where("parse_error IS NOT NULL").select("workflow_id", F.lit(None).cast("string").alias("step_id"), F.lit("parse_error").alias("rule"), F.col("parse_error").alias("detail"))

@@ -528,3 +528,20 @@ def test_ready_steps_leave_room_for_what_runs(spark):
     assert sorted((r.step_id, r.taken) for r in got.collect()) == [("s1", True), ("s2", False), ("s3", True), ("s4", False)]
     got = state.ready_steps(frame, none, busy.limit(0), busy, max_threads=2, max_jobs=2)
     assert not [r for r in got.collect() if r.taken]
+
+
+def test_load_reads_the_specs_once(spark):
+    from pipelake.plans import load
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(tool):
+        seen.add(1)
+        return tool
+
+    columns = STEP + ", threads int, color string, wildcard_files map<string,array<string>>"
+    frame = spark.createDataFrame([("w", i, s, "t", "c", [], [], before, [], 1, None, None) for i, (s, before) in enumerate([("a", []), ("b", ["a"]), ("c", ["nope"])], 1)], columns)
+    found = load.load_workflows(frame.withColumn("tool", F.udf(tell, "string").asNondeterministic()("tool")))
+    assert [r.detail for r in found.errors.collect()] == ["nope"]
+    assert found.steps.count() == 0
+    assert seen.value == 3
