@@ -545,3 +545,19 @@ def test_load_reads_the_specs_once(spark):
     assert [r.detail for r in found.errors.collect()] == ["nope"]
     assert found.steps.count() == 0
     assert seen.value == 3
+
+
+def test_a_round_reads_only_links_that_are_left(spark, monkeypatch):
+    met, write = [], graph.written
+
+    def counted(df, name):
+        found = write(df, name)
+        if name == "met":
+            met.append(found.count())
+        return found
+
+    monkeypatch.setattr(graph, "written", counted)
+    steps = spark.createDataFrame([("w", f"s{i}", i) for i in range(5)], "workflow_id string, step_id string, ordinal int")
+    links = spark.createDataFrame([("w", f"s{i}", f"s{i + 1}") for i in range(4)], "workflow_id string, src string, dst string")
+    assert [r.level for r in graph.topological(steps, links).orderBy("step_id").collect()] == [0, 1, 2, 3, 4]
+    assert met == [4, 3, 2, 1, 0]
