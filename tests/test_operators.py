@@ -561,3 +561,17 @@ def test_a_round_reads_only_links_that_are_left(spark, monkeypatch):
     links = spark.createDataFrame([("w", f"s{i}", f"s{i + 1}") for i in range(4)], "workflow_id string, src string, dst string")
     assert [r.level for r in graph.topological(steps, links).orderBy("step_id").collect()] == [0, 1, 2, 3, 4]
     assert met == [4, 3, 2, 1, 0]
+
+
+def test_asymmetry_counts_rows_and_takes_null_ends_as_equal(spark):
+    frame = lambda *found: spark.createDataFrame([("w", *f) for f in found], "workflow_id string, src string, dst string")
+    got = edges.edge_asymmetry(frame(("a", "b"), ("a", "b"), ("x", None)), frame(("x", None), ("c", "d"), ("c", "d")))
+    assert rows(got) == [("w", "a", "b", "previous")] * 2 + [("w", "c", "d", "next")] * 2
+
+
+@pytest.mark.parametrize("name", ["derive_edges", "derived_counts", "edge_asymmetry", "rerun_steps", "ready_frontier", "dry_run_plan"])
+def test_steps_are_numbered_once(spark, capsys, name):
+    from pipelake.plans.queries import QUERIES
+
+    QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    assert "row_number" not in capsys.readouterr().out
