@@ -575,3 +575,16 @@ def test_steps_are_numbered_once(spark, capsys, name):
 
     QUERIES[name](spark, "/root/testdata/sf0.001").explain()
     assert "row_number" not in capsys.readouterr().out
+
+
+def test_first_fit_evaluates_its_candidates_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(weight):
+        seen.add(1)
+        return weight
+
+    frame = spark.createDataFrame([("g", i, f"s{i}", 1) for i in range(4)], "group_id string, ordinal int, step_id string, weight int")
+    found = graph.first_fit(frame.withColumn("weight", F.udf(tell, "int").asNondeterministic()("weight")).where("weight > 0"), budget=8, most=2)
+    assert sum(r.taken for r in found.collect()) == 2
+    assert seen.value == 4
