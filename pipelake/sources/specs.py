@@ -22,18 +22,17 @@ def spec_documents(steps: DataFrame) -> DataFrame:
     Empty color, wildcard_files and the tool list of a workflow without steps are left out.
     """
     step = F.struct(
-        "ordinal",
-        F.struct(
-            F.col("step_id").alias("id"), "tool", "command", "input", "output", "previous", "next", "threads", "color",
-            F.when(F.size("wildcard_files") > 0, F.col("wildcard_files")).alias("wildcard_files"),
-        ).alias("step"),
+        F.col("step_id").alias("id"), "tool", "command", "input", "output", "previous", "next", "threads", "color",
+        F.when(F.size("wildcard_files") > 0, F.col("wildcard_files")).alias("wildcard_files"),
     )
+    # Steps are sorted as (ordinal, text): a step holds a map, which has no order, and a comparison function is called for each pair.
     grouped = steps.groupBy("workflow_id").agg(
-        F.transform(F.array_sort(F.collect_list(step), lambda a, b: (a["ordinal"] - b["ordinal"]).cast("int")), lambda x: x["step"]).alias("steps"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.to_json(step).alias("step")))), lambda x: x["step"]).alias("steps"),
         F.array_sort(F.collect_set("tool")).alias("tools"),
     )
-    tools = F.when(F.size("tools") > 0, F.col("tools")).alias("tools")
-    return grouped.select("workflow_id", F.to_json(F.struct("steps", tools)).alias("document"))
+    tools = F.when(F.size("tools") > 0, F.concat(F.lit(',"tools":'), F.to_json("tools")))
+    document = F.concat(F.lit('{"steps":['), F.array_join("steps", ","), F.lit("]"), F.coalesce(tools, F.lit("")), F.lit("}"))
+    return grouped.select("workflow_id", document.alias("document"))
 
 
 def write_specs(steps: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -137,3 +137,11 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     # A task that outlives the job may stage a file yet; readers skip it.
     assert len(list((tmp_path / "out").glob("*.packed"))) == 4
     assert read_packed(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_documents_keep_the_order_of_long_ordinals(spark):
+    columns = "workflow_id string, ordinal long, step_id string, tool string, command string, input array<string>, output array<string>, previous array<string>, next array<string>, threads int, color string, wildcard_files map<string,array<string>>"
+    found = [("w", n << 32, f"s{n}", 't"', "c", [], [], [], [], 1, None, {"k": ["f"]} if n == 2 else None) for n in (3, 1, 2)]
+    body = json.loads(specs.spec_documents(spark.createDataFrame(found, columns)).first().document)
+    assert [s["id"] for s in body["steps"]] == ["s1", "s2", "s3"]
+    assert body["tools"] == ['t"'] and body["steps"][1]["wildcard_files"] == {"k": ["f"]} and "color" not in body["steps"][0]
