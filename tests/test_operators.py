@@ -535,13 +535,13 @@ def test_load_reads_the_specs_once(spark):
 
     seen = spark.sparkContext.accumulator(0)
 
-    def tell(tool):
+    def tell(step):
         seen.add(1)
-        return tool
+        return step
 
     columns = STEP + ", threads int, color string, wildcard_files map<string,array<string>>"
     frame = spark.createDataFrame([("w", i, s, "t", "c", [], [], before, [], 1, None, None) for i, (s, before) in enumerate([("a", []), ("b", ["a"]), ("c", ["nope"])], 1)], columns)
-    found = load.load_workflows(frame.withColumn("tool", F.udf(tell, "string").asNondeterministic()("tool")))
+    found = load.load_workflows(frame.withColumn("step_id", F.udf(tell, "string").asNondeterministic()("step_id")))
     assert [r.detail for r in found.errors.collect()] == ["nope"]
     assert found.steps.count() == 0
     assert seen.value == 3
