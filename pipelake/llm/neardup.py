@@ -11,6 +11,7 @@ r"""Near-duplicate documents by bottom-k sketches of word shingles.
 4. Members of lists that stay open (a passage that many unlike documents share opens such lists) meet by their rarest values, on
    their full sets. A set offers only as many of its values as it may hold beyond what a partner must share with it. Values of one
    component alone count as offered, so what is edited too far for any link offers nothing, and what all share joins nobody.
+   A large group of copies shares nearly all its values, so its members meet by what tells them from one set amid the group, their pivot.
    One link joins two components, whatever else they share: of the pairs of two components a few are confirmed at first, then more, then all
    that are left, and pairs whose components have met by then are done with.
 5. The union sketch of a pair estimates its similarity; pairs six deviations below the limit go (at 0.8, 3e-8 of the pairs). What is left is confirmed on the full sets.
@@ -42,6 +43,8 @@ MOST = 2048
 WAVES = (4, 32, None)
 #: Bands of set sizes there, as a step of the logarithm.
 BAND = 0.02
+#: A set has a pivot if it is at most so many times as far from it as a link may be.
+REACH = 4
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -122,11 +125,46 @@ def _common(percent: int):
     return F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent)
 
 
+def around_pivots(sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, pairs) of sets(node, n, c, held, pivot): pairs(a, b, n_a, n_b) of one pivot and different components, and the sets, those without a near pivot as their own.
+
+    A set is told from its pivot L by the values that it lacks and those that it has besides. With w = 100 lacking + percent besides, two sets reach the
+    similarity just if their differences share r = (w_a + w_b - far) / (100 + percent) values, where far = (100 - percent) n_L; that holds for any L.
+    Sets with w <= far are linked with L, so each of them meets L and no other such set. Of any other pair one set is beyond far, and r exceeds w / (100 + percent) of the
+    other, which is about half of its differences: copies with edits of their own share too few and offer nothing, however large the group.
+    Differences of one component alone count as offered; the others go rarest first, as in ``by_rare_values``.
+    """
+    whole = F.lit(100) * F.col("n") <= F.lit(percent * most)
+    base = sets.where(whole).select(F.col("node").alias("pivot"), F.col("c").alias("c_l"), F.col("n").alias("n_l"), F.col("held").alias("base"))
+    told = sets.join(base, "pivot", "left").withColumns({"lacks": F.array_except("base", "held"), "besides": F.array_except("held", "base")})
+    told = told.withColumns({"w": F.lit(100) * F.size("lacks") + F.lit(percent) * F.size("besides"), "far": F.lit(100 - percent) * F.col("n_l")})
+    near = F.coalesce(whole & F.col("base").isNotNull() & (F.col("w") <= F.lit(REACH) * F.col("far")), F.lit(False))
+    told = told.select("node", "n", "c", "held", F.when(near, F.col("pivot")).otherwise(F.col("node")).alias("pivot"), "c_l", "n_l", "w", "far", F.when(near, F.concat("lacks", "besides")).alias("told"))
+    told = written(told, "told")
+    stars = told.where("told IS NOT NULL AND w <= far AND c <> c_l").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_l").alias("n_b"))
+    values = told.select("pivot", "node", "c", F.explode("told").alias("value"))
+    met = values.groupBy("pivot", "value").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("pivot", "value", "df")
+    ranked = values.join(met, ["pivot", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
+    ranked = written(ranked.join(told.select("node", "n", "c", "pivot", "w", "far"), "node"), "ranked")
+    scale = F.lit(100 + percent)
+    more = F.floor(F.col("w") / scale) + 1
+    some = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("far")) / scale))
+    offer = lambda rows, both, least: rows.select("node", "n", "c", "w", "far", "pivot", F.lit(both).alias("both"), F.explode(F.transform(F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - least.cast("int") + 1)), lambda x, i: F.struct(x["value"].alias("value"), (F.size("r") - i).alias("rest")))).alias("o"))
+    inside, beyond = ranked.where("w <= far"), ranked.where("w > far")
+    side = lambda rows, x: rows.select("pivot", "both", "o.value", F.col("node").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "c", "w")], F.col("o.rest").alias(f"rest_{x}"), *(["far"] if x == "a" else []))
+    found = side(offer(inside, False, more).union(offer(beyond, True, more)), "a").join(side(offer(beyond, False, some).union(offer(beyond, True, more)), "b"), ["pivot", "both", "value"])
+    enough = scale * F.least("rest_a", "rest_b") >= F.col("w_a") + F.col("w_b") - F.col("far")
+    found = found.where((F.col("c_a") != F.col("c_b")) & (~F.col("both") | (F.col("a") < F.col("b"))) & _sizes_fit(percent) & enough)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"))
+    return told.select("node", "n", "c", "held", "pivot"), stars.union(pairs)
+
+
 def by_rare_values(open_nodes: DataFrame, members: DataFrame, *, size: int, percent: int, most: int = MOST) -> DataFrame:
-    """(a, b, n_a, n_b) of open nodes(node, n, c) of different components that may have enough values in common.
+    """(a, b, n_a, n_b) of open nodes(node, n, c[, pivot]) of different components that may have enough values in common.
 
-    It works on the full sets of shingle hashes (above ``most`` values on longer sketches). A value that one component alone
-    holds is common to no pair asked for, so it comes first in the order of values; the others follow, rarest first. Two sets with t
+    It works on the full sets of shingle hashes (above ``most`` values on longer sketches). Pairs of one pivot come from ``around_pivots``, the others are met here.
+    A value that one component or the sets of one pivot alone
+    hold is common to no pair asked for, so it comes first in the order of values; the others follow, rarest first. Two sets with t
     values in common share one whose rest of the order, itself included, holds t values or more in both sets. So each set offers
     only the values before its last t, and one with too many values of its own offers none: the edited copies of a text that are
     each too far from the next leave here, at a cost linear in their number. t depends on both sizes: the smaller set of a pair offers its
@@ -134,25 +172,33 @@ def by_rare_values(open_nodes: DataFrame, members: DataFrame, *, size: int, perc
     """
     sets = sketches(members.join(open_nodes.select("node"), "node", "left_semi"), size=size, k=most, key="node").select(F.col("doc_id").alias("node"), F.col("sketch").alias("held"))
     sets = written(open_nodes.join(sets, "node"), "sets")
-    values = sets.select("node", "c", F.explode("held").alias("value"))
-    met = values.groupBy("value").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value", "df")
+    amid = None
+    if "pivot" in open_nodes.columns:
+        sets, amid = around_pivots(sets, percent, most)
+    else:
+        sets = sets.withColumn("pivot", F.col("node"))
+    nodes = sets.select("node", "n", "c", "pivot")
+    values = sets.select("node", "c", "pivot", F.explode("held").alias("value"))
+    ends = [f(x).alias(f"{name}_{x}") for x in ("c", "pivot") for f, name in ((F.min, "low"), (F.max, "high"))]
+    met = values.groupBy("value").agg(F.count("*").alias("df"), *ends).where("low_c < high_c AND low_pivot < high_pivot").select("value", "df")
     ranked = values.join(met, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
-    ranked = ranked.join(open_nodes, "node")
+    ranked = ranked.join(nodes, "node")
     # Where a set of the pair may be a sketch, the common values are those of the union sketch.
     sampled = F.lit(_least_common(percent, most) * most)
     least = lambda other: let(F.lit(percent) * (F.col("n") + other) / F.lit(100 + percent), lambda t: F.when(F.lit(100) * F.col("n") > F.lit(percent * most), F.least(t, sampled)).otherwise(t))
     band = lambda n: F.floor(F.log(n) / F.lit(BAND)).cast("int")
     low = lambda s: F.floor(F.exp(s * F.lit(BAND)) - F.lit(1e-6))
     offer = lambda s, t: F.transform(F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - F.ceil(t - F.lit(1e-6)).cast("int") + 1)), lambda x, i: F.struct(s.alias("band"), x["value"].alias("value"), (F.size("r") - i).alias("rest")))
-    smaller = ranked.select("node", "n", "c", F.explode(offer(band(F.col("n")), least(F.col("n")))).alias("o"))
+    smaller = ranked.select("node", "n", "c", "pivot", F.explode(offer(band(F.col("n")), least(F.col("n")))).alias("o"))
     bands = ranked.select("*", F.explode(F.sequence(band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))), band(F.col("n")))).alias("s"))
-    larger = bands.select("node", "n", "c", F.explode(offer(F.col("s"), least(low(F.col("s"))))).alias("o"))
-    side = lambda rows, x: rows.select("o.band", "o.value", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"), F.col("o.rest").alias(f"rest_{x}"))
+    larger = bands.select("node", "n", "c", "pivot", F.explode(offer(F.col("s"), least(low(F.col("s"))))).alias("o"))
+    side = lambda rows, x: rows.select("o.band", "o.value", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"), F.col("pivot").alias(f"pivot_{x}"), F.col("o.rest").alias(f"rest_{x}"))
     both = F.when(F.lit(100) * F.col("n_b") > F.lit(percent * most), F.least(_common(percent), sampled)).otherwise(_common(percent))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     found = side(smaller, "a").join(side(larger, "b"), ["band", "value"])
-    found = found.where(ordered & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent) & (F.least("rest_a", "rest_b") >= both - F.lit(1e-6)))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"))
+    found = found.where(ordered & (F.col("c_a") != F.col("c_b")) & (F.col("pivot_a") != F.col("pivot_b")) & _sizes_fit(percent) & (F.least("rest_a", "rest_b") >= both - F.lit(1e-6)))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"))
+    return pairs if amid is None else pairs.union(amid)
 
 
 def _centrality(turn: int):
@@ -170,6 +216,12 @@ def by_leader(open_lists: DataFrame, percent: int) -> DataFrame:
     return chosen.select(F.least("node", "l.lead").alias("a"), F.greatest("node", "l.lead").alias("b"), F.col("n").alias("n_a"), F.col("l.lead_n").alias("n_b"))
 
 
+def pivots(open_lists: DataFrame) -> DataFrame:
+    """(node, n, c, pivot) of the open nodes: the leader that most of a node's lists have, whatever its component."""
+    counted = open_lists.groupBy("node", "n", "c", F.col("lead.node").alias("lead")).count()
+    return counted.groupBy("node", "n", "c").agg(F.max_by("lead", F.struct("count", "lead")).alias("pivot"))
+
+
 def confirm(pairs: DataFrame, members: DataFrame, *, size: int, percent: int, k: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full shingle sets reach the similarity.
 
@@ -226,6 +278,8 @@ def _settled(pairs: DataFrame, links: DataFrame | None, owner: DataFrame | None,
         links = fresh if links is None else links.union(fresh)
         if not fresh.isEmpty():
             owner = written(components(links), "owners")
+        if width is None or here.count() == left.count():
+            break
         left = left.select("a", "b").join(here, ["a", "b"], "left_anti")
     return links, owner
 
@@ -253,13 +307,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, k: int
     for turn in range(rounds + 1):
         here = lists.withColumn("w", F.count("*").over(Window.partitionBy("node"))) if turn else lists.withColumn("w", F.lit(1))
         here = here.withColumn("c", F.col("node")) if owner is None else here.join(owner, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        lead = F.max_by(F.struct("node", "n", "c"), F.struct(_centrality(turn), F.xxhash64("node", F.lit(turn))))
+        lead = F.max_by(F.struct("node", "n", "c"), F.struct(_centrality(turn if turn < rounds else 1), F.xxhash64("node", F.lit(turn))))
         ends = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), lead.alias("lead")).where("low < high").select("key", "lead")
         open_lists = here.join(ends, "key")
         if turn < rounds:
             pairs = by_leader(open_lists, percent)
         else:
-            pairs = by_rare_values(written(open_lists.select("node", "n", "c").distinct(), "open"), members, size=size, percent=percent)
+            pairs = by_rare_values(written(pivots(open_lists), "open"), members, size=size, percent=percent)
         pairs = pairs.where(_sizes_fit(percent)).select("a", "b").distinct()
         if turn == rounds:
             links, owner = _settled(pairs, links, owner, members, size=size, percent=percent, k=k)

@@ -95,3 +95,32 @@ def test_copies_edited_too_far_meet_nobody(spark):
     base = [f"w{i}" for i in range(150)]
     texts = {i: edited(rng, base, 15) for i in range(120)}
     assert len(rare_pairs(spark, texts, lambda i: i, 2048)) < 120
+
+
+def test_copies_around_a_pivot_meet_by_their_differences(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(edits):
+        words = list(base)
+        for _ in range(edits):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], [f"x{rng.randrange(3)}"], [words[at], words[at]]))
+        return " ".join(words)
+
+    texts = {0: " ".join(base)} | {i: copy(i % 14) for i in range(1, 330)} | {i: copy(16) for i in range(330, 340)}
+    for i in range(340, 360):
+        texts[i] = texts[330 + i % 10] + f" y{i}"
+    sets = {i: brute.shingles(t, 2) for i, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    component = {i: 0 if alike(0, i) and i % 5 else i for i in texts}
+    nodes = spark.createDataFrame([(i, len(sets[i]), component[i], 0) for i in texts], "node long, n long, c long, pivot long")
+    members = spark.createDataFrame(list(texts.items()), "node long, text string")
+    found = {(r.a, r.b) for r in N.by_rare_values(nodes, members, size=2, percent=80).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and alike(a, b)}
+    stars = {(0, b) for b in sets if component[b] and alike(0, b)}
+    assert len(stars) > 20 and stars <= found
+    tested = {(a, b) for a, b in linked if not (alike(0, a) and alike(0, b))}
+    assert len(tested) > 25 and tested <= found
+    met = N.by_rare_values(nodes.drop("pivot"), members, size=2, percent=80).select("a", "b").distinct().count()
+    assert 2 * len(found) < met
