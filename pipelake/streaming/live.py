@@ -36,21 +36,31 @@ def read_upserts(spark: SparkSession, path: str, keys: list[str], schema) -> Dat
     return UpsertTable(spark, path, keys, newest(keys)).read(schema)
 
 
+#: Keys are dealt into so many buckets; a bucket is one group of state, so a batch costs state calls by bucket and not by key.
+BUCKETS = 1024
+
+
+def _by_bucket(rows: DataFrame, *keys: str):
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+
+
 class _InTimeOrder(StatefulProcessor):
-    """Rows of a key held until the watermark has passed them, then given to ``take`` in order of (us, seq).
+    """Rows of a bucket of keys held until the watermark has passed them, then given to ``take`` in order of (us, seq).
 
     Each input frame becomes one sorted entry of a list state; a timer at the earliest waiting row releases what the watermark has
-    passed. Held are only rows between the watermark and the newest ones. ``columns`` end with us and seq.
+    passed. Held are only rows between the watermark and the newest ones. ``columns`` begin with the ``keys`` and end with us and seq. The
+    values of the bucket's keys are one entry of state, an Arrow table of ``state``.
     """
 
+    keys: int
     columns: list[str]
     out: list[str]
-    state: str
+    state: pa.Schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "rows binary")
-        self.value = handle.getValueState("value", self.state)
+        self.values = handle.getValueState("values", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -77,30 +87,39 @@ class _InTimeOrder(StatefulProcessor):
             rest = pd.concat(later, ignore_index=True).sort_values(["us", "seq"], kind="stable", ignore_index=True)
             self.waiting.appendValue((_ipc(rest),))
             self._wake(int(rest["us"].iloc[0]))
-        value = self.value.get() if self.value.exists() else None
+        values = self._load() if self.values.exists() else {}
+        found: list[tuple] = []
         if ready:
-            rows = pd.concat(ready, ignore_index=True).sort_values(["us", "seq"], kind="stable")
-            value, found = self.take(key, rows, value)
-            yield pd.DataFrame(found, columns=self.out)
-        else:
-            yield pd.DataFrame(columns=self.out)
-        value = self.kept(value, due)
-        self.value.update(value) if value else self.value.clear()
-
-    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
-        """(new value, rows out) after the rows, which are in order."""
+            found = self.take(pd.concat(ready, ignore_index=True).sort_values(["us", "seq"], kind="stable"), values)
+        yield pd.DataFrame(found, columns=self.out)
+        values = self.kept(values, due)
+        self.values.update((self._stored(values),)) if values else self.values.clear()
+
+    def _load(self) -> dict[tuple, tuple]:
+        rows = zip(*[c.to_pylist() for c in pa.ipc.open_stream(self.values.get()[0]).read_all().columns], strict=True)
+        return {row[: self.keys]: row[self.keys :] for row in rows}
+
+    def _stored(self, values: dict[tuple, tuple]) -> bytes:
+        columns = zip(*[(*key, *value) for key, value in values.items()], strict=True)
+        return _stream_of(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.state, strict=True)], schema=self.state))
+
+    def take(self, rows: pd.DataFrame, values: dict[tuple, tuple]) -> list[tuple]:
+        """Rows out after the rows, which are in order; ``values`` of their keys are changed in place."""
         raise NotImplementedError
 
-    def kept(self, value: tuple | None, due: int) -> tuple | None:
-        return value
+    def kept(self, values: dict[tuple, tuple], due: int) -> dict[tuple, tuple]:
+        return values
 
     def close(self) -> None:
         pass
 
 
 def _ipc(frame: pd.DataFrame) -> bytes:
+    return _stream_of(pa.Table.from_pandas(frame, preserve_index=False))
+
+
+def _stream_of(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(frame, preserve_index=False)
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
@@ -113,27 +132,31 @@ def _frame(data: bytes) -> pd.DataFrame:
 class _Durations(_InTimeOrder):
     """Per (run, step): the last start; an end with a start gives a duration. A start is forgotten ``expire_ms`` after it."""
 
-    columns, out, state = ["event_type", "us", "seq"], ["run_id", "step_id", "start_us", "us", "seq"], "start_us long"
+    keys, columns, out = 2, ["run_id", "step_id", "event_type", "us", "seq"], ["run_id", "step_id", "start_us", "us", "seq"]
+    state = pa.schema([("run_id", pa.string()), ("step_id", pa.string()), ("start_us", pa.int64())])
 
     def __init__(self, expire_ms: int | None):
         self.expire_ms = expire_ms
 
-    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
-        start, found = value[0] if value else None, []
-        for kind, us, seq in rows.itertuples(index=False, name=None):
+    def take(self, rows: pd.DataFrame, values: dict[tuple, tuple]) -> list[tuple]:
+        found = []
+        for run, step, kind, us, seq in rows.itertuples(index=False, name=None):
             if kind == "Started":
-                start = int(us)
-            elif kind in ("Completed", "Failed") and start is not None and not self.old(start, us):
-                found.append((*key, start, int(us), int(seq)))
-        if start is not None and self.expire_ms is not None:
-            self.handle.registerTimer(start // 1000 + self.expire_ms)
-        return None if start is None else (start,), found
+                values[run, step] = (int(us),)
+            elif kind in ("Completed", "Failed") and (run, step) in values and not self.old(start := values[run, step][0], us):
+                found.append((run, step, start, int(us), int(seq)))
+        return found
 
     def old(self, start: int, us: int) -> bool:
         return self.expire_ms is not None and us - start > self.expire_ms * 1000
 
-    def kept(self, value: tuple | None, due: int) -> tuple | None:
-        return None if value and self.old(value[0], due) else value
+    def kept(self, values: dict[tuple, tuple], due: int) -> dict[tuple, tuple]:
+        if self.expire_ms is None:
+            return values
+        values = {key: value for key, value in values.items() if not self.old(value[0], due)}
+        if values:
+            self.handle.registerTimer(min(value[0] for value in values.values()) // 1000 + self.expire_ms)
+        return values
 
 
 def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", late: str = "10 minutes", expire_ms: int | None = 30 * 86_400_000) -> DataFrame:
@@ -144,7 +167,7 @@ def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", late:
     mode; needs the RocksDB state store.
     """
     timed = events.withWatermark("ts", late).select("run_id", F.col("step_id").cast("string").alias("step_id"), "event_type", F.unix_micros("ts").alias("us"), "seq", "ts")
-    found = timed.groupBy("run_id", "step_id").transformWithStateInPandas(_Durations(expire_ms), "run_id string, step_id string, start_us long, us long, seq long", "Append", "EventTime")
+    found = _by_bucket(timed, "run_id", "step_id").transformWithStateInPandas(_Durations(expire_ms), "run_id string, step_id string, start_us long, us long, seq long", "Append", "EventTime")
     ms = lambda c: F.floor((F.col(c) - F.unix_micros(F.to_timestamp(F.lit(origin)))) / 1000)
     return found.select("run_id", "step_id", (ms("us") - ms("start_us")).alias("duration_ms"), "us", "seq")
 
@@ -152,37 +175,43 @@ def live_durations(events: DataFrame, origin: str = "1970-01-01 00:00:00", late:
 class _Thinning(_InTimeOrder):
     """Per run: the time of the last accepted sample. The first sample only starts the clock."""
 
-    columns, out, state = ["cpu", "memory_mb", "us", "seq"], ["run_id", "seq", "us", "cpu", "memory_mb"], "us long"
+    keys, columns, out = 1, ["run_id", "cpu", "memory_mb", "us", "seq"], ["run_id", "seq", "us", "cpu", "memory_mb"]
+    state = pa.schema([("run_id", pa.string()), ("us", pa.int64())])
 
     def __init__(self, micros: int):
         self.micros = micros
 
-    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
-        last, found = value[0] if value else None, []
-        for cpu, memory, us, seq in rows.itertuples(index=False, name=None):
-            ok = last is not None and us - last >= self.micros
-            last = int(us) if ok or last is None else last
+    def take(self, rows: pd.DataFrame, values: dict[tuple, tuple]) -> list[tuple]:
+        found = []
+        for run, cpu, memory, us, seq in rows.itertuples(index=False, name=None):
+            last = values.get((run,))
+            ok = last is not None and us - last[0] >= self.micros
+            if ok or last is None:
+                values[run,] = (int(us),)
             if ok:
-                found.append((*key, seq, us, cpu, memory))
-        return (last,), found
+                found.append((run, seq, us, cpu, memory))
+        return found
 
 
 def live_thinning(samples: DataFrame, min_interval_ms: int = 250, late: str = "1 minute") -> DataFrame:
     """Samples that a sampler with a minimum interval keeps, in any order of arrival within ``late``; append mode, RocksDB state store."""
     rows = with_memory_mb(samples).withWatermark("ts", late)
     rows = rows.select(F.col("run_id").cast("string").alias("run_id"), "seq", F.unix_micros("ts").alias("us"), "cpu", "memory_mb", "ts")
-    return rows.groupBy("run_id").transformWithStateInPandas(_Thinning(min_interval_ms * 1000), "run_id string, seq long, us long, cpu double, memory_mb long", "Append", "EventTime")
+    return _by_bucket(rows, "run_id").transformWithStateInPandas(_Thinning(min_interval_ms * 1000), "run_id string, seq long, us long, cpu double, memory_mb long", "Append", "EventTime")
 
 
 class _Lines(_InTimeOrder):
     """Per run: the number of the next line, and what each stream has behind its last line feed."""
 
-    columns, out, state = ["stream", "data", "us", "seq"], ["run_id", "line_no", "stream", "line", "us"], "next long, rest map<string,binary>"
+    keys, columns, out = 1, ["run_id", "stream", "data", "us", "seq"], ["run_id", "line_no", "stream", "line", "us"]
+    state = pa.schema([("run_id", pa.string()), ("next", pa.int64()), ("rest", pa.list_(pa.struct([("stream", pa.string()), ("data", pa.binary())])))])
 
-    def take(self, key, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, list[tuple]]:
-        number, rest = (value[0], dict(value[1])) if value else (1, {})
+    def take(self, rows: pd.DataFrame, values: dict[tuple, tuple]) -> list[tuple]:
         found = []
-        for stream, data, us, _ in rows.itertuples(index=False, name=None):
+        open_rests: dict[str, dict] = {}
+        for run, stream, data, us, _ in rows.itertuples(index=False, name=None):
+            number, rest = values.get((run,), (1, []))
+            rest = open_rests.setdefault(run, {r["stream"]: r["data"] for r in rest})
             *lines, last = (data or b"").split(b"\n")
             if lines:
                 lines[0] = rest.pop(stream, b"") + lines[0]
@@ -190,9 +219,12 @@ class _Lines(_InTimeOrder):
             else:
                 rest[stream] = rest.get(stream, b"") + last
             for line in lines:
-                found.append((*key, number, stream, line.removesuffix(b"\r").decode(errors="replace"), int(us)))
+                found.append((run, number, stream, line.removesuffix(b"\r").decode(errors="replace"), int(us)))
                 number += 1
-        return (number, rest), found
+            values[run,] = (number, [])
+        for run, rest in open_rests.items():
+            values[run,] = (values[run,][0], [{"stream": k, "data": v} for k, v in rest.items()])
+        return found
 
 
 def live_log_lines(chunks: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -203,7 +235,7 @@ def live_log_lines(chunks: DataFrame, late: str = "10 seconds") -> DataFrame:
     """
     timed = chunks.withWatermark("ts", late)
     rows = timed.select(F.col("run_id").cast("string").alias("run_id"), "stream", F.col("data").cast("binary").alias("data"), F.unix_micros("ts").alias("us"), "seq", "ts")
-    return rows.groupBy("run_id").transformWithStateInPandas(_Lines(), "run_id string, line_no long, stream string, line string, us long", "Append", "EventTime")
+    return _by_bucket(rows, "run_id").transformWithStateInPandas(_Lines(), "run_id string, line_no long, stream string, line string, us long", "Append", "EventTime")
 
 
 def live_resources(samples: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

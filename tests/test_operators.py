@@ -285,6 +285,20 @@ def test_live_thinning_in_any_order_of_arrival(spark, tmp_path, rocks):
     assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in timeline.thin_samples(frame).collect())
 
 
+def test_live_state_grows_by_bucket_and_not_by_key(spark, tmp_path, rocks, monkeypatch):
+    from pipelake.streaming import live
+
+    monkeypatch.setattr(live, "BUCKETS", 8, raising=False)
+    frame = spark.createDataFrame([(f"r{i % 100}", T0 + dt.timedelta(seconds=i), i, 1.0, 1 << 21) for i in range(300)], "run_id string, ts timestamp, seq long, cpu double, memory_bytes long")
+    stream = in_batches(spark, str(tmp_path / "in"), frame, 1)
+    closing(spark, str(tmp_path / "in"), ("end", T0 + dt.timedelta(days=1), 999, 1.0, 1), frame.schema)
+    sink = live.live_thinning(stream, 250).writeStream.format("memory").queryName("by_bucket").option("checkpointLocation", str(tmp_path / "state"))
+    run = sink.trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.table("by_bucket").count() == 200
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] < 60
+
+
 def test_chunks_cut_anywhere_give_the_same_lines(spark, tmp_path, rocks):
     from pipelake.operators import logs
     from pipelake.streaming import live
