@@ -1,8 +1,11 @@
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pipelake.llm import common
 from pipelake.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +55,19 @@ def test_stages_take_odd_rows_and_clashing_names(spark):
     assert kept["quality rules"] == ["3", "3", "None"]
     assert kept["near-duplicates"] == [i for i in everything if i != "4"]
     assert kept["benchmark decontamination"] == kept["personal data"] == kept["sentencepiece"] == everything
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    """Stages of many rounds held the shuffle files of all of them, more than the disk has where there are many partitions."""
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    setting = spark.conf.get(common.SHUFFLES_GO, "false")
+    for n in range(2, 6):
+        grouped = spark.range(1000).groupBy((F.col("id") % n).alias("k")).count()
+        before = {tracker.shuffleStatuses().size()}
+        table = written(grouped, "grouped")
+        until = time.time() + 3
+        while tracker.shuffleStatuses().size() > max(before) and time.time() < until:
+            time.sleep(0.1)
+        assert tracker.shuffleStatuses().size() <= max(before)
+        assert spark.conf.get(common.SHUFFLES_GO) == setting
+        assert table.count() == n
