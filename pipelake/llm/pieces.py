@@ -41,6 +41,8 @@ BLOCK = 128
 SEGMENT = 64
 #: A chunk's number is its input partition times 2^32 and its place there; a span is 2^10 partitions.
 SPAN_BITS = 42
+#: A lattice has many times the rows of its atoms, and a task sorts them by atom, so its share is made smaller than a usual one.
+BUCKETS_A_PARTITION = 2
 
 
 @dataclass(frozen=True)
@@ -181,9 +183,14 @@ def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else iter(())
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of atoms, and tasks that make their lattices."""
+    return BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bucket_keys(spark: SparkSession) -> list[int]:
-    """Negative numbers, one for each shuffle partition, so that buckets are dealt out evenly."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Negative numbers, one for each bucket, so that buckets are dealt out evenly."""
+    n = bucket_count(spark)
     tried = spark.range(1, 24 * n + 1).select((-F.col("id")).alias("key"))
     return sorted((r.key for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(n))).agg(F.max("key").alias("key")).collect()), reverse=True)
 
@@ -333,9 +340,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every row: ids as little-endian uint32 bytes. With ``decoded``, also the text that they decode to."""
+    tasks = bucket_count(docs.sparkSession)
     # Both readers of the exchange ask for the same columns and rows, so it is made once. What follows is keyed by route too, and
     # moves nothing until the answers.
-    dealt = coded(docs, model, key=key, text=text).where("route IS NOT NULL").repartition("route")
+    dealt = coded(docs, model, key=key, text=text).where("route IS NOT NULL").repartition(tasks, "route")
     parts = dealt.select("route", F.when(F.col("route") < 0, F.split(F.col("body").cast("string"), " ")).alias("parts"))
     lists = parts.select("route", F.get("parts", F.lit(0)).cast("long").alias("chunk"), "parts")
     opened = lists.select("route", "chunk", F.posexplode_outer("parts").alias("pos", "word")).where("pos > 0")
@@ -344,7 +352,7 @@ def encode(docs: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str
     words = opened.groupBy("word", "route", span.alias("span")).agg(F.collect_list(F.struct("chunk", (F.col("pos") - 1).alias("pos"))).alias("places"))
     paths = best_paths(words.select(F.monotonically_increasing_id().alias("number"), "route", "places", "word"), model)
     answers = paths.select(F.col("route").alias("bucket"), "places", "ids").mapInArrow(_answers, "route long, answer binary")
-    answers = answers.groupBy("route").agg(F.collect_list("answer").alias("answers"))
+    answers = answers.repartition(tasks, "route").groupBy("route").agg(F.collect_list("answer").alias("answers"))
     number = {k: b for b, k in enumerate(bucket_keys(docs.sparkSession))}
     texts = docs.sparkSession.sparkContext.broadcast(model.text_of()) if decoded else None
 

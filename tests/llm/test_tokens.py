@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pipelake.llm import pieces as S
 from pipelake.llm import tokencount as C
@@ -126,6 +128,14 @@ def test_pieces_are_the_best_path_and_decode(spark):
     assert S.encode(docs(spark, []), model).count() == 0
 
 
+def test_a_lattice_task_gets_half_a_partition(spark):
+    model, n = S.PieceModel.read(f"{TOKENIZER_DIR}/piece_bpe_32k.model"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = spark.createDataFrame([(k,) for k in S.bucket_keys(spark)], "route long").repartition(2 * n, "route")
+    assert sorted(r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()) == [1] * (2 * n)
+    plan = S.encode(docs(spark, TEXTS), model)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(route#\w+, (\d+)\)", plan)) == {str(2 * n)}
+
+
 def test_pieces_decode_as_the_library_does(spark):
     import sentencepiece
 
