@@ -51,11 +51,14 @@ def load_workflows(specs: DataFrame, mode: str = "resolve", held: int = 100_000)
     declares = F.max(F.size("previous") + F.size("next")).over(of) > 0
     names = F.when(exprs.expands(F.col("input"), F.col("output")), exprs.step_template_names(F.col("input"), F.col("output"))).otherwise(none)
     placed = specs.withColumns({"_names": names, "_n": F.count("*").over(of), "_local": fits if broken is None else fits & ~broken, "_declares": declares})
-    own = lambda c: F.when(~F.col("_declares"), exprs.file_list(F.col(c)))
+    marked = lambda mark, c: F.transform(F.coalesce(exprs.file_list(F.col(c)), none), lambda x: F.concat(F.lit(mark), x))
+    entry = lambda e: F.concat(F.array(e["key"], F.coalesce(F.size(e["value"]), F.lit(-1)).cast("string")), F.coalesce(e["value"], none))
     blank = exprs.stripped(F.coalesce("tool", F.lit(""))) == ""
-    flags = sum((F.when(c, bit).otherwise(0) for c, bit in ((blank, local.BLANK_TOOL), (F.size("input") == 0, local.NO_INPUT), (F.size("output") == 0, local.NO_OUTPUT), (F.col("_declares"), local.DECLARES))), F.lit(0))
+    bits = ((blank, local.BLANK_TOOL), (F.size("input") == 0, local.NO_INPUT), (F.size("output") == 0, local.NO_OUTPUT), (F.col("_declares"), local.DECLARES), (F.col("_local"), local.LOCAL))
     sent = placed.select(
-        *specs.columns, "_n", F.coalesce("_local", F.lit(False)).alias("_local"), "_names", F.get("_names", F.lit(0)).alias("_name"), flags.alias("_flags"), own("input").alias("_in"), own("output").alias("_out"),
+        *[c for c in specs.columns if c != "wildcard_files"], "_n", sum((F.when(c, bit).otherwise(0) for c, bit in bits), F.lit(0)).alias("_flags"), "_names",
+        F.when(~F.col("_declares"), F.concat(marked("i", "input"), marked("o", "output"))).alias("_own"),
+        F.when(F.col("wildcard_files").isNotNull(), F.flatten(F.transform(F.map_entries("wildcard_files"), entry))).alias("_maps"),
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in specs.schema.fields)
     done = written(sent.mapInArrow(local.loader(specs.columns, mode, held), f"{schema}, {local.ADDED}"), "load-local")

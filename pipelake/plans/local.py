@@ -14,12 +14,13 @@ import pyarrow as pa
 from pipelake.functions.exprs import WHITE_SPACE
 
 LAST = (1 << 31) - 1
-BLANK_TOOL, NO_INPUT, NO_OUTPUT, DECLARES = 1, 2, 4, 8
+# Bits of a row's flags. LOCAL: its workflow may be loaded here; DECLARES: its workflow declares a dependency.
+BLANK_TOOL, NO_INPUT, NO_OUTPUT, DECLARES, LOCAL = 1, 2, 4, 8, 16
 SLASHES = re.compile("/+(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z)")
 
 
 class Step(NamedTuple):
-    """A step as scanned. names: those in braces of a step that expands; flags: see BLANK_TOOL; ins and outs: its files, where its workflow declares no dependency."""
+    """A step as scanned. names: those in braces of a step that expands; flags: the bits above; ins and outs: its files, where its workflow declares no dependency."""
 
     ordinal: int | None
     step_id: str | None
@@ -273,12 +274,21 @@ def _lists(column: pa.Array) -> list:
 
 
 def _maps(column: pa.Array) -> list:
-    """The (name, list) entries of a column of maps of lists, or None where it is null."""
-    if column.null_count == len(column):
-        return [None] * len(column)
-    entries = list(zip(_flat(column.keys), _lists(column.items)))
-    cuts = column.offsets.to_numpy().tolist()
-    return [entries[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], _flat(column.is_valid()))]
+    """The (name, list) entries of maps that come as lists of names, each before the number of its files, or -1 for no list, and before these."""
+
+    def entries(held: list) -> Iterator[tuple[str, list | None]]:
+        at = 0
+        while at < len(held):
+            n = int(held[at + 1])
+            yield held[at], None if n < 0 else held[at + 2 : at + 2 + n]
+            at += 2 + max(n, 0)
+
+    return [None if held is None else list(entries(held)) for held in _lists(column)]
+
+
+def _files(column: pa.Array) -> list:
+    """(ins, outs) from lists of files, each behind an i or an o; (None, None) where there is no list."""
+    return [(None, None) if held is None else ([f[1:] for f in held if f[0] == "i"], [f[1:] for f in held if f[0] == "o"]) for held in _lists(column)]
 
 
 #: The columns that the result has besides those of the specs.
@@ -290,21 +300,25 @@ KEPT = ("workflow_id", "ordinal", "tool", "command", "input", "output", "threads
 def loader(columns: list[str], mode: str, most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow over spec rows, in which those of a workflow stand together.
 
-    Its rows hold ``columns`` and those of _n (rows that stand together), _local (whether they are to be loaded here), and what Step has in other form.
-    The result has ``columns`` and ADDED. kind: a step that loads, an error, a warning, or rest, a row as it came, of a workflow that is not loaded here.
+    Its rows hold ``columns`` but wildcard_files, and _n (rows that stand together), _flags, _names, _own (see _files) and _maps, as few and plain
+    columns as can be, since Spark measures each column of a batch for every row that it adds. The result has ``columns`` and ADDED. kind: a step that loads, an error, a warning, or rest, a row as it came, of a workflow that is not loaded here.
     """
     ints, texts = pa.int64(), pa.string()
 
-    def batch_of(table: pa.Table, made: list[tuple], told: list[tuple], rest: list[int]) -> pa.RecordBatch:
+    def batch_of(table: pa.Table, steps: list[Step], made: list[tuple], told: list[tuple], rest: list[int]) -> pa.RecordBatch:
         """made: (at, value_pos, value, step_id, previous, next, level, position) of steps; told: (at, kind, step_id, stage, rule, detail); rest: places of rows."""
         at, value_pos, value, step_id, previous, following, level, position = zip(*made) if made else [()] * 8
         about, kind, whose, stage, rule, detail = zip(*told) if told else [()] * 6
         n, alone = len(at), len(about) + len(rest)
+        name = [None if v is None else steps[a].names[0] for a, v in zip(at, value)]
         left = pa.array(rest, ints)
         whole, only = pa.array([*at, *about, *rest], ints), pa.concat_arrays([pa.nulls(n + len(about), ints), left])
         none = lambda t, size: pa.nulls(size, t)
         arrays = []
         for c in columns:
+            if c == "wildcard_files":
+                arrays.append(pa.array([None] * (n + len(about)) + [steps[a].files for a in rest], pa.map_(texts, pa.list_(texts))))
+                continue
             old = table[c].chunk(0)
             if c == "step_id":
                 arrays.append(pa.concat_arrays([pa.array([*step_id, *whose], texts), old.take(left)]))
@@ -314,8 +328,7 @@ def loader(columns: list[str], mode: str, most: int) -> Callable[[Iterable[pa.Re
             else:
                 arrays.append(old.take(whole if c in KEPT else only))
         arrays.append(pa.array([*["step"] * n, *kind, *["rest"] * len(rest)], texts))
-        arrays.append(table["_name"].chunk(0).take(whole))
-        for values, t in ((value_pos, pa.int32()), (value, texts), (level, pa.int32()), (position, ints)):
+        for values, t in ((name, texts), (value_pos, pa.int32()), (value, texts), (level, pa.int32()), (position, ints)):
             arrays.append(pa.concat_arrays([pa.array(values, t), none(t, alone)]))
         for values in (stage, rule, detail):
             arrays.append(pa.concat_arrays([none(texts, n), pa.array(values, texts), none(texts, len(rest))]))
@@ -338,19 +351,20 @@ def loader(columns: list[str], mode: str, most: int) -> Callable[[Iterable[pa.Re
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             column = lambda c: table[c].chunk(0)  # noqa: E731, B023
-            sizes, local, gaps = _flat(column("_n")), _flat(column("_local")), column("_names").null_count > 0
+            sizes, gaps = _flat(column("_n")), column("_names").null_count > 0
             flat = [_flat(column(c)) for c in ("ordinal", "step_id", "command", "_flags")]
-            nested = [_lists(column(c)) for c in ("previous", "next", "_names", "_in", "_out")]
-            steps = list(map(Step._make, zip(flat[0], flat[1], nested[0], nested[1], nested[2], flat[2], flat[3], nested[3], nested[4], _maps(column("wildcard_files")))))
+            nested = [_lists(column(c)) for c in ("previous", "next", "_names")]
+            steps = [Step(o, i, p, n, names, c, f, ins, outs, m) for o, i, p, n, names, c, f, (ins, outs), m in zip(flat[0], flat[1], *nested, flat[2], flat[3], _files(column("_own")), _maps(column("_maps")))]
             at = min(left, rows)
             made, told, rest, left = [], [], list(range(at)), left - at
             while at < rows:
                 n = sizes[at]
                 end = min(at + n, rows)
-                if local[at] and at + n > rows:
+                local = steps[at].flags & LOCAL
+                if local and at + n > rows:
                     break
                 # A list with a null has no names.
-                here = local[at] and not (gaps and any(s.names is None for s in steps[at:end]))
+                here = local and not (gaps and any(s.names is None for s in steps[at:end]))
                 found = load_one(steps[at:end], mode, most) if here else None
                 if found is None:
                     rest.extend(range(at, end))
@@ -362,10 +376,10 @@ def loader(columns: list[str], mode: str, most: int) -> Callable[[Iterable[pa.Re
                         told.extend((at, "warning", step_id, "validation", rule, detail) for step_id, rule, detail in found.warnings)
                 at = end
                 if len(made) + len(told) + len(rest) > 20_000:
-                    yield batch_of(table, made, told, rest)
+                    yield batch_of(table, steps, made, told, rest)
                     made, told, rest = [], [], []
             if made or told or rest:
-                yield batch_of(table, made, told, rest)
+                yield batch_of(table, steps, made, told, rest)
             held, wanted = ([], 1) if at == rows else (table.slice(at).to_batches(), sizes[at])
             rows -= at
         if held:
